@@ -8,6 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 32
+BROADCAST_BYTES = 8 * 1024 * 1024
+
+
+def fits_broadcast(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Measure ``lookup``: true if its rows are within ``limit`` bytes. Runs one small job."""
+    size = F.octet_length(F.to_json(F.struct(*lookup.columns)))
+    return (lookup.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
 def lookup_join(
@@ -17,15 +24,18 @@ def lookup_join(
     spread_by: Sequence[str],
     how: str = "inner",
     salts: int = SALTS,
+    small: bool = False,
 ) -> DataFrame:
     """Equi-join where one ``on`` value may hold most of ``rows``.
 
-    Every key is cut into ``salts`` parts by a hash of ``spread_by`` and the
-    lookup rows are repeated once per part, so no task gets a whole hot key.
-    There is no broadcast hint: Spark broadcasts the lookup side if its size
-    is below the session's threshold, and sort-merges on key and salt if not.
+    A lookup table found ``small`` (:func:`fits_broadcast`) is broadcast and
+    ``rows`` stay where they are. Otherwise every key is cut into ``salts`` parts
+    by a hash of ``spread_by``, and the lookup rows are repeated once per part,
+    so no task gets a whole hot key.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
-    salted = rows.withColumn("__salt", salt)
+    on = list(on)
+    if small:
+        return rows.join(F.broadcast(lookup), on, how)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "__salt"], how).drop("__salt")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbspark.functions.lines import text_lines
-from plumbspark.operators.joins import SALTS, lookup_join
+from plumbspark.operators.joins import SALTS, fits_broadcast, lookup_join
 
 ANY = "*"
 
@@ -91,6 +91,7 @@ def check_rules(
     prerequisites: DataFrame | None = None,
     entity: str = "host",
     salts: int = SALTS,
+    small_rules: bool | None = None,
 ) -> DataFrame:
     """Rules given as a table: ``(entity, section, rule_id, status, message)``.
 
@@ -105,69 +106,47 @@ def check_rules(
 
     What was asked and what was found meet in one aggregation by entity and rule,
     so repeated inventory entries collapse before the shuffle and no entity, rule
-    or path is ever gathered into one group.
+    or path is ever gathered into one group. Rules are broadcast if a measurement
+    of the table, or ``small_rules``, says that they are small; then neither the
+    inventory nor the texts are shuffled.
     """
+    if small_rules is None:
+        small_rules = fits_broadcast(rules)
+    spread = {"spread_by": [entity], "salts": salts, "small": small_rules}
     if "applies" not in pairs.columns:
         pairs = pairs.withColumn("applies", F.lit(True))
-    asked = lookup_join(
-        pairs.select(entity, "section", "applies"),
-        rules.select("section", "rule_id"),
-        on=["section"],
-        spread_by=[entity],
-        salts=salts,
-    ).select(entity, "rule_id", "applies", F.lit(False).alias("found"))
-
-    evidence = []
+    rule = ["rule_id", "section", "message"]
+    facts = lookup_join(
+        pairs.select(entity, "section", "applies"), rules.select(*rule), on=["section"], **spread
+    ).select(entity, *rule, "applies", F.lit(False).alias("found"))
+
+    # applies stays NULL for evidence nobody asked for.
+    evidence = [F.lit(None).cast("boolean").alias("applies"), F.lit(True).alias("found")]
     if inventory is not None:
-        wanted = rules.filter(F.col("pattern").isNull()).select(
-            "rule_id", "kind", F.col("target").alias("name")
-        )
-        evidence.append(
-            lookup_join(
-                inventory.select(entity, "kind", "name"),
-                wanted,
-                on=["kind", "name"],
-                spread_by=[entity],
-                salts=salts,
-            ).select(entity, "rule_id")
-        )
+        wanted = rules.filter(F.col("pattern").isNull()).select(*rule, "kind", F.col("target").alias("name"))
+        present = lookup_join(inventory.select(entity, "kind", "name"), wanted, on=["kind", "name"], **spread)
+        facts = facts.unionByName(present.select(entity, *rule, *evidence))
     if docs is not None:
         probes = rules.filter(F.col("pattern").isNotNull()).select(
-            "rule_id", F.col("target").alias("path"), "pattern"
+            *rule, F.col("target").alias("path"), F.concat(F.lit("(?sd)"), "pattern").alias("regex")
         )
-        lines = docs.filter(F.col("text").isNotNull()).select(
-            entity, "path", text_lines("text").alias("lines")
-        )
-        probed = lookup_join(lines, probes, on=["path"], spread_by=[entity], salts=salts)
+        lines = docs.select(entity, "path", text_lines("text").alias("lines"))
+        probed = lookup_join(lines, probes, on=["path"], **spread)
         # regexp_instr keeps its compiled pattern from line to line; rlike with a
         # pattern column compiles it anew each time.
-        regex = F.concat(F.lit("(?sd)"), F.col("pattern"))
-        evidence.append(
-            probed.filter(F.exists("lines", lambda line: F.regexp_instr(line, regex) > 0)).select(
-                entity, "rule_id"
-            )
-        )
-    facts = asked
-    for found in evidence:
-        facts = facts.unionByName(
-            found.select(
-                entity, "rule_id", F.lit(None).cast("boolean").alias("applies"), F.lit(True).alias("found")
-            )
-        )
-    # applies stays NULL for evidence nobody asked for.
+        matched = probed.filter(F.exists("lines", lambda line: F.regexp_instr(line, F.col("regex")) > 0))
+        facts = facts.unionByName(matched.select(entity, *rule, *evidence))
+
     status = F.when(~F.col("applies"), "skip").when(F.col("found"), "pass").otherwise("fail")
     results = (
-        facts.groupBy(entity, "rule_id")
+        facts.groupBy(entity, *rule)
         .agg(F.bool_or("applies").alias("applies"), F.bool_or("found").alias("found"))
         .filter(F.col("applies").isNotNull())
-        .select(entity, "rule_id", status.alias("status"))
+        .select(entity, *rule, status.alias("status"))
     )
     if prerequisites is not None:
-        results = _drop_blocked(results, prerequisites, entity, salts)
-    labels = rules.select("rule_id", "section", "message")
-    return lookup_join(results, labels, on=["rule_id"], spread_by=[entity], salts=salts).select(
-        entity, "section", "rule_id", "status", "message"
-    )
+        results = _drop_blocked(results, rules.select(*rule), prerequisites, entity, spread)
+    return results.select(entity, "section", "rule_id", "status", "message")
 
 
 def applicable(
@@ -176,6 +155,7 @@ def applicable(
     keys: Sequence[str] = ("host",),
     keep_all: bool = False,
     salts: int = SALTS,
+    small_rules: bool | None = None,
 ) -> DataFrame:
     """Pairs of entity and section that apply: ``(keys, section)``.
 
@@ -185,13 +165,16 @@ def applicable(
     Scope rules given as a list become part of the plan (map-only). With
     ``keep_all`` every pair is returned with a boolean ``applies``. Scope rules
     given as a table ``(section, attribute, value, effect)`` are found by an
-    equi-join on attribute and value, the wildcard being one more such value.
+    equi-join on attribute and value, the wildcard being one more such value; they
+    are broadcast if a measurement of the table, or ``small_rules``, says so.
     """
     keys = list(keys)
     if isinstance(scope_rules, DataFrame):
         if keep_all:
             raise ValueError("keep_all needs scope rules given as a list")
-        return _applicable_by_table(entities, scope_rules, keys, salts)
+        if small_rules is None:
+            small_rules = fits_broadcast(scope_rules)
+        return _applicable_by_table(entities, scope_rules, keys, salts, small_rules)
     sections = list(dict.fromkeys(rule.section for rule in scope_rules))
     pairs = []
     for section in sections:
@@ -235,7 +218,9 @@ def classify(
     return df.withColumn(output, chain.otherwise(F.lit(default)))
 
 
-def _applicable_by_table(entities: DataFrame, scope_rules: DataFrame, keys: list[str], salts: int) -> DataFrame:
+def _applicable_by_table(
+    entities: DataFrame, scope_rules: DataFrame, keys: list[str], salts: int, small: bool
+) -> DataFrame:
     attributes = [c for c in entities.columns if c not in keys]
     scopes = F.array(
         F.struct(F.lit(ANY).alias("attribute"), F.lit(ANY).alias("value")),
@@ -243,37 +228,34 @@ def _applicable_by_table(entities: DataFrame, scope_rules: DataFrame, keys: list
     )
     scoped = entities.select(*keys, F.inline(scopes))
     effect = scope_rules.select("attribute", "value", "section", (F.col("effect") == "include").alias("__on"))
-    matched = lookup_join(scoped, effect, on=["attribute", "value"], spread_by=keys, salts=salts)
+    matched = lookup_join(scoped, effect, on=["attribute", "value"], spread_by=keys, salts=salts, small=small)
     # Applies if something includes it and nothing excludes it.
     return matched.groupBy(*keys, "section").agg(F.bool_and("__on").alias("__on")).filter("__on").drop("__on")
 
 
-def _drop_blocked(results: DataFrame, prerequisites: DataFrame, entity: str, salts: int) -> DataFrame:
-    dependents = prerequisites.groupBy(F.col("requires").alias("rule_id")).agg(
-        F.collect_set(F.col("rule_id")).alias("__dependents")
-    )
-    marked = lookup_join(
-        results, dependents, on=["rule_id"], spread_by=[entity], how="left", salts=salts
+def _drop_blocked(
+    results: DataFrame, rules: DataFrame, prerequisites: DataFrame, entity: str, spread: dict
+) -> DataFrame:
+    rule = rules.columns
+    dependents = (
+        prerequisites.join(rules, "rule_id")
+        .groupBy(F.col("requires").alias("rule_id"))
+        .agg(F.collect_set(F.struct(*rule, F.lit("blocked").alias("status"))).alias("__dependents"))
     )
+    marked = lookup_join(results, dependents, on=["rule_id"], how="left", **spread)
     # A result speaks for itself, and a failure also against the rules behind it.
-    own = F.array(F.struct("rule_id", "status"))
-    blocked = F.transform(
-        "__dependents", lambda r: F.struct(r.alias("rule_id"), F.lit("blocked").alias("status"))
-    )
-    against = F.when((F.col("status") == "fail") & blocked.isNotNull(), blocked).otherwise(
-        F.array().cast("array<struct<rule_id:string,status:string>>")
-    )
-    said = [F.bool_or(F.col("status") == s).alias(s) for s in ("pass", "fail", "skip", "blocked")]
+    own = F.array(F.struct(*rule, "status"))
+    with_blocked = F.when(
+        (F.col("status") == "fail") & F.col("__dependents").isNotNull(), F.concat(own, "__dependents")
+    ).otherwise(own)
+    said = [F.bool_or(F.col("status") == s).alias(s) for s in ("pass", "skip", "blocked")]
+    status = F.when(F.col("skip"), "skip").when(F.col("pass"), "pass").otherwise("fail")
     return (
-        marked.select(entity, F.inline(F.concat(own, against)))
-        .groupBy(entity, "rule_id")
+        marked.select(entity, F.inline(with_blocked))
+        .groupBy(entity, *rule)
         .agg(*said)
         .filter(~F.col("blocked"))
-        .select(
-            entity,
-            "rule_id",
-            F.when(F.col("skip"), "skip").when(F.col("pass"), "pass").otherwise("fail").alias("status"),
-        )
+        .select(entity, *rule, status.alias("status"))
     )
 
 

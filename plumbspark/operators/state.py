@@ -72,9 +72,10 @@ def unknown_values(df: DataFrame, column: str, allowed: Sequence | DataFrame) ->
         counts = df.groupBy(column).agg(F.count("*").alias("n_rows"))
         known = allowed.select(F.col(column).alias("__allowed"))
         return counts.join(known, F.col(column).eqNullSafe(F.col("__allowed")), "left_anti")
-    values = [v for v in allowed if v is not None]
-    known = F.coalesce(F.col(column).isin(values), F.lit(None in allowed))
-    return df.filter(~known).groupBy(column).agg(F.count("*").alias("n_rows"))
+    unknown = ~F.col(column).isin([v for v in allowed if v is not None])
+    if None not in allowed:
+        unknown = unknown | F.col(column).isNull()
+    return df.filter(unknown).groupBy(column).agg(F.count("*").alias("n_rows"))
 
 
 def require_known(
@@ -168,12 +169,13 @@ def diff_snapshots(source: DataFrame, target: DataFrame, key: str | Sequence[str
     """
     keys = [key] if isinstance(key, str) else list(key)
 
-    def digests(df: DataFrame, weight: int) -> DataFrame:
+    def digests(df: DataFrame, side: int) -> DataFrame:
         digest = F.unhex(F.sha2(F.col(content), 256))
-        return df.filter(F.col(content).isNotNull()).select(
-            *keys, digest.alias("__digest"), F.lit(weight).alias("__weight")
-        )
+        return df.select(*keys, digest.alias("__digest"), F.lit(side).alias("__side"))
 
+    # NULL digests are told apart in the aggregation: a filter would move below it
+    # and compute an edited text once more.
+    exists = F.col("__digest").isNotNull()
     in_source, in_target, differs = F.col("__in_source"), F.col("__in_target"), F.col("__differs")
     status = (
         F.when(~in_target, "missing")
@@ -187,15 +189,16 @@ def diff_snapshots(source: DataFrame, target: DataFrame, key: str | Sequence[str
         .unionByName(digests(target, -1))
         .groupBy(*keys, "__digest")
         .agg(
-            F.bool_or(F.col("__weight") > 0).alias("__in_source"),
-            F.bool_or(F.col("__weight") < 0).alias("__in_target"),
-            F.sum("__weight").alias("__surplus"),
+            F.bool_or(exists & (F.col("__side") > 0)).alias("__in_source"),
+            F.bool_or(exists & (F.col("__side") < 0)).alias("__in_target"),
+            F.sum("__side").alias("__surplus"),
         )
         .groupBy(*keys)
         .agg(
             F.bool_or("__in_source").alias("__in_source"),
             F.bool_or("__in_target").alias("__in_target"),
-            F.bool_or(F.col("__surplus") != 0).alias("__differs"),
+            F.bool_or(exists & (F.col("__surplus") != 0)).alias("__differs"),
         )
+        .filter(in_source | in_target)
         .select(*keys, status.alias("status"), action.alias("action"))
     )

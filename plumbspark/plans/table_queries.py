@@ -32,6 +32,8 @@ from plumbspark.operators import (
 from plumbspark.plans.conformance import conformance_report as report
 from plumbspark.sources import read_table
 
+RULE_SCHEMA = "rule_id string, section string, kind string, target string, pattern string, message string"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -259,10 +261,11 @@ def evaluate_dependent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
     ),
     asked AS (
-        SELECT doc_id, 'legal' AS section, 'license' AS rule_id, true AS applies, license AS ok, true AS evaluated FROM found
-        UNION ALL SELECT doc_id, 'legal', 'contact', true, contact, license FROM found
-        UNION ALL SELECT doc_id, 'review', 'good', lang IN ('en', 'de'), good, true FROM found
-        UNION ALL SELECT doc_id, 'review', 'clean', lang IN ('en', 'de'), clean, good OR lang NOT IN ('en', 'de') FROM found
+        SELECT doc_id, 'english' AS section, 'license' AS rule_id, lang = 'en' AS applies, license AS ok, true AS evaluated FROM found
+        UNION ALL SELECT doc_id, 'english', 'contact', lang = 'en', contact, license OR lang <> 'en' FROM found
+        UNION ALL SELECT doc_id, 'german', 'kontakt', lang = 'de', contact, true FROM found
+        UNION ALL SELECT doc_id, 'review', 'good', true, good, true FROM found
+        UNION ALL SELECT doc_id, 'review', 'clean', true, clean, good FROM found
     )
     SELECT doc_id, section, rule_id,
            CASE WHEN NOT applies THEN 'skip' WHEN ok THEN 'pass' ELSE 'fail' END AS status,
@@ -272,23 +275,26 @@ def evaluate_dependent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def check_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
-    scopes = [ScopeRule("legal"), ScopeRule("review", "lang", "en"), ScopeRule("review", "lang", "de")]
+    scopes = [ScopeRule("english", "lang", "en"), ScopeRule("german", "lang", "de"), ScopeRule("review")]
     rules = spark.createDataFrame(
         [
-            ("license", "legal", "line", "body", "(?i)licen[sc]e", "checks license"),
-            ("contact", "legal", "line", "body", "[a-z0-9.]+@[a-z0-9]+", "checks contact"),
+            ("license", "english", "line", "en", "(?i)licen[sc]e", "checks license"),
+            ("contact", "english", "line", "en", "[a-z0-9.]+@[a-z0-9]+", "checks contact"),
+            ("kontakt", "german", "line", "de", "[a-z0-9.]+@[a-z0-9]+", "checks kontakt"),
             ("good", "review", "quality", "1", None, "checks good"),
             ("clean", "review", "toxic", "0", None, "checks clean"),
         ],
-        "rule_id string, section string, kind string, target string, pattern string, message string",
+        RULE_SCHEMA,
     )
     needs = spark.createDataFrame([("contact", "license"), ("clean", "good")], "rule_id string, requires string")
-    labelled = labels.select("doc_id", F.stack(F.lit(2), F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("kind", "name"))
+    labelled = labels.select(
+        "doc_id", F.stack(F.lit(2), F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("kind", "name")
+    )
     return check_rules(
         applicable(documents, scopes, ["doc_id"], keep_all=True),
         rules,
-        inventory=labelled.select("doc_id", "kind", F.col("name").cast("string").alias("name")),
-        docs=documents.select("doc_id", F.lit("body").alias("path"), "text"),
+        inventory=labelled.withColumn("name", F.col("name").cast("string")),
+        docs=documents.select("doc_id", F.col("lang").alias("path"), "text"),
         prerequisites=needs,
         entity="doc_id",
     )
@@ -322,7 +328,7 @@ def check_inventory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
             ("done", "orders", "status", "F", None, ""),
             ("rush", "machines", "priority", "1-URGENT", None, ""),
         ],
-        "rule_id string, section string, kind string, target string, pattern string, message string",
+        RULE_SCHEMA,
     )
     inventory = read_table(spark, sf_dir, "orders").select(
         F.col("o_custkey").alias("c_custkey"),
