@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbspark.llm.simhash import simhash_components
 from plumbspark.llm.storage import ship_package
 from plumbspark.llm.tokens import count_tokens
 from plumbspark.llm.windows import drop_repeated_windows
@@ -22,6 +23,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(_table(spark, sf_dir, "documents"), width=4, limit=4)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeated_windows(_table(spark, sf_dir, "documents"), width=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -29,6 +34,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
