@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbspark.llm.contamination import find_contamination
 from plumbspark.llm.simhash import simhash_components
 from plumbspark.llm.storage import ship_package
 from plumbspark.llm.tokens import count_tokens
@@ -27,6 +28,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"), width=4, limit=4)
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
+    digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = drop_repeated_windows(_table(spark, sf_dir, "documents"), width=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
@@ -35,6 +42,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
