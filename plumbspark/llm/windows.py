@@ -15,7 +15,7 @@ from plumbspark.llm.storage import cut
 from plumbspark.llm.text import Runs, Texts, blocks, codes, mixed, words
 
 #: Text bytes of a part: what one task holds at a time, beside its longest text.
-PART_BYTES = 16 << 20
+PART_BYTES = 6 << 20
 
 #: Odd, so that no bit of a window's first word is lost; words are mixed before and windows after.
 _STEP = np.uint64(0xD6E8FEB86659FD93)
