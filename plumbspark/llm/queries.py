@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbspark.llm.contamination import find_contamination
+from plumbspark.llm.packing import pack_documents
 from plumbspark.llm.quality import quality_cascade
 from plumbspark.llm.simhash import simhash_components
 from plumbspark.llm.storage import ship_package
 from plumbspark.llm.tokens import count_tokens
+from plumbspark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from plumbspark.llm.urls import judge_urls, url_rules
 from plumbspark.llm.windows import drop_repeated_windows
 
@@ -30,6 +32,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), window=4096, end_id=2)
+    return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
@@ -39,6 +46,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
+    done = score_toxicity(documents, model)
+    return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), url_rules(spark, URL_RULES))
 
@@ -59,8 +73,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixture_packing": op1_mixture_packing,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
@@ -70,6 +86,7 @@ QUERIES = {
 _WHITE = r"[\x20\x09-\x0D]"
 
 SQL: dict[str, str] = {
+    "op6_toxicity": op6_toxicity,
     "op7_url_filter": """
         WITH parts AS (
             SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
