@@ -102,7 +102,7 @@ def _search_blocks(benchmark: DataFrame, width: int, item_column: str, text_colu
         yield kept
 
 
-def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10, block_windows: int = BLOCK_WINDOWS, keep_columns: bool = False) -> DataFrame:
     """Words of each document inside any occurrence of a benchmark window, and the items found.
 
     The benchmark is the stated query set: it is searched in blocks of ``block_windows``
@@ -110,15 +110,20 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
     follow each other in the same tasks, so that no document is shuffled and no more than one
     block is made at a time.  Within a block each length of test string has its tables.
 
-    Returns ``id_column, n_words, n_hit, items, hits``: the item ids as sorted distinct
+    Returns ``id_column, n_words, n_hit, items, hits``, or with ``keep_columns`` the documents
+    with these columns in place of any of the same names: the item ids as sorted distinct
     strings, and the maximal intervals of hit words ``(start, end)``, end exclusive.  One row
     per input row.  NULL texts and items have no words; an item without an id is left out; an
     empty benchmark finds nothing; repeated items count once; a NULL document id is kept.
     """
     spark = documents.sparkSession
-    kind = documents.schema[id_column].dataType
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([T.StructField("id", kind), T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", span)])
+    results = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", span)]
+    own = [F.col(x) for x in documents.columns if x not in {f.name for f in results}] if keep_columns else [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")]
+    picked = documents.select(own)
+    searched = text_column if keep_columns else "text"
+    schema = T.StructType([*picked.schema.fields, *results])
+    last = len(picked.columns)
 
     def search(tables) -> object:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,11 +131,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
             for string, items in (tables.value if tables else {}).items():
                 by_length[len(string)][string] = items
             searches = [WindowSearch(x) for _, x in sorted(by_length.items())]
-            for rows, texts in blocks(batches, "text"):
+            for rows, texts in blocks(batches, searched):
                 word, first = word_lists(texts)
                 first = first.tolist()
                 step = np.zeros(len(word) + 1, dtype=np.int32)
-                old_hits, old_items = rows.column(5).to_pylist(), rows.column(4).to_pylist()
+                old_hits, old_items = rows.column(last + 3).to_pylist(), rows.column(last + 2).to_pylist()
                 n_hit, all_items, all_hits = [], [], []
                 for i, (low, high) in enumerate(zip(first[:-1], first[1:], strict=True)):
                     items, found = set(old_items[i]), False
@@ -152,16 +157,16 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
                     n_hit.append(int((edges[:, 1] - edges[:, 0]).sum()))
                     all_items.append(sorted(items))
                     all_hits.append([{"start": a, "end": b} for a, b in edges.tolist()])
-                columns = [rows.column(0), rows.column(1), pa.array(np.diff(first)), pa.array(n_hit, type=pa.int64()), pa.array(all_items, type=pa.list_(pa.string())), pa.array(all_hits, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+                columns = [*rows.columns[:last], pa.array(np.diff(first)), pa.array(n_hit, type=pa.int64()), pa.array(all_items, type=pa.list_(pa.string())), pa.array(all_hits, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return scan
 
-    done = documents.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(span).alias("hits"))
+    done = picked.select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(span).alias("hits"))
     some = False
     for strings in _search_blocks(benchmark, width, item_column, item_text_column, block_windows):
         done = done.mapInArrow(search(spark.sparkContext.broadcast(strings)), schema)
         some = True
     if not some:
         done = done.mapInArrow(search(None), schema)
-    return done.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "hits")
+    return done if keep_columns else done.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "hits")

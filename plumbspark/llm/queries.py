@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbspark.llm.contamination import find_contamination
 from plumbspark.llm.packing import pack_documents
+from plumbspark.llm.pii import pseudonymize
 from plumbspark.llm.quality import quality_cascade
+from plumbspark.llm.secret_scan import fit_network, scan_secrets
 from plumbspark.llm.simhash import simhash_components
 from plumbspark.llm.storage import ship_package
 from plumbspark.llm.tokens import count_tokens
@@ -18,6 +20,9 @@ from plumbspark.llm.windows import drop_repeated_windows
 
 TOKENIZER = "word_bpe_49k.json"
 
+#: The key of pseudonyms made by the registered query; jobs pass one of their own.
+PII_KEY = b"key of the registered query"
+
 #: Verdict, host and path of the URL rules.
 URL_RULES = (
     ("block", "net", "/"),
@@ -37,6 +42,18 @@ def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = scan_secrets(documents, fit_network(documents))
+
+    def shown(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+    counts = [F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    base = F.filter("spans", lambda x: x["kind"] != "model")
+    return done.select("doc_id", *counts, F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
@@ -46,6 +63,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), "pii")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
@@ -74,8 +96,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixture_packing": op1_mixture_packing,
+    "op2_secret_scan": op2_secret_scan,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": op7_url_filter,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -86,6 +110,7 @@ QUERIES = {
 _WHITE = r"[\x20\x09-\x0D]"
 
 SQL: dict[str, str] = {
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_toxicity": op6_toxicity,
     "op7_url_filter": """
         WITH parts AS (

@@ -162,3 +162,16 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     named = classes.join(least, "root").select("fp", "component_id")
     done = marked.join(named, "fp")
     return done.select(F.col("id").cast(kind).alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
+    """``documents`` with one row of each group of near-duplicates: that of the smallest id.
+
+    Of rows with the same id one stays.  Rows without an id can't be told apart; they take no
+    part and all stay.
+    """
+    named = documents.where(F.col(id_column).isNotNull())
+    found = simhash_components(named, id_column=id_column, text_column=text_column, width=width, limit=limit)
+    first = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id")).distinct()
+    kept = named.join(first, F.col(id_column) == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
+    return kept.unionByName(documents.where(F.col(id_column).isNull()))
