@@ -4,23 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, comb, pi, sqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
 from plumbspark.llm.storage import cut
-from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, words
+from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, codes, mixed, words
+from plumbspark.llm.windows import window_hashes
 
 #: Blocks that a fingerprint is split into.  Fingerprints within 4 bits share 3 of 7 blocks.
 BLOCKS = 7
 
 #: Fingerprints of one block key that are compared in one go; larger keys are dealt out in tiles.
-TILE = 2048
+TILE = 16_384
 
 
 def fingerprints(texts: Texts, width: int) -> np.ndarray:
@@ -71,8 +73,8 @@ def _block_keys(fingerprint: Column, shared: int, blocks_of: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fingerprint.bitwiseAND(F.lit(x)).alias("bits")) for i, x in enumerate(signed)])
 
 
-def _links(groups: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    """Edges that connect what is linked within each key, at most one a fingerprint and tile.
+def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Iterator[pd.DataFrame]:
+    """Edges that connect what is linked within each key, at most one a node and tile.
 
     The rows come sorted by key and tile; a group may go on in the next batch.
     """
@@ -80,34 +82,38 @@ def _links(groups: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]
     names = ["choice", "bits", "row_tile", "column_tile"]
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame["fp"].to_numpy().view(np.uint64)
+        bits = [frame[x].to_numpy().view(np.uint64) for x in ("fp", "wide_1", "wide_2")]
+        node = frame["node"].to_numpy()
+
+        def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+            apart = [np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits]
+            return (apart[0] <= limit) & (apart[1] + apart[2] <= wide_limit)
+
         changed = (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)
         begin = np.concatenate([[0], np.flatnonzero(changed) + 1])
-        end = np.append(begin[1:], len(values))
-        left, right = [], []
+        end = np.append(begin[1:], len(node))
         size = end - begin
         pair = begin[size == 2]
-        near = np.bitwise_count(values[pair] ^ values[pair + 1]) <= limit
-        left.append(values[pair[near]])
-        right.append(values[pair[near] + 1])
+        pair = pair[near(pair, pair + 1)]
+        left, right = [node[pair]], [node[pair + 1]]
         for a, b in zip(begin[size > 2].tolist(), end[size > 2].tolist(), strict=True):
-            open_ = np.unique(values[a:b])
+            open_ = a + np.unique(node[a:b], return_index=True)[1]
             while len(open_) > 1:
                 frontier, open_ = open_[:1], open_[1:]
                 while len(frontier) and len(open_):
-                    near = np.bitwise_count(open_ ^ frontier[0]) <= limit
-                    new = open_[near]
-                    left.append(np.full(len(new), frontier[0], dtype=np.uint64))
-                    right.append(new)
-                    frontier, open_ = np.concatenate([frontier[1:], new]), open_[~near]
-        return pd.DataFrame({"a": np.concatenate(left).view(np.int64), "b": np.concatenate(right).view(np.int64)})
+                    close = near(frontier[0], open_)
+                    new = open_[close]
+                    left.append(np.full(len(new), node[frontier[0]]))
+                    right.append(node[new])
+                    frontier, open_ = np.concatenate([frontier[1:], new]), open_[~close]
+        return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
 
     for frame in groups:
         rest = pd.concat([rest, frame], ignore_index=True) if len(rest) else frame.reset_index(drop=True)
         if not len(rest):
             continue
         last = (rest[names] == rest[names].iloc[-1]).all(axis=1).to_numpy()
-        at = len(rest) if not last.any() else int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+        at = 0 if last.all() else int(np.flatnonzero(~last)[-1]) + 1
         if at:
             yield edges(rest.iloc[:at])
             rest = rest.iloc[at:]
@@ -115,27 +121,29 @@ def _links(groups: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]
         yield edges(rest.reset_index(drop=True))
 
 
-def near_fingerprints(distinct: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
-    """Edges ``a, b`` between the distinct fingerprints ``fp`` that connect all within ``limit`` bits.
+def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wide_limit: int = 128) -> DataFrame:
+    """Edges ``a, b`` that connect all nodes with fingerprints within ``limit`` bits.
 
+    ``marked``: distinct ``node, table, fp, wide_1, wide_2``.  Nodes are compared within a
+    table; the 128 bits of the two wide fingerprints must also lie within ``wide_limit``.
     Two fingerprints within ``limit`` bits agree in ``blocks_of - limit`` whole blocks: each
-    goes to one key for each such choice of blocks.  Within a key linked fingerprints are
-    connected by a spanning forest, not by all their pairs.  A key of more than ``TILE``
-    fingerprints is dealt out as tiles of ``TILE``, and every two tiles meet in a group of
-    their own.
+    goes to one key for each such choice of blocks.  Within a key linked nodes are connected
+    by a spanning forest, not by all their pairs.  A key of more than ``TILE`` nodes is
+    dealt out as tiles of ``TILE``, and every two tiles meet in a group of their own.
     """
-    keyed = distinct.select("fp", F.explode(_block_keys(F.col("fp"), blocks_of - limit, blocks_of)).alias("key")).select("fp", "key.choice", "key.bits")
-    sizes = keyed.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = keyed.join(sizes, ["choice", "bits"])
+    shared = blocks_of - limit
+    choices = comb(blocks_of, shared)
+    keyed = marked.select("*", F.explode(_block_keys(F.col("fp"), shared, blocks_of)).alias("key"))
+    keyed = keyed.select("node", "fp", "wide_1", "wide_2", (F.col("table") * choices + F.col("key.choice")).alias("choice"), "key.bits")
+    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "bits"))).where("n > 1")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-    other = F.sequence(F.lit(0), tiles - 1)
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    met = counted.select("node", "fp", "wide_1", "wide_2", "choice", "bits", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
     # the group of two tiles is named by the smaller and the larger of their numbers
-    met = dealt.select("fp", "choice", "bits", own.alias("tile"), F.explode(other).alias("with"))
-    met = met.select("fp", "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
+    met = met.select("node", "fp", "wide_1", "wide_2", "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
     keys = ["choice", "bits", "row_tile", "column_tile"]
     grouped = met.repartition(*keys).sortWithinPartitions(*keys)
-    return grouped.mapInPandas(lambda groups: _links(groups, limit), "a bigint, b bigint").distinct()
+    return grouped.mapInPandas(lambda groups: _links(groups, limit, wide_limit), "a bigint, b bigint").distinct()
 
 
 def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
@@ -156,7 +164,8 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     marked = cut(picked.mapInArrow(scan, "id bigint, fp bigint"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
-    roots = component_roots(near_fingerprints(distinct.select("fp"), limit=limit, blocks_of=blocks_of))
+    nodes = distinct.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp", F.lit(0).cast("bigint").alias("wide_1"), F.lit(0).cast("bigint").alias("wide_2"))
+    roots = component_roots(near_links(nodes, limit=limit, blocks_of=blocks_of))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, "root").select("fp", "component_id")
@@ -164,14 +173,85 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     return done.select(F.col("id").cast(kind).alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id"))
 
 
-def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4) -> DataFrame:
-    """``documents`` with one row of each group of near-duplicates: that of the smallest id.
+#: Words of at least so many bytes make the fingerprints of near copies, where a text has so many of them.
+WORD_BYTES, WORD_COUNT = 6, 24
+
+
+def copy_fingerprints(texts: Texts, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every text the fingerprints of its distinct words, one a table, and 128 bits of its shingles."""
+    lower = Texts(LOWER[texts.data], texts.offsets)
+    found = words(lower)
+    code, distinct, hashes = codes(lower.data, found)
+    long = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) >= WORD_BYTES
+    n = np.diff(found.first)
+    owner = np.repeat(np.arange(len(texts)), n)
+    pair = np.unique(owner * max(len(distinct), 1) + code)
+    owner, code = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
+    rich = np.bincount(owner, weights=long[code], minlength=len(texts)) >= WORD_COUNT
+    used = long[code] | ~rich[owner]
+    owner, code = owner[used], code[used]
+    narrow = np.zeros((tables, len(texts)), dtype=np.uint64)
+    some, begin = np.unique(owner, return_index=True)
+    for table in range(tables if len(some) else 0):
+        narrow[table, some] = _majority(mixed(hashes[code] + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), begin)
+    found, at, value, _, _ = window_hashes(lower, width)
+    wide = np.zeros((2, len(texts)), dtype=np.uint64)
+    some, begin = np.unique(np.searchsorted(found.first, at, side="right") - 1, return_index=True)
+    if len(some):
+        wide[0, some], wide[1, some] = _majority(value, begin), _majority(mixed(value + np.uint64(1)), begin)
+    # shorter texts are like none but their own copies
+    raw = texts.data
+    for i in np.flatnonzero(n < width).tolist():
+        key = xxhash.xxh64_intdigest(b" ".join(LOWER[raw[texts.offsets[i] : texts.offsets[i + 1]]].tobytes().split()), 1)
+        wide[:, i] = mixed(np.array([key, key + 1 & (1 << 64) - 1], dtype=np.uint64))
+    return narrow, wide
+
+
+def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 4, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
+    """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
+
+    At this similarity the fingerprints of shingles differ in ten bits, which no choice of blocks
+    can find; those of distinct longer words differ in about four.  So ``tables`` independent
+    fingerprints of words look for candidates over shared blocks, and 128 bits of shingle
+    fingerprint decide: as many may differ as the similarity makes likely.  Texts with the same
+    words in the same order are one node.
+
+    Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
+    empty texts are copies of each other.
+    """
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    wide_limit = round(128 * share + 1.5 * sqrt(128 * share * (1 - share)))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in blocks(batches, "text"):
+            narrow, wide = copy_fingerprints(texts, width, tables)
+            raw = LOWER[texts.data].tobytes()
+            cuts = texts.offsets.tolist()
+            nodes = [xxhash.xxh64_intdigest(b" ".join(raw[a:b].split()), 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            prints = pa.array(narrow.T.view(np.int64).tolist(), type=pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), prints, pa.array(wide[0].view(np.int64)), pa.array(wide[1].view(np.int64))], names=["id", "node", "fps", "wide_1", "wide_2"])
+
+    kind = documents.schema[id_column].dataType
+    picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, fps array<bigint>, wide_1 bigint, wide_2 bigint"))
+    distinct = marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min(F.struct("fps", "wide_1", "wide_2")).alias("print"))
+    distinct = cut(distinct)
+    nodes = distinct.select("node", F.posexplode("print.fps").alias("table", "fp"), "print.wide_1", "print.wide_2")
+    roots = component_roots(near_links(nodes, limit=limit, blocks_of=blocks_of, wide_limit=wide_limit)).withColumnRenamed("node", "member")
+    classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = classes.join(least, "root").select("node", "component_id")
+    return marked.select("id", "node").join(named, "node").select(F.col("id").cast(kind).alias(id_column), F.col("component_id").cast(kind).alias("component_id"))
+
+
+def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``documents`` with one row of each group of near copies: that of the smallest id.
 
     Of rows with the same id one stays.  Rows without an id can't be told apart; they take no
     part and all stay.
     """
     named = documents.where(F.col(id_column).isNotNull())
-    found = simhash_components(named, id_column=id_column, text_column=text_column, width=width, limit=limit)
+    found = near_copies(named, id_column=id_column, text_column=text_column, width=width, similarity=similarity)
     first = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id")).distinct()
     kept = named.join(first, F.col(id_column) == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
     return kept.unionByName(documents.where(F.col(id_column).isNull()))
