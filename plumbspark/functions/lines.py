@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 LINE_MODES = ("regex", "regex_line", "word", "fixed", "fixed_line")
 
+#: What a word is made of in any language; a match of mode "word" has none of it on either side.
+WORD_CHARACTER = r"[\p{L}\p{M}\p{N}_]"
+
 
 def text_lines(text: Column | str) -> Column:
     """Array of the lines of ``text``; empty for an empty text, NULL for NULL."""
@@ -40,10 +43,27 @@ def line_regex(pattern: str, mode: str = "regex", ignore_case: bool = False) ->
     if mode in ("regex_line", "fixed_line"):
         body = f"^(?:{body})$"
     elif mode == "word":
-        body = rf"(?<!\w)(?:{body})(?!\w)"
+        body = rf"(?<!{WORD_CHARACTER})(?:{body})(?!{WORD_CHARACTER})"
     return ("(?sdiu)" if ignore_case else "(?sd)") + body
 
 
+def line_regex_column(pattern: str, mode: str, ignore_case: str) -> Column:
+    """As :func:`line_regex` for columns, NULL meaning a plain regex; mode ``suffix`` is fixed text that ends the line."""
+    given, how = F.col(pattern), F.coalesce(mode, F.lit("regex"))
+    quoted = F.regexp_replace(given, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    whole = lambda body: F.concat(F.lit("^(?:"), body, F.lit(")$"))
+    body = (
+        F.when(how == "regex", given)
+        .when(how == "regex_line", whole(given))
+        .when(how == "word", F.concat(F.lit(f"(?<!{WORD_CHARACTER})(?:"), given, F.lit(f")(?!{WORD_CHARACTER})")))
+        .when(how == "fixed", quoted)
+        .when(how == "fixed_line", whole(quoted))
+        .when(how == "suffix", F.concat(quoted, F.lit("$")))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown mode: "), how)).cast("string"))
+    )
+    return F.concat(F.when(F.coalesce(ignore_case, F.lit(False)), "(?sdiu)").otherwise("(?sd)"), body)
+
+
 def line_predicate(
     pattern: str, mode: str = "regex", ignore_case: bool = False, invert: bool = False
 ) -> Callable[[Column], Column]:
@@ -87,6 +107,13 @@ def has_line(
     return F.coalesce(hit, F.lit(False))
 
 
+def lines_match(
+    lines: Column | str, pattern: str, mode: str = "regex", ignore_case: bool = False, invert: bool = False
+) -> Column:
+    """:func:`has_line` over lines that are already split, for many tests of one text."""
+    return F.coalesce(F.exists(_col(lines), line_predicate(pattern, mode, ignore_case, invert)), F.lit(False))
+
+
 def quote_regex(literal: str) -> str:
     """Java regex that matches ``literal`` as it stands."""
     return re.sub(r"([\\^$.|?*+()\[\]{}])", r"\\\1", literal)

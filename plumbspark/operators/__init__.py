@@ -1,6 +1,5 @@
 """Operators: plain functions from DataFrames to DataFrames."""
 
-from plumbspark.operators.joins import lookup_join
 from plumbspark.operators.rewrite import Rewrite, append_if_absent, rewrite_lines
 from plumbspark.operators.rules import (
     Rule,
@@ -33,7 +32,6 @@ __all__ = [
     "diff_snapshots",
     "evaluate_rules",
     "latest_matching",
-    "lookup_join",
     "manifest_items",
     "match_lines",
     "missing_items",

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbspark.functions.lines import text_lines
-from plumbspark.operators.joins import SALTS, fits_broadcast, lookup_join
+from plumbspark.functions.lines import line_regex_column, text_lines
+from plumbspark.sources.tables import small_table
 
 ANY = "*"
+EFFECTS = ("include", "exclude")
+
+#: Prerequisites of a rule table that are read to the driver to be followed, at most.
+MAX_PREREQUISITES = 100_000
+
+#: Alternative probes that a rule of a rule table can have; each is one bit of a long.
+MAX_PROBES = 62
 
 
 @dataclass(frozen=True)
@@ -54,12 +61,29 @@ def evaluate_rules(facts: DataFrame, rules: Sequence[Rule], keys: Sequence[str])
     The rules are part of the plan: every row unfolds into its results with no
     join and no shuffle, and rule texts compile once.
     """
+    return unfold_outcomes(rule_outcomes(facts, rules, keys), rules, keys)
+
+
+def rule_outcomes(
+    facts: DataFrame, rules: Sequence[Rule], keys: Sequence[str], carry: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """One narrow row per entity: ``keys``, the status of every rule, and the columns of ``carry``."""
     _require_valid(rules)
-    by_id = {rule.rule_id: rule for rule in rules}
-    column = {rule.rule_id: f"__status_{i}" for i, rule in enumerate(rules)}
+    carried = [column.alias(name) for name, column in (carry or {}).items()]
+    statuses = [_status(rule).alias(name) for rule, name in zip(rules, _status_names(rules), strict=True)]
+    return facts.select(*keys, *carried, *statuses)
 
-    # Outcomes first, then which of them count, so each check is computed once.
-    facts = facts.select(*keys, *[_status(rule).alias(column[rule.rule_id]) for rule in rules])
+
+def unfold_outcomes(
+    outcomes: DataFrame, rules: Sequence[Rule], keys: Sequence[str], enabled: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """The results of :func:`evaluate_rules` from :func:`rule_outcomes`.
+
+    With ``enabled``, a condition per section, rules of a section where it doesn't hold give
+    no row, and neither do sections that it doesn't name.
+    """
+    by_id = {rule.rule_id: rule for rule in rules}
+    column = dict(zip(by_id, _status_names(rules), strict=True))
     results = []
     for rule in rules:
         status = F.col(column[rule.rule_id])
@@ -72,81 +96,105 @@ def evaluate_rules(facts: DataFrame, rules: Sequence[Rule], keys: Sequence[str])
             .otherwise(rule.on_skip)
             .alias("message"),
         )
-        needed = _all_required(rule, by_id)
-        if needed:
-            evaluated = reduce(and_, [F.col(column[name]) != "fail" for name in needed])
-            result = F.when(evaluated, result)
-        results.append(result)
-    rows = facts.select(*keys, F.explode(F.array(*results)).alias("__result"))
-    if any(rule.requires for rule in rules):
+        conditions = [F.col(column[name]) != "fail" for name in _all_required(rule.rule_id, {r.rule_id: r.requires for r in rules})]
+        if enabled is not None:
+            conditions.append(enabled.get(rule.section, F.lit(False)))
+        results.append(F.when(reduce(and_, conditions), result) if conditions else result)
+    rows = outcomes.select(*keys, F.explode(F.array(*results)).alias("__result"))
+    if enabled is not None or any(rule.requires for rule in rules):
         rows = rows.filter(F.col("__result").isNotNull())
     return rows.select(*keys, "__result.*")
 
 
+def _status_names(rules: Sequence[Rule]) -> list[str]:
+    return [f"__status_{i}" for i in range(len(rules))]
+
+
 def check_rules(
     pairs: DataFrame,
     rules: DataFrame,
     inventory: DataFrame | None = None,
     docs: DataFrame | None = None,
-    prerequisites: DataFrame | None = None,
+    prerequisites: DataFrame | Sequence[tuple[str, str]] | None = None,
     entity: str = "host",
-    salts: int = SALTS,
-    small_rules: bool | None = None,
 ) -> DataFrame:
     """Rules given as a table: ``(entity, section, rule_id, status, message)``.
 
     - ``pairs``: ``(entity, section)`` to check, as from :func:`applicable`; with a
       boolean ``applies`` column, pairs where it is false are skipped.
-    - ``rules``: ``(rule_id, section, kind, target, pattern, message)``. A rule with
-      a ``pattern`` (Java regex) holds if some line of document ``target`` matches;
-      one without holds if the inventory has ``(kind, name = target)``.
+    - ``rules``: ``(rule_id, section, kind, target, pattern, message)``, one row per
+      probe. A probe with a ``pattern`` holds if some line of document ``target``
+      matches; one without holds if the inventory has ``(kind, name = target)``. A rule
+      with several rows holds if any of its probes does. Optional columns: ``mode``, one
+      of :data:`plumbspark.functions.lines.LINE_MODES` or ``suffix`` (NULL: ``regex``);
+      ``ignore_case``; ``max_count``, with which a probe holds as long as no more lines,
+      or distinct inventory entries, match: 0 asks for their absence, also from a missing
+      document.
     - ``inventory``: ``(entity, kind, name)``; ``docs``: ``(entity, path, text)``.
-    - ``prerequisites``: ``(rule_id, requires)``; a rule with a failed requirement
-      gives no row. List indirect requirements too.
-
-    What was asked and what was found meet in one aggregation by entity and rule,
-    so repeated inventory entries collapse before the shuffle and no entity, rule
-    or path is ever gathered into one group. Rules are broadcast if a measurement
-    of the table, or ``small_rules``, says that they are small; then neither the
-    inventory nor the texts are shuffled.
+    - ``prerequisites``: ``(rule_id, requires)``; a rule with a failed requirement, direct
+      or through others, gives no row. They are followed on the driver, which reads at
+      most ``MAX_PREREQUISITES`` of them; a rule that requires itself raises ValueError.
+
+    Documents meet the probes of their path before they are split, and each sends one
+    small row per rule, in which a bit stands for a probe. What was asked and what was
+    found meet in one aggregation by entity and rule; sections and messages are added
+    to its result. All joins are plain equi-joins: rules are broadcast if Catalyst knows
+    them to be small, and a hot key's rows can be split.
     """
-    if small_rules is None:
-        small_rules = fits_broadcast(rules)
-    spread = {"spread_by": [entity], "salts": salts, "small": small_rules}
     if "applies" not in pairs.columns:
         pairs = pairs.withColumn("applies", F.lit(True))
-    rule = ["rule_id", "section", "message"]
-    facts = lookup_join(
-        pairs.select(entity, "section", "applies"), rules.select(*rule), on=["section"], **spread
-    ).select(entity, *rule, "applies", F.lit(False).alias("found"))
-
+    optional = {"mode": "string", "ignore_case": "boolean", "max_count": "bigint"}
+    given = [F.col(c).cast(t).alias(c) if c in rules.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
+    probes = rules.select("rule_id", "section", "kind", "target", "pattern", "message", *given)
+    order = Window.partitionBy("rule_id").orderBy("kind", "target", "pattern", "mode", "ignore_case", "max_count")
+    number = F.row_number().over(order) - 1
+    too_many = F.raise_error(F.concat(F.lit("too many probes: "), "rule_id")).cast("int")
+    probes = probes.withColumn("probe", F.when(number < MAX_PROBES, number).otherwise(too_many))
+    probes = probes.withColumn("bit", F.expr("shiftleft(1L, probe)"))
+
+    # A probe is found if it has a match; one with max_count if it has too many.
+    rule_table = probes.groupBy("rule_id", "section", "message").agg(
+        F.coalesce(F.bit_or(F.when(F.col("max_count").isNull(), F.col("bit"))), F.lit(0)).alias("wanted"),
+        F.coalesce(F.bit_or(F.when(F.col("max_count").isNotNull(), F.col("bit"))), F.lit(0)).alias("bounded"),
+    )
+    facts = pairs.join(rule_table.select("rule_id", "section"), "section").select(
+        entity, "rule_id", "applies", F.lit(0).cast("bigint").alias("found")
+    )
     # applies stays NULL for evidence nobody asked for.
-    evidence = [F.lit(None).cast("boolean").alias("applies"), F.lit(True).alias("found")]
+    unasked = F.lit(None).cast("boolean").alias("applies")
+    least = F.coalesce("max_count", F.lit(0))
     if inventory is not None:
-        wanted = rules.filter(F.col("pattern").isNull()).select(*rule, "kind", F.col("target").alias("name"))
-        present = lookup_join(inventory.select(entity, "kind", "name"), wanted, on=["kind", "name"], **spread)
-        facts = facts.unionByName(present.select(entity, *rule, *evidence))
+        wanted = probes.filter(F.col("pattern").isNull()).select("rule_id", "bit", least.alias("least"), "kind", F.col("target").alias("name"))
+        # An entry is there or not: one is its greatest count.
+        present = inventory.select(entity, "kind", "name").join(wanted.filter("least < 1"), ["kind", "name"])
+        facts = facts.unionByName(present.select(entity, "rule_id", unasked, F.col("bit").alias("found")))
     if docs is not None:
-        probes = rules.filter(F.col("pattern").isNotNull()).select(
-            *rule, F.col("target").alias("path"), F.concat(F.lit("(?sd)"), "pattern").alias("regex")
+        lines = probes.filter(F.col("pattern").isNotNull()).select(
+            "rule_id", "bit", least.alias("least"), F.col("target").alias("path"), line_regex_column("pattern", "mode", "ignore_case").alias("regex")
         )
-        lines = docs.select(entity, "path", text_lines("text").alias("lines"))
-        probed = lookup_join(lines, probes, on=["path"], **spread)
+        probed = docs.select(entity, "path", "text").join(lines, "path").withColumn("lines", text_lines("text"))
         # regexp_instr keeps its compiled pattern from line to line; rlike with a
         # pattern column compiles it anew each time.
-        matched = probed.filter(F.exists("lines", lambda line: F.regexp_instr(line, F.col("regex")) > 0))
-        facts = facts.unionByName(matched.select(entity, *rule, *evidence))
+        hit = F.filter("lines", lambda line: F.regexp_instr(line, F.col("regex")) > 0)
+        matched = probed.filter(F.size(hit) > F.col("least"))
+        facts = facts.unionByName(matched.select(entity, "rule_id", unasked, F.col("bit").alias("found")))
 
-    status = F.when(~F.col("applies"), "skip").when(F.col("found"), "pass").otherwise("fail")
     results = (
-        facts.groupBy(entity, *rule)
-        .agg(F.bool_or("applies").alias("applies"), F.bool_or("found").alias("found"))
+        facts.groupBy(entity, "rule_id")
+        .agg(F.bool_or("applies").alias("applies"), F.bit_or("found").alias("found"))
         .filter(F.col("applies").isNotNull())
-        .select(entity, *rule, status.alias("status"))
+        .join(rule_table.select("rule_id", "wanted", "bounded"), "rule_id")
+    )
+    holds = (F.col("found").bitwiseAND(F.col("wanted")) != 0) | (
+        F.bitwise_not("found").bitwiseAND(F.col("bounded")) != 0
     )
+    status = F.when(~F.col("applies"), "skip").when(holds, "pass").otherwise("fail")
+    results = results.select(entity, "rule_id", status.alias("status"))
     if prerequisites is not None:
-        results = _drop_blocked(results, rules.select(*rule), prerequisites, entity, spread)
-    return results.select(entity, "section", "rule_id", "status", "message")
+        results = _drop_blocked(results, _closed(prerequisites), entity)
+    return results.join(rule_table.select("rule_id", "section", "message"), "rule_id").select(
+        entity, "section", "rule_id", "status", "message"
+    )
 
 
 def applicable(
@@ -154,8 +202,7 @@ def applicable(
     scope_rules: Sequence[ScopeRule] | DataFrame,
     keys: Sequence[str] = ("host",),
     keep_all: bool = False,
-    salts: int = SALTS,
-    small_rules: bool | None = None,
+    attributes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Pairs of entity and section that apply: ``(keys, section)``.
 
@@ -164,28 +211,37 @@ def applicable(
 
     Scope rules given as a list become part of the plan (map-only). With
     ``keep_all`` every pair is returned with a boolean ``applies``. Scope rules
-    given as a table ``(section, attribute, value, effect)`` are found by an
-    equi-join on attribute and value, the wildcard being one more such value; they
-    are broadcast if a measurement of the table, or ``small_rules``, says so.
+    given as a table ``(section, attribute, value, effect)`` name their columns in
+    ``attributes``: only these are unfolded, and meet the rules in an equi-join on
+    attribute and value. Wildcard rules, one outcome per section, are unfolded for every
+    entity without a join. An effect that is neither ``include`` nor ``exclude`` fails.
     """
     keys = list(keys)
     if isinstance(scope_rules, DataFrame):
         if keep_all:
             raise ValueError("keep_all needs scope rules given as a list")
-        if small_rules is None:
-            small_rules = fits_broadcast(scope_rules)
-        return _applicable_by_table(entities, scope_rules, keys, salts, small_rules)
-    sections = list(dict.fromkeys(rule.section for rule in scope_rules))
-    pairs = []
-    for section in sections:
-        includes = [_in_scope(r) for r in scope_rules if r.section == section and r.effect == "include"]
-        excludes = [_in_scope(r) for r in scope_rules if r.section == section and r.effect == "exclude"]
-        applies = reduce(or_, includes, F.lit(False)) & ~reduce(or_, excludes, F.lit(False))
-        pairs.append(F.struct(F.lit(section).alias("section"), applies.alias("applies")))
+        if attributes is None:
+            raise ValueError("scope rules given as a table need attributes, the columns they speak of")
+        return _applicable_by_table(entities, scope_rules, keys, list(attributes))
+    pairs = [F.struct(F.lit(s).alias("section"), c.alias("applies")) for s, c in scope_conditions(scope_rules).items()]
     unfolded = entities.select(*keys, F.explode(F.array(*pairs)).alias("__pair")).select(*keys, "__pair.*")
     return unfolded if keep_all else unfolded.filter("applies").drop("applies")
 
 
+def scope_conditions(scope_rules: Sequence[ScopeRule]) -> dict[str, Column]:
+    """For every section whether it applies to a row of entities."""
+    if not scope_rules:
+        raise ValueError("scope_rules is empty")
+    for rule in scope_rules:
+        _in_scope(rule)
+    sections = list(dict.fromkeys(rule.section for rule in scope_rules))
+    conditions = {}
+    for section in sections:
+        includes, excludes = ([_in_scope(r) for r in scope_rules if (r.section, r.effect) == (section, e)] for e in EFFECTS)
+        conditions[section] = reduce(or_, includes, F.lit(False)) & ~reduce(or_, excludes, F.lit(False))
+    return conditions
+
+
 def verdict(results: DataFrame, by: Sequence[str] = (), entities: DataFrame | None = None) -> DataFrame:
     """Counts per status and ``failed``, for each group of ``by`` or overall.
 
@@ -218,44 +274,60 @@ def classify(
     return df.withColumn(output, chain.otherwise(F.lit(default)))
 
 
-def _applicable_by_table(
-    entities: DataFrame, scope_rules: DataFrame, keys: list[str], salts: int, small: bool
-) -> DataFrame:
-    attributes = [c for c in entities.columns if c not in keys]
+def _applicable_by_table(entities: DataFrame, scope_rules: DataFrame, keys: list[str], attributes: list[str]) -> DataFrame:
+    effect = F.col("effect")
+    message = F.concat(F.lit("unknown effect: "), F.coalesce(effect, F.lit("NULL")))
+    on = F.when(effect.isin(*EFFECTS), effect == "include").otherwise(F.raise_error(message).cast("boolean"))
+    effects = scope_rules.select("attribute", "value", "section", on.alias("__on"))
+    # One row of one array: as long as there are sections, and no longer with more entities.
+    everywhere = (
+        effects.filter(F.col("attribute") == ANY)
+        .groupBy("section")
+        .agg(F.bool_and("__on").alias("__on"))
+        .agg(F.collect_list(F.struct("section", "__on")).alias("__all"))
+    )
+    wild = entities.select(*keys, F.inline(everywhere.scalar()))
     scopes = F.array(
-        F.struct(F.lit(ANY).alias("attribute"), F.lit(ANY).alias("value")),
-        *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes],
+        *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
     )
-    scoped = entities.select(*keys, F.inline(scopes))
-    effect = scope_rules.select("attribute", "value", "section", (F.col("effect") == "include").alias("__on"))
-    matched = lookup_join(scoped, effect, on=["attribute", "value"], spread_by=keys, salts=salts, small=small)
+    matched = wild
+    if attributes:
+        special = effects.filter(F.col("attribute") != ANY)
+        scoped = entities.select(*keys, F.inline(scopes)).join(special, ["attribute", "value"])
+        matched = wild.unionByName(scoped.select(*keys, "section", "__on"))
     # Applies if something includes it and nothing excludes it.
     return matched.groupBy(*keys, "section").agg(F.bool_and("__on").alias("__on")).filter("__on").drop("__on")
 
 
-def _drop_blocked(
-    results: DataFrame, rules: DataFrame, prerequisites: DataFrame, entity: str, spread: dict
-) -> DataFrame:
-    rule = rules.columns
-    dependents = (
-        prerequisites.join(rules, "rule_id")
-        .groupBy(F.col("requires").alias("rule_id"))
-        .agg(F.collect_set(F.struct(*rule, F.lit("blocked").alias("status"))).alias("__dependents"))
-    )
-    marked = lookup_join(results, dependents, on=["rule_id"], how="left", **spread)
+def _closed(prerequisites: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
+    """All requirements of every rule, direct or through others."""
+    if isinstance(prerequisites, DataFrame):
+        rows = prerequisites.select("rule_id", "requires").distinct().limit(MAX_PREREQUISITES + 1).collect()
+        if len(rows) > MAX_PREREQUISITES:
+            raise ValueError(f"more than {MAX_PREREQUISITES} prerequisites")
+        prerequisites = [tuple(row) for row in rows]
+    direct: dict[str, list[str]] = {}
+    for rule_id, requires in prerequisites:
+        direct.setdefault(rule_id, []).append(requires)
+    return [(rule_id, name) for rule_id in direct for name in _all_required(rule_id, direct)]
+
+
+def _drop_blocked(results: DataFrame, requirements: list[tuple[str, str]], entity: str) -> DataFrame:
+    closed = small_table(results.sparkSession, requirements, "__dependent string, __requires string")
+    behind = (F.col("rule_id") == F.col("__requires")) & (F.col("status") == "fail")
+    marked = results.join(closed, behind, "left")
     # A result speaks for itself, and a failure also against the rules behind it.
-    own = F.array(F.struct(*rule, "status"))
-    with_blocked = F.when(
-        (F.col("status") == "fail") & F.col("__dependents").isNotNull(), F.concat(own, "__dependents")
-    ).otherwise(own)
-    said = [F.bool_or(F.col("status") == s).alias(s) for s in ("pass", "skip", "blocked")]
+    own = F.struct("rule_id", "status")
+    blocked = F.struct(F.col("__dependent").alias("rule_id"), F.lit("blocked").alias("status"))
+    said = [F.bool_or(F.col("status") == s).alias(s) for s in ("pass", "skip", "fail", "blocked")]
     status = F.when(F.col("skip"), "skip").when(F.col("pass"), "pass").otherwise("fail")
     return (
-        marked.select(entity, F.inline(with_blocked))
-        .groupBy(entity, *rule)
+        marked.select(entity, F.inline(F.array(own, blocked)))
+        .filter(F.col("rule_id").isNotNull())
+        .groupBy(entity, "rule_id")
         .agg(*said)
         .filter(~F.col("blocked"))
-        .select(entity, *rule, status.alias("status"))
+        .select(entity, "rule_id", status.alias("status"))
     )
 
 
@@ -267,8 +339,8 @@ def _status(rule: Rule) -> Column:
 
 
 def _in_scope(rule: ScopeRule) -> Column:
-    if rule.effect not in ("include", "exclude"):
-        raise ValueError(f"effect must be 'include' or 'exclude', got {rule.effect!r}")
+    if rule.effect not in EFFECTS:
+        raise ValueError(f"effect must be one of {EFFECTS}, got {rule.effect!r}")
     if rule.attribute == ANY:
         return F.lit(True)
     return F.coalesce(F.col(rule.attribute).cast("string") == F.lit(rule.value), F.lit(False))
@@ -286,16 +358,16 @@ def _require_valid(rules: Sequence[Rule]) -> None:
             raise ValueError(f"rule {rule.rule_id!r} requires unknown rules {sorted(unknown)}")
 
 
-def _all_required(rule: Rule, by_id: dict[str, Rule]) -> list[str]:
+def _all_required(rule_id: str, requires: Mapping[str, Sequence[str]]) -> list[str]:
     found: list[str] = []
-    todo = list(rule.requires)
+    todo = list(requires.get(rule_id, ()))
     while todo:
         name = todo.pop()
-        if name == rule.rule_id:
+        if name == rule_id:
             raise ValueError(f"rule {name!r} requires itself")
         if name not in found:
             found.append(name)
-            todo.extend(by_id[name].requires)
+            todo.extend(requires.get(name, ()))
     return found
 
 

@@ -24,7 +24,7 @@ def manifest_items(
     """Items of line-list manifests: ``(source, line_no, item)``, lines from 1.
 
     ``manifests`` holds whole texts in column ``text``, or, if it has a
-    ``line_no`` column as from :func:`plumbspark.sources.read_lines`, one line
+    ``line_no`` column as from :func:`plumbspark.sources.number_lines`, one line
     per row.
 
     ``token="first"`` keeps the part of each line before its first space,
@@ -36,14 +36,13 @@ def manifest_items(
         raise ValueError(f"token must be 'first' or 'all', got {token!r}")
     if comment not in ("col0", "indented"):
         raise ValueError(f"comment must be 'col0' or 'indented', got {comment!r}")
+    body = F.replace(F.col(text), F.lit("\0"), F.lit("")) if strip_nul else F.col(text)
     if "line_no" in manifests.columns:
-        lines = manifests.select(source, "line_no", F.col(text).alias("line"))
+        lines = manifests.select(source, "line_no", body.alias("line"))
     else:
-        lines = manifests.select(source, F.posexplode(text_lines(text)).alias("pos", "line")).select(
+        lines = manifests.select(source, F.posexplode(text_lines(body)).alias("pos", "line")).select(
             source, (F.col("pos") + 1).cast("bigint").alias("line_no"), "line"
         )
-    line = F.replace(F.col("line"), F.lit("\0"), F.lit("")) if strip_nul else F.col("line")
-    lines = lines.withColumn("line", line)
     is_comment = F.col("line").startswith("#") if comment == "col0" else F.col("line").rlike(r"^\s*#")
     lines = lines.filter(~is_comment)
     if token == "first":

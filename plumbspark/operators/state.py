@@ -6,13 +6,18 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbspark.operators.joins import SALTS, lookup_join
-
 RESET_FLAGS = ("only", "all")
 LISTING_FLAGS = ("only", "skip", "enable")
+FLAGS = ("only", "skip", "enable", "all")
+
+
+def known_flag(flag: Column) -> Column:
+    """``flag`` itself; a query that meets an unknown or NULL one fails when it runs."""
+    message = F.concat(F.lit("unknown flag: "), F.coalesce(flag, F.lit("NULL")))
+    return F.when(flag.isin(*FLAGS), flag).otherwise(F.raise_error(message).cast("string"))
 
 
 def plan_missing(
@@ -103,60 +108,64 @@ def resolve_overrides(
     enabled: str = "enabled",
     flag: str = "flag",
     listed: str = "sections",
-    salts: int = SALTS,
 ) -> DataFrame:
     """Fold ordered directives over the defaults: ``(entity, key, enabled)``.
 
     ``defaults`` has one row per entity and key. Directives apply in ``order``,
     unique per entity, and the last one to touch a key wins: ``only`` turns the
     listed keys on and all others off, ``skip`` turns the listed ones off,
-    ``enable`` the listed ones on, ``all`` everything on. Listed keys without a
-    default are ignored; :func:`unknown_values` finds them.
+    ``enable`` the listed ones on, ``all`` everything on; any other flag fails the
+    query. Listed keys without a default are ignored; :func:`unknown_values` finds them.
 
     The effect of ``only`` and ``all`` on unlisted keys depends on the entity
     alone, so the directives are never multiplied by the keys: a key compares
-    its own last mention with the last reset of its entity.
+    its own last mention with the last reset of its entity. That join is on the
+    entity, with neither side small.
     """
-    at = F.struct(*([order] if isinstance(order, str) else order))
-    said = directives.select(entity, F.col(flag).alias("__flag"), F.col(listed).alias("__listed"), at.alias("__at"))
+    at = F.col(order) if isinstance(order, str) else F.struct(*order)
+    said = directives.select(
+        entity, known_flag(F.col(flag)).alias("__flag"), F.col(listed).alias("__listed"), at.alias("__at")
+    )
 
     mentions = said.filter(F.col("__flag").isin(*LISTING_FLAGS)).select(
         entity,
         F.explode("__listed").alias(key),
         F.lit(None).cast("boolean").alias("__default"),
-        F.struct("__at", (F.col("__flag") != "skip").alias("on")).alias("__mention"),
-    )
-    mention_type = mentions.schema["__mention"].dataType
-    known = defaults.select(
-        entity, key, F.col(enabled).alias("__default"), F.lit(None).cast(mention_type).alias("__mention")
+        "__at",
+        (F.col("__flag") != "skip").alias("__on"),
     )
+    none = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in mentions.schema if f.name in ("__at", "__on")}
+    known = defaults.select(entity, key, F.col(enabled).alias("__default"), none["__at"], none["__on"])
     last = (
         known.unionByName(mentions)
         .groupBy(entity, key)
         .agg(
             F.bool_or("__default").alias("__default"),
-            F.max("__mention").alias("__mention"),
+            F.max("__at").alias("__at"),
+            F.max_by("__on", "__at").alias("__on"),
         )
         .filter(F.col("__default").isNotNull())
     )
     resets = (
         said.filter(F.col("__flag").isin(*RESET_FLAGS))
         .groupBy(entity)
-        .agg(F.max(F.struct("__at", (F.col("__flag") == "all").alias("on"))).alias("__reset"))
+        .agg(F.max("__at").alias("__reset_at"), F.max_by(F.col("__flag") == "all", "__at").alias("__reset"))
     )
-    later_reset = F.col("__reset").isNotNull() & (
-        F.col("__mention").isNull() | (F.col("__mention.__at") < F.col("__reset.__at"))
-    )
-    return lookup_join(last, resets, on=[entity], spread_by=[key], how="left", salts=salts).select(
+    later_reset = F.col("__reset").isNotNull() & (F.col("__at").isNull() | (F.col("__at") < F.col("__reset_at")))
+    return last.join(resets, entity, "left").select(
         entity,
         key,
-        F.when(later_reset, F.col("__reset.on"))
-        .otherwise(F.coalesce("__mention.on", "__default"))
-        .alias(enabled),
+        F.when(later_reset, F.col("__reset")).otherwise(F.coalesce("__on", "__default")).alias(enabled),
     )
 
 
-def diff_snapshots(source: DataFrame, target: DataFrame, key: str | Sequence[str], content: str) -> DataFrame:
+def diff_snapshots(
+    source: DataFrame,
+    target: DataFrame,
+    key: str | Sequence[str],
+    content: str,
+    repeated_keys: bool = True,
+) -> DataFrame:
     """Compare two keyed snapshots: ``(key, status, action)`` per key of either.
 
     ``same`` needs nothing, ``different`` and ``missing`` (source only) are to be
@@ -165,7 +174,8 @@ def diff_snapshots(source: DataFrame, target: DataFrame, key: str | Sequence[str
     compared as a bag.
 
     Only the key and a SHA-256 of the content are shuffled, in hash aggregations
-    that collapse equal rows first.
+    that collapse equal rows first. Where keys occur once on each side,
+    ``repeated_keys=False`` needs one of them instead of two.
     """
     keys = [key] if isinstance(key, str) else list(key)
 
@@ -184,10 +194,19 @@ def diff_snapshots(source: DataFrame, target: DataFrame, key: str | Sequence[str
         .otherwise("same")
     )
     action = F.when(~in_source, "warn").when(~in_target | differs, "deploy").otherwise("none")
+    both = digests(source, 1).unionByName(digests(target, -1))
+    if not repeated_keys:
+        sides = {name: F.max(F.when(F.col("__side") == i, F.col("__digest"))) for name, i in (("__a", 1), ("__b", -1))}
+        compared = both.groupBy(*keys).agg(*[digest.alias(name) for name, digest in sides.items()])
+        in_source, in_target = F.col("__a").isNotNull(), F.col("__b").isNotNull()
+        flags = [in_source.alias("__in_source"), in_target.alias("__in_target"), (F.col("__a") != F.col("__b")).alias("__differs")]
+        return (
+            compared.filter(in_source | in_target)
+            .select(*keys, *flags)
+            .select(*keys, status.alias("status"), action.alias("action"))
+        )
     return (
-        digests(source, 1)
-        .unionByName(digests(target, -1))
-        .groupBy(*keys, "__digest")
+        both.groupBy(*keys, "__digest")
         .agg(
             F.bool_or(exists & (F.col("__side") > 0)).alias("__in_source"),
             F.bool_or(exists & (F.col("__side") < 0)).alias("__in_target"),

@@ -1,5 +1,5 @@
 """Operators put together."""
 
-from plumbspark.plans.conformance import conformance_report, conformance_results, enabled_sections
+from plumbspark.plans.conformance import conformance_report, conformance_results
 
-__all__ = ["conformance_report", "conformance_results", "enabled_sections"]
+__all__ = ["conformance_report", "conformance_results"]

@@ -4,26 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from plumbspark.operators.rules import Rule, ScopeRule, applicable, evaluate_rules, verdict
-from plumbspark.operators.state import resolve_overrides
-
-
-def enabled_sections(
-    entities: DataFrame,
-    scope_rules: Sequence[ScopeRule],
-    directives: DataFrame,
-    order: str | Sequence[str] = "pos",
-    entity: str = "host",
-) -> DataFrame:
-    """``(entity, section)`` pairs that are on: scope gives the defaults, directives override."""
-    defaults = applicable(entities, scope_rules, [entity], keep_all=True)
-    return (
-        resolve_overrides(defaults, directives, order, entity=entity, enabled="applies")
-        .filter("applies")
-        .drop("applies")
-    )
+from plumbspark.operators.rules import (
+    Rule,
+    ScopeRule,
+    rule_outcomes,
+    scope_conditions,
+    unfold_outcomes,
+    verdict,
+)
+from plumbspark.operators.state import known_flag
 
 
 def conformance_results(
@@ -36,11 +28,30 @@ def conformance_results(
 ) -> DataFrame:
     """Results of the rules in enabled sections.
 
-    Rules run where the facts lie and only their small results are shuffled to
-    meet the enabled pairs; texts never move.
+    Scope gives the defaults and directives override them, as in
+    :func:`plumbspark.operators.resolve_overrides`. The sections are known when the plan is
+    made, so the directives fold into one row per entity with a column per section, and
+    rules run where the facts lie: one scan of the facts, of which a row of statuses per
+    entity is shuffled to meet its overrides. Results unfold after that; texts never move.
     """
-    enabled = enabled_sections(facts, scope_rules, directives, order, entity)
-    return evaluate_rules(facts, rules, [entity]).join(enabled, [entity, "section"], "left_semi")
+    conditions = scope_conditions(scope_rules)
+    default = {section: f"__default_{i}" for i, section in enumerate(conditions)}
+    override = {section: f"__override_{i}" for i, section in enumerate(conditions)}
+    outcomes = rule_outcomes(facts, rules, [entity], {default[s]: c for s, c in conditions.items()})
+
+    at = F.col(order) if isinstance(order, str) else F.struct(*order)
+    said = directives.select(
+        entity, known_flag(F.col("flag")).alias("__flag"), F.coalesce("sections", F.array().cast("array<string>")).alias("__listed"), at.alias("__at")
+    )
+
+    def last(section: str) -> Column:
+        listed, flag = F.array_contains("__listed", section), F.col("__flag")
+        touched = F.when(flag.isin("only", "all") | listed, F.col("__at"))
+        return F.max_by((flag == "all") | (listed & (flag != "skip")), touched)
+
+    folded = said.groupBy(entity).agg(*[last(s).alias(override[s]) for s in conditions])
+    enabled = {s: F.coalesce(override[s], default[s]) for s in conditions}
+    return unfold_outcomes(outcomes.join(folded, entity, "left"), rules, [entity], enabled)
 
 
 def conformance_report(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbspark.functions import has_line
+from plumbspark.functions import basename, default_if_empty, has_line, lines_match, strip_extension, text_lines
 from plumbspark.operators import (
     Rewrite,
     Rule,
@@ -30,7 +30,7 @@ from plumbspark.operators import (
     verdict,
 )
 from plumbspark.plans.conformance import conformance_report as report
-from plumbspark.sources import read_table
+from plumbspark.sources import read_table, small_table
 
 RULE_SCHEMA = "rule_id string, section string, kind string, target string, pattern string, message string"
 
@@ -155,7 +155,7 @@ def match_license_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM documents WHERE text <> ''
     )
     SELECT doc_id, count(*) AS n_lines, min(line_no) AS first_line_no
-    FROM numbered WHERE NOT regexp_matches(line, '\b(?:the|der|la)\b') GROUP BY 1
+    FROM numbered WHERE NOT regexp_matches(line, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])(the|der|la)([^\p{{L}}\p{{M}}\p{{N}}_]|$)') GROUP BY 1
     """
 )
 def match_lines_without_article(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +168,7 @@ def match_lines_without_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH flags AS (
         SELECT source, contains(text, 'License') AS fixed,
                list_contains({LINES}, 'Page not found.') AS whole_line,
-               len(list_filter({LINES}, lambda l: regexp_matches(l, '(?i)\bcopyright\b'))) > 0 AS word,
+               len(list_filter({LINES}, lambda l: regexp_matches(l, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])copyright([^\p{{L}}\p{{M}}\p{{N}}_]|$)'))) > 0 AS word,
                len(list_filter({LINES}, lambda l: regexp_matches(l, '^[A-Z]\w+\.$'))) > 0 AS one_word,
                len(list_filter({LINES}, lambda l: NOT regexp_matches(l, 'e'))) > 0 AS without_e
         FROM documents
@@ -179,17 +179,30 @@ def match_lines_without_article(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def line_presence_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = read_table(spark, sf_dir, "documents").select(
+    split = read_table(spark, sf_dir, "documents").select("source", "text", text_lines("text").alias("lines"))
+    flags = split.select(
         "source",
         has_line("text", "License", "fixed").alias("fixed"),
         has_line("text", "Page not found.", "fixed_line").alias("whole_line"),
-        has_line("text", "copyright", "word", ignore_case=True).alias("word"),
-        has_line("text", r"[A-Z]\w+\.", "regex_line").alias("one_word"),
-        has_line("text", "e", "regex", invert=True).alias("without_e"),
+        lines_match("lines", "copyright", "word", ignore_case=True).alias("word"),
+        lines_match("lines", r"[A-Z]\w+\.", "regex_line").alias("one_word"),
+        lines_match("lines", "e", "regex", invert=True).alias("without_e"),
     )
     return flags.groupBy("source").agg(*[F.count_if(c).alias(f"n_{c}") for c in flags.columns[1:]])
 
 
+@query(
+    r"""
+    WITH named AS (SELECT page_id, url, list_last(string_split(url, '/')) AS name FROM pages)
+    SELECT page_id, CASE WHEN regexp_replace(name, '[.][^.]*$', '') = '' THEN 'index' ELSE regexp_replace(name, '[.][^.]*$', '') END AS stem
+    FROM named
+    """
+)
+def page_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return pages.select("page_id", default_if_empty(strip_extension(basename("url")), "index").alias("stem"))
+
+
 # -- rules --------------------------------------------------------------------
 
 # What the documents are checked for, and where each check applies.
@@ -276,7 +289,8 @@ def evaluate_dependent_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scopes = [ScopeRule("english", "lang", "en"), ScopeRule("german", "lang", "de"), ScopeRule("review")]
-    rules = spark.createDataFrame(
+    rules = small_table(
+        spark,
         [
             ("license", "english", "line", "en", "(?i)licen[sc]e", "checks license"),
             ("contact", "english", "line", "en", "[a-z0-9.]+@[a-z0-9]+", "checks contact"),
@@ -286,7 +300,7 @@ def check_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         ],
         RULE_SCHEMA,
     )
-    needs = spark.createDataFrame([("contact", "license"), ("clean", "good")], "rule_id string, requires string")
+    needs = [("contact", "license"), ("clean", "good")]
     labelled = labels.select(
         "doc_id", F.stack(F.lit(2), F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("kind", "name")
     )
@@ -321,7 +335,8 @@ def check_document_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_inventory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = read_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     scopes = [ScopeRule("orders"), ScopeRule("machines", "c_mktsegment", "MACHINERY")]
-    rules = spark.createDataFrame(
+    rules = small_table(
+        spark,
         [
             ("urgent", "orders", "priority", "1-URGENT", None, ""),
             ("open", "orders", "status", "O", None, ""),
@@ -337,6 +352,77 @@ def check_inventory_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return check_rules(applicable(customers, scopes, ["c_custkey"]), rules, inventory, entity="c_custkey")
 
 
+@query(
+    """
+    WITH RECURSIVE needs(rule_id, requires) AS (VALUES ('contact', 'license'), ('long', 'contact'), ('article', 'long'), ('article', 'license')),
+    closed AS (
+        SELECT rule_id, requires FROM needs
+        UNION SELECT c.rule_id, n.requires FROM closed c JOIN needs n ON n.rule_id = c.requires
+    ),
+    checks AS (
+        SELECT doc_id, regexp_matches(text, '(?i)licen[sc]e') AS license, regexp_matches(text, '[0-9]') AS contact,
+               regexp_matches(text, '[^\n]{200}') AS long, regexp_matches(text, ' (the|der) ') AS article FROM documents
+    ),
+    results AS (
+        SELECT doc_id, 'license' AS rule_id, license AS ok FROM checks UNION ALL SELECT doc_id, 'contact', contact FROM checks
+        UNION ALL SELECT doc_id, 'long', long FROM checks UNION ALL SELECT doc_id, 'article', article FROM checks
+    ),
+    blocked AS (SELECT DISTINCT r.doc_id, c.rule_id FROM results r JOIN closed c ON c.requires = r.rule_id WHERE NOT r.ok)
+    SELECT doc_id, 'chain' AS section, rule_id, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, '' AS message
+    FROM results ANTI JOIN blocked USING (doc_id, rule_id)
+    """
+)
+def check_rule_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.lit("text").alias("path"), "text")
+    probes = [("license", "(?i)licen[sc]e"), ("contact", "[0-9]"), ("long", ".{200}"), ("article", " (the|der) ")]
+    rules = small_table(spark, [(r, "chain", "line", "text", p, "") for r, p in probes], RULE_SCHEMA)
+    needs = [("contact", "license"), ("long", "contact"), ("article", "long"), ("article", "license")]
+    return check_rules(
+        applicable(docs, [ScopeRule("chain")], ["doc_id"]), rules, docs=docs, prerequisites=needs, entity="doc_id"
+    )
+
+
+@query(
+    rf"""
+    WITH split AS (SELECT doc_id, lang, text, {LINES} AS lines FROM documents),
+    checks AS (
+        SELECT doc_id,
+               lang = 'en' AND len(list_filter(lines, lambda l: regexp_matches(l, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])the([^\p{{L}}\p{{M}}\p{{N}}_]|$)'))) > 0 AS word,
+               NOT (lang = 'en' AND contains(text, 'License')) AS unlicensed,
+               NOT (lang = 'en' AND len(list_filter(lines, lambda l: ends_with(l, '.'))) > 2) AS few,
+               lang = 'de' AND len(list_filter(lines, lambda l: ends_with(l, '.'))) > 0 AS ends,
+               lang = 'en' AND (len(list_filter(lines, lambda l: regexp_matches(l, '(?i)(^|[^\p{{L}}\p{{M}}\p{{N}}_])copyright([^\p{{L}}\p{{M}}\p{{N}}_]|$)'))) > 0
+                   OR contains(lower(text), 'page')) AS either,
+               lang = 'fr' AND list_contains(lines, 'Page not found.') AS whole,
+               lang <> 'en' AS absent
+        FROM split
+    ),
+    results AS (UNPIVOT checks ON word, unlicensed, few, ends, either, whole, absent INTO NAME rule_id VALUE ok)
+    SELECT doc_id, 'lines' AS section, rule_id, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, '' AS message FROM results
+    """
+)
+def check_rule_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("path"), "text")
+    rules = small_table(
+        spark,
+        [
+            ("word", "lines", "line", "en", "the", "", "word", None, None),
+            ("unlicensed", "lines", "line", "en", "License", "", "fixed", None, 0),
+            ("few", "lines", "line", "en", r"\.$", "", None, None, 2),
+            ("ends", "lines", "line", "de", ".", "", "suffix", None, None),
+            ("either", "lines", "line", "en", "copyright", "", "word", True, None),
+            ("either", "lines", "line", "en", "PAGE", "", "fixed", True, None),
+            ("whole", "lines", "line", "fr", "Page not found.", "", "fixed_line", None, None),
+            ("absent", "lines", "lang", "en", None, "", None, None, 0),
+        ],
+        RULE_SCHEMA + ", mode string, ignore_case boolean, max_count bigint",
+    )
+    languages = docs.select("doc_id", F.lit("lang").alias("kind"), F.col("path").alias("name"))
+    return check_rules(
+        applicable(docs, [ScopeRule("lines")], ["doc_id"]), rules, languages, docs, entity="doc_id"
+    )
+
+
 @query(
     DOCUMENT_RESULTS_SQL
     + """
@@ -415,10 +501,17 @@ def applicable_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
         desk.alias("section"), F.lit("n_name").alias("attribute"), F.col("n_name").alias("value"),
         F.lit("exclude").alias("effect"),
     )
-    post = spark.createDataFrame(
-        [("post", "*", "*", "include"), ("post", "c_mktsegment", "BUILDING", "exclude")], desks.schema
+    post = small_table(
+        spark,
+        [("post", "*", "*", "include"), ("post", "c_mktsegment", "BUILDING", "exclude")],
+        "section string, attribute string, value string, effect string",
+    )
+    return applicable(
+        customers,
+        desks.unionByName(closed).unionByName(post),
+        ["c_custkey"],
+        attributes=["c_mktsegment", "n_regionkey", "n_name"],
     )
-    return applicable(customers, desks.unionByName(closed).unionByName(post), ["c_custkey"])
 
 
 @query(
@@ -565,7 +658,7 @@ def diff_document_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     rewritten = rewrite_lines(docs.filter("lang <> 'fr'"), [Rewrite("the", "THE", "all", literal=True)])
     labelled = docs.join(read_table(spark, sf_dir, "labels"), "doc_id", "left_semi")
-    return diff_snapshots(rewritten, labelled, "doc_id", "text")
+    return diff_snapshots(rewritten, labelled, "doc_id", "text", repeated_keys=False)
 
 
 @query(
@@ -719,6 +812,50 @@ def rewrite_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digest(rewrite_lines(docs, rewrites), "doc_id")
 
 
+@query(
+    r"""
+    WITH edited AS (
+        SELECT doc_id, text, array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, 't(h)e', '[\0|\1]')), chr(10)) AS new
+        FROM documents
+    )
+    SELECT doc_id, md5(new) AS text_md5, new <> text AS changed FROM edited
+    """
+)
+def rewrite_whole_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digest(rewrite_lines(docs, [Rewrite("t(h)e", "[$0|$1]")]), "doc_id")
+
+
+@query(
+    r"""
+    WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+    placed AS (SELECT *, list_position(list_transform(lines, lambda l: regexp_matches(l, '\.\s+[A-Z]')), true) AS place FROM split),
+    edited AS (
+        SELECT doc_id, text, array_to_string(list_transform(lines, lambda l, i: CASE WHEN i = place THEN regexp_replace(l, '\.\s+([A-Z])', '; \1') ELSE l END), chr(10)) AS new
+        FROM placed
+    )
+    SELECT doc_id, md5(new) AS text_md5, new <> text AS changed FROM edited
+    """
+)
+def rewrite_first_regex_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _digest(rewrite_lines(docs, [Rewrite(r"\.\s+([A-Z])", "; $1", "first_per_doc")]), "doc_id")
+
+
+@query(
+    f"""
+    WITH edited AS (SELECT doc_id, text, replace(text, 'License', 'Licence') AS new FROM documents WHERE lang = 'en')
+    SELECT doc_id, new <> text OR NOT contains(new, 'Licen') AS changed,
+           md5(CASE WHEN contains(new, 'Licen') THEN new ELSE new || '{BLOCK}' END) AS text_md5
+    FROM edited
+    """
+)
+def rewrite_then_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+    rewritten = rewrite_lines(docs, [Rewrite("License", "Licence", "all", literal=True)])
+    return _digest(append_if_absent(rewritten, "Licen", BLOCK), "doc_id")
+
+
 # -- composed -----------------------------------------------------------------
 
 

@@ -4,33 +4,42 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """Lines of text files: ``(source, line_no, text)``, numbered from 1 per file.
+    """Lines of text files: ``(source, block, seq, text)``.
 
-    Many tasks read a big file in blocks. A first pass counts the lines of each
-    block; a line's number is the count of the blocks before its own plus its
-    place in its block. Only one row per block is aggregated and ordered, the
-    lines are not sorted.
+    Many tasks read a big file in blocks; ``block`` is the block's place in the file and
+    ``seq`` grows within it, so that both together order the lines of a source. Nothing is
+    shuffled or sorted. :func:`number_lines` adds numbers to the lines that need them.
     """
-    lines = spark.read.text(paths, lineSep="\n").select(
+    return spark.read.text(paths, lineSep="\n").select(
         F.col("_metadata.file_path").alias("source"),
         F.col("_metadata.file_block_start").alias("block"),
-        # Both passes cut the same files into the same partitions, so this agrees.
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("text"),
     )
+
+
+def number_lines(lines: DataFrame, kept: Column | None = None) -> DataFrame:
+    """``(source, line_no, text)`` of the ``kept`` lines of :func:`read_lines`, numbered from 1 per file.
+
+    A first pass over ``lines`` counts those of each block; a line's number is the count
+    of the blocks before its own plus its place in its block. Only one row per block is
+    aggregated and ordered, and only kept lines meet these rows.
+    """
     earlier = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    # Both passes cut the same files into the same partitions, so their seq agree.
     blocks = (
         lines.groupBy("source", "block")
         .agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
         .select("source", "block", "first_seq", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     )
     line_no = F.col("before") + F.col("seq") - F.col("first_seq") + 1
-    return lines.join(blocks, ["source", "block"]).select("source", line_no.alias("line_no"), "text")
+    wanted = lines if kept is None else lines.filter(kept)
+    return wanted.join(blocks, ["source", "block"]).select("source", line_no.alias("line_no"), "text")
 
 
 def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
