@@ -49,7 +49,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     def shown(spans: Column) -> Column:
         return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda x, k=kind: x["kind"] == k)).cast("bigint").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in ("assign", "access", "hex")]
     base = F.filter("spans", lambda x: x["kind"] != "model")
     return done.select("doc_id", *counts, F.sha2(F.encode(shown(base), "UTF-8"), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans"))
 
@@ -107,11 +110,7 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-_WHITE = r"[\x20\x09-\x0D]"
-
 SQL: dict[str, str] = {
-    "op5_pii_pseudonyms": op5_pii_pseudonyms,
-    "op6_toxicity": op6_toxicity,
     "op7_url_filter": """
         WITH parts AS (
             SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
