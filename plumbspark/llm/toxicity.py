@@ -167,7 +167,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, *, id_column: str = "d
     misspellings unless ``crowded`` words of clean texts lie within one edit of it; those
     words themselves are never misspellings.
     """
-    fitting = _labelled(documents, labels, id_column, text_column, label_column, fit_rows).repartition("label", F.xxhash64("text"))
+    fitting = _labelled(documents, labels, id_column, text_column, label_column, fit_rows)
 
     def sketch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(frames, "text"):
