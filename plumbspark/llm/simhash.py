@@ -252,6 +252,6 @@ def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text
     """
     named = documents.where(F.col(id_column).isNotNull())
     found = near_copies(named, id_column=id_column, text_column=text_column, width=width, similarity=similarity)
-    first = found.where(F.col(id_column) == F.col("component_id")).select(F.col(id_column).alias("kept_id")).distinct()
-    kept = named.join(first, F.col(id_column) == F.col("kept_id"), "left_semi").dropDuplicates([id_column])
+    first = found.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
+    kept = named.join(first, [id_column], "left_semi").select(documents.columns).dropDuplicates([id_column])
     return kept.unionByName(documents.where(F.col(id_column).isNull()))
