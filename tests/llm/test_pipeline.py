@@ -1,6 +1,7 @@
 import corpus_pipeline
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbspark.llm.queries import QUERIES
 
@@ -45,6 +46,25 @@ def test_run_is_the_stages_in_turn(llm, stages):
     assert sorted(map(tuple, got)) == sorted(map(tuple, expected))
 
 
+def test_clashing_columns_stay(llm, small):
+    own = {c: F.lit(f"own {c}") for c in ("score", "hits", "items", "n_hit", "n_words", "pii", "start", "component_id", "fingerprint")}
+    docs = small.withColumns(own)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        done = stage(llm, docs, FOLDER)
+        assert done.columns == docs.columns
+        row = done.first()
+        assert all(row[c] == f"own {c}" for c in own), name
+
+
+def test_stages_take_odd_rows(llm, odd, empty):
+    columns = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = odd.select(columns)
+    for name, stage in corpus_pipeline.STAGES:
+        done = stage(llm, docs, FOLDER)
+        assert done.count() >= (6 if name == "simhash_near_dedup" else 8), name
+        assert stage(llm, empty.select(columns), FOLDER).count() == 0
+
+
 def test_numbers_of_characters(stages):
     assert stages["pii"].where("n_chars <> length(text)").count() == 0
 
