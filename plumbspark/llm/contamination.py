@@ -38,7 +38,8 @@ class WindowSearch:
 
     The alphabet is the words, a block is the last two (or one) of them.  ``shift`` tells for
     a block how far the search may go on; blocks it doesn't have allow the whole length.
-    Blocks that end a test string lead to its bucket, whose strings are compared directly.
+    Blocks that end a test string lead to its bucket; a set finds the string there to compare
+    with, however many end alike.
     """
 
     def __init__(self, strings: dict[tuple[str, ...], set[int]]) -> None:
@@ -46,13 +47,13 @@ class WindowSearch:
         self.block = min(2, self.length)
         self.most = self.length - self.block + 1
         self.shift: dict[tuple[str, ...] | str, int] = {}
-        self.bucket: dict[tuple[str, ...] | str, list[tuple[str, ...]]] = defaultdict(list)
+        self.bucket: dict[tuple[str, ...] | str, set[tuple[str, ...]]] = defaultdict(set)
         self.items = strings
         for string in strings:
             for end in range(self.block, self.length + 1):
                 key = string[end - 2 : end] if self.block == 2 else string[0]
                 self.shift[key] = min(self.shift.get(key, self.most), self.length - end)
-            self.bucket[key].append(string)
+            self.bucket[key].add(string)
 
     def find(self, word: list[str], low: int, high: int) -> Iterator[tuple[int, tuple[str, ...]]]:
         """Start and test string of every occurrence within ``word[low:high]``."""
@@ -71,9 +72,8 @@ class WindowSearch:
                 continue
             begin = at - length + 1
             text = tuple(word[begin : at + 1])
-            for string in self.bucket[key]:
-                if string == text:
-                    yield begin, string
+            if text in self.bucket[key]:
+                yield begin, text
             at += 1
 
 
