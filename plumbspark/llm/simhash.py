@@ -82,12 +82,15 @@ def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Itera
     names = ["choice", "bits", "row_tile", "column_tile"]
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        bits = [frame[x].to_numpy().view(np.uint64) for x in ("fp", "wide_1", "wide_2")]
+        narrow = frame["fp"].to_numpy().view(np.uint64)
+        wide = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), -1) if "wide" in frame else None
         node = frame["node"].to_numpy()
 
         def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-            apart = [np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in bits]
-            return (apart[0] <= limit) & (apart[1] + apart[2] <= wide_limit)
+            close = np.bitwise_count(narrow[i] ^ narrow[j]) <= limit
+            if wide is not None:
+                close &= np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_limit
+            return close
 
         changed = (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)
         begin = np.concatenate([[0], np.flatnonzero(changed) + 1])
@@ -121,11 +124,11 @@ def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Itera
         yield edges(rest.reset_index(drop=True))
 
 
-def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wide_limit: int = 128) -> DataFrame:
+def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wide: DataFrame | None = None, wide_limit: int = 0) -> DataFrame:
     """Edges ``a, b`` that connect all nodes with fingerprints within ``limit`` bits.
 
-    ``marked``: distinct ``node, table, fp, wide_1, wide_2``.  Nodes are compared within a
-    table; the 128 bits of the two wide fingerprints must also lie within ``wide_limit``.
+    ``marked``: distinct ``node, table, fp``.  Nodes are compared within a table; with
+    ``wide``, one ``node, wide`` each, the bits of these must also lie within ``wide_limit``.
     Two fingerprints within ``limit`` bits agree in ``blocks_of - limit`` whole blocks: each
     goes to one key for each such choice of blocks.  Within a key linked nodes are connected
     by a spanning forest, not by all their pairs.  A key of more than ``TILE`` nodes is
@@ -134,13 +137,18 @@ def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wi
     shared = blocks_of - limit
     choices = comb(blocks_of, shared)
     keyed = marked.select("*", F.explode(_block_keys(F.col("fp"), shared, blocks_of)).alias("key"))
-    keyed = keyed.select("node", "fp", "wide_1", "wide_2", (F.col("table") * choices + F.col("key.choice")).alias("choice"), "key.bits")
+    keyed = keyed.select("node", "fp", (F.col("table") * choices + F.col("key.choice")).alias("choice"), "key.bits")
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "bits"))).where("n > 1")
+    kept = ["node", "fp"]
+    if wide is not None:
+        # only now, for the few that share a key with another
+        counted = counted.join(wide, "node")
+        kept.append("wide")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    met = counted.select("node", "fp", "wide_1", "wide_2", "choice", "bits", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
+    met = counted.select(*kept, "choice", "bits", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
     # the group of two tiles is named by the smaller and the larger of their numbers
-    met = met.select("node", "fp", "wide_1", "wide_2", "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
+    met = met.select(*kept, "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
     keys = ["choice", "bits", "row_tile", "column_tile"]
     grouped = met.repartition(*keys).sortWithinPartitions(*keys)
     return grouped.mapInPandas(lambda groups: _links(groups, limit, wide_limit), "a bigint, b bigint").distinct()
@@ -164,7 +172,7 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     marked = cut(picked.mapInArrow(scan, "id bigint, fp bigint"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes = distinct.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp", F.lit(0).cast("bigint").alias("wide_1"), F.lit(0).cast("bigint").alias("wide_2"))
+    nodes = distinct.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp")
     roots = component_roots(near_links(nodes, limit=limit, blocks_of=blocks_of))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -176,9 +184,12 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
 #: Words of at least so many bytes make the fingerprints of near copies, where a text has so many of them.
 WORD_BYTES, WORD_COUNT = 6, 24
 
+#: 64-bit words of the wide fingerprint of shingles, which decides on near copies.
+WIDE = 8
+
 
 def copy_fingerprints(texts: Texts, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every text the fingerprints of its distinct words, one a table, and 128 bits of its shingles."""
+    """For every text the fingerprints of its distinct words, one a table, and the wide one of its shingles."""
     lower = Texts(LOWER[texts.data], texts.offsets)
     found = words(lower)
     code, distinct, hashes = codes(lower.data, found)
@@ -195,15 +206,15 @@ def copy_fingerprints(texts: Texts, width: int, tables: int) -> tuple[np.ndarray
     for table in range(tables if len(some) else 0):
         narrow[table, some] = _majority(mixed(hashes[code] + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), begin)
     found, at, value, _, _ = window_hashes(lower, width)
-    wide = np.zeros((2, len(texts)), dtype=np.uint64)
+    wide = np.zeros((len(texts), WIDE), dtype=np.uint64)
     some, begin = np.unique(np.searchsorted(found.first, at, side="right") - 1, return_index=True)
-    if len(some):
-        wide[0, some], wide[1, some] = _majority(value, begin), _majority(mixed(value + np.uint64(1)), begin)
+    for k in range(WIDE if len(some) else 0):
+        wide[some, k] = _majority(mixed(value + np.uint64(k)), begin)
     # shorter texts are like none but their own copies
     raw = texts.data
     for i in np.flatnonzero(n < width).tolist():
         key = xxhash.xxh64_intdigest(b" ".join(LOWER[raw[texts.offsets[i] : texts.offsets[i + 1]]].tobytes().split()), 1)
-        wide[:, i] = mixed(np.array([key, key + 1 & (1 << 64) - 1], dtype=np.uint64))
+        wide[i] = mixed(np.arange(WIDE, dtype=np.uint64) + np.uint64(key))
     return narrow, wide
 
 
@@ -212,15 +223,15 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
 
     At this similarity the fingerprints of shingles differ in ten bits, which no choice of blocks
     can find; those of distinct longer words differ in about four.  So ``tables`` independent
-    fingerprints of words look for candidates over shared blocks, and 128 bits of shingle
-    fingerprint decide: as many may differ as the similarity makes likely.  Texts with the same
+    fingerprints of words look for candidates over shared blocks, and 512 bits of shingle
+    fingerprint decide: as many may differ as ``similarity`` makes likely.  Texts with the same
     words in the same order are one node.
 
     Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
     empty texts are copies of each other.
     """
     share = acos(2 * similarity / (1 + similarity)) / pi
-    wide_limit = round(128 * share + 1.5 * sqrt(128 * share * (1 - share)))
+    wide_limit = round(64 * WIDE * share + 1.6 * sqrt(64 * WIDE * share * (1 - share)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text"):
@@ -229,15 +240,15 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             cuts = texts.offsets.tolist()
             nodes = [xxhash.xxh64_intdigest(b" ".join(raw[a:b].split()), 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             prints = pa.array(narrow.T.view(np.int64).tolist(), type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), prints, pa.array(wide[0].view(np.int64)), pa.array(wide[1].view(np.int64))], names=["id", "node", "fps", "wide_1", "wide_2"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), prints, pa.array([x.tobytes() for x in wide], type=pa.binary())], names=["id", "node", "fps", "wide"])
 
     kind = documents.schema[id_column].dataType
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, fps array<bigint>, wide_1 bigint, wide_2 bigint"))
-    distinct = marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min(F.struct("fps", "wide_1", "wide_2")).alias("print"))
-    distinct = cut(distinct)
-    nodes = distinct.select("node", F.posexplode("print.fps").alias("table", "fp"), "print.wide_1", "print.wide_2")
-    roots = component_roots(near_links(nodes, limit=limit, blocks_of=blocks_of, wide_limit=wide_limit)).withColumnRenamed("node", "member")
+    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, fps array<bigint>, wide binary"))
+    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("fps").alias("fps"), F.min("wide").alias("wide")))
+    nodes = distinct.select("node", F.posexplode("fps").alias("table", "fp"))
+    links = near_links(nodes, limit=limit, blocks_of=blocks_of, wide=distinct.select("node", "wide"), wide_limit=wide_limit)
+    roots = component_roots(links).withColumnRenamed("node", "member")
     classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = classes.join(least, "root").select("node", "component_id")
