@@ -14,8 +14,11 @@ PREFIX_DIGITS = 8
 
 
 def url_rules(spark: SparkSession, rules: Iterable[tuple[str, str, str]]) -> DataFrame:
-    """``(verdict, host, path)`` rows as a table."""
-    return spark.createDataFrame(list(rules), "verdict string, host string, path string")
+    """``(verdict, host, path)`` rows as a table that is part of the plan."""
+    columns = ("verdict", "host", "path")
+    rows = [F.struct(*[F.lit(x).cast("string").alias(c) for x, c in zip(rule, columns, strict=True)]) for rule in rules]
+    none = F.array().cast("array<struct<verdict: string, host: string, path: string>>")
+    return spark.range(1).select(F.inline(F.array(*rows) if rows else none))
 
 
 def url_host(url: Column) -> Column:
