@@ -17,7 +17,7 @@ from plumbspark.llm.text import blocks
 from plumbspark.llm.tokens import WordTokenizer, encoded
 
 #: Tokens of one bucket of a source's queue: what a task holds at a time, beside its longest document.
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS = 1_000_000
 
 #: Target shares are read as fractions with at most this denominator.
 DENOMINATOR = 1_000_000
@@ -164,7 +164,8 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
     shared = len(names)
 
     queues = spark.createDataFrame([(s, i, max(1, -(-lengths[i] // bucket_tokens))) for i, s in enumerate(names)] or [(None, -1, 1)], "name string, queue int, buckets bigint").where("queue >= 0")
-    placed = tokens.join(queues, F.col("source").eqNullSafe(F.col("name")), "left")
+    # never more queues than a window has tokens
+    placed = tokens.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("name")), "left")
     placed = placed.select("id", "source", "n", "ids", F.coalesce("queue", F.lit(shared)).alias("queue"), F.coalesce("buckets", F.lit(max(1, -(-lengths[shared] // bucket_tokens)))).alias("buckets"))
     placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id"), "buckets")).drop("buckets")
     sums = placed.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from plumbspark.llm.text import LOWER, Runs, Texts, blocks, codes, gather, per_text, runs
 
 #: Distinct pre-tokens that a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 300_000
 
 _LETTER, _DIGIT, _SYMBOL, _OTHER, _FOLLOWS, _BLANK = 1, 2, 3, 4, 5, 0
 
