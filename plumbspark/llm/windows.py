@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +10,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbspark.llm.storage import cut
 from plumbspark.llm.text import Runs, Texts, blocks, codes, mixed, words
 
 #: Text bytes of a part: what one task holds at a time, beside its longest text.
@@ -106,7 +104,7 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
         edge = np.flatnonzero(np.diff(bucket[by].astype(np.int64), prepend=-1))
         ends = [*edge[1:].tolist(), len(value)]
         some = list(zip(edge.tolist(), ends, strict=False))
-        return pd.DataFrame({"bucket": bucket[by][edge].astype(np.int64), "part": np.full(len(edge), rows["part"].iloc[0], dtype=np.int64), "hashes": [_packed(value[a:b]) for a, b in some], "ids": [_packed(rank[a:b].view(np.uint64)) for a, b in some]})
+        return pd.DataFrame({"bucket": bucket[by][edge].astype(np.int64), "part": np.full(len(edge), rows["part"].iloc[0], dtype=np.int64), "hashes": [_packed(value[a:b] // buckets) for a, b in some], "ids": [_packed(rank[a:b].view(np.uint64)) for a, b in some]})
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpacked(x) for x in rows["hashes"]]
@@ -122,14 +120,16 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
         by = np.argsort(origin, kind="stable")
         value, origin = value[by], origin[by]
         where = np.searchsorted(origin, np.arange(len(rows) + 1))
-        out = [(part, _packed(value[a:b])) for part, a, b in zip(rows["part"], where[:-1], where[1:], strict=True) if b > a]
-        return pd.DataFrame(out, columns=["part", "hashes"])
+        out = [(part, bucket, _packed(value[a:b])) for part, bucket, a, b in zip(rows["part"], rows["bucket"], where[:-1], where[1:], strict=True) if b > a]
+        return pd.DataFrame(out, columns=["part", "bucket", "hashes"])
 
     def remove(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []})
         frame = order(rows)
-        late = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *map(_unpacked, answers["hashes"])]))
+        # a bucket's hashes come as their quotients by the number of buckets
+        late = [_unpacked(x) * buckets + np.uint64(bucket) for bucket, x in zip(answers["bucket"], answers["hashes"], strict=True)]
+        late = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *late]))
         value, rank = smallest(frame)
         out = []
         for ranks, texts, (found, begin, hashes, distinct, code) in windows_of(frame):
@@ -153,7 +153,7 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
         return done
 
     sent = dealt.groupBy("part").applyInPandas(send, "bucket bigint, part bigint, hashes binary, ids binary")
-    answers = sent.repartition(int(min(parts, 100_000)), "bucket").groupBy("bucket").applyInPandas(answer, "part bigint, hashes binary")
+    answers = sent.repartition(int(min(parts, 100_000)), "bucket").groupBy("bucket").applyInPandas(answer, "part bigint, bucket bigint, hashes binary")
     done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(remove, "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<array<int>>")
     spans = F.transform("removed", lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))
     return done.select(F.col("id").cast(kind).alias(id_column), "n_words", "n_removed", "kept_text", spans.alias("removed"))
