@@ -1,5 +1,8 @@
 """Literal cases of the text edits."""
 
+import random
+import re
+
 import pytest
 
 from plumbspark.operators import Rewrite, append_if_absent, rewrite_lines
@@ -85,3 +88,25 @@ def test_edits_follow_each_other(spark):
             done = step(done)
         assert sorted(done.columns) == ["changed", "id", "text"]
         assert {r.id: (r.text, r.changed) for r in done.collect()} == {1: ("a # m", True), 2: ("B # m", True), 3: ("c # m", True), 4: ("c # m", False)}
+
+
+def test_random_edits_agree_with_python(spark):
+    """Patterns of groups and back references over random texts, in all scopes."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("aab \n") for _ in range(rng.randint(0, 25))) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for _ in range(12):
+        groups = rng.randint(1, 3)
+        parts = [rng.choice(["(a+)", "(b|ab)", "([ab])", "( ?a)"]) for _ in range(groups)]
+        pattern = "".join(parts) + rng.choice(["", rf"\{rng.randint(1, groups)}", "(?:b|$)", r"\b"])
+        number = rng.randint(0, groups)
+        for scope in ("first_per_line", "first_per_doc", "all"):
+            got = {r.id: r.text for r in rewrite_lines(docs, [Rewrite(pattern, f"<${number}>0", scope)]).collect()}
+            for i, text in enumerate(texts):
+                lines = text.split("\n")
+                hit = next((k for k, line in enumerate(lines) if re.search(pattern, line)), None)
+                edited = [
+                    line if scope == "first_per_doc" and k != hit else re.sub(pattern, rf"<\g<{number}>>0", line, count=scope != "all")
+                    for k, line in enumerate(lines)
+                ]
+                assert got[i] == "\n".join(edited), (pattern, scope, text)
