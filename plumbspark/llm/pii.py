@@ -118,6 +118,9 @@ def _iban(found: re.Match, feistel: Feistel) -> str | None:
     if _iban_remainder(text) != 1:
         return None
     digits = _digits(text[4:])
+    if not digits:
+        # no country has account numbers of letters alone
+        return None
     shape = re.sub("[0-9]", "9", text[4:])
     body = _fill(text[4:], str(feistel.permute(int(digits), 10 ** len(digits), f"iban {text[:2]}{shape}")).zfill(len(digits)))
     return f"{text[:2]}{98 - _iban_remainder(text[:2] + '00' + body):02d}{body}"

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from plumbspark.llm.automata import Trie, near_terms
-from plumbspark.llm.pii import KINDS, Feistel, luhn_digit, pseudonymize, pseudonyms
+from plumbspark.llm.pii import KINDS, Feistel, _iban_remainder, luhn_digit, pseudonymize, pseudonyms
 from plumbspark.llm.secret_scan import KINDS as SECRET_KINDS
 from plumbspark.llm.secret_scan import _seen, fit_network, made_findings, scan_secrets
 from plumbspark.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -153,6 +153,16 @@ def test_what_is_not_personal_stays():
         assert pseudonyms(text, feistel) == (text, [])
 
 
+def test_letters_that_pass_as_an_iban():
+    feistel = Feistel(b"k")
+    body = "ABCDEFGHIJKLMN"
+    serial = f"XY{98 - _iban_remainder('XY00' + body):02d}{body}"
+    assert _iban_remainder(serial) == 1
+    assert pseudonyms(f"serial {serial} here", feistel) == (f"serial {serial} here", [])
+    text, spans = pseudonyms(f"serial {serial}, DE89370400440532013000", feistel)
+    assert [s[0] for s in spans] == ["iban"] and text.startswith(f"serial {serial}, DE")
+
+
 def test_pseudonyms_of_a_table(llm, odd, empty):
     cards = [f"{n}{luhn_digit(str(n))}" for n in range(400_000_000_000_000, 400_000_000_000_500)]
     rows = [(i, f"pay {c} now") for i, c in enumerate(cards)]
