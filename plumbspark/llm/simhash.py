@@ -181,10 +181,97 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     return done.select(F.col("id").cast(kind).alias(id_column), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component_id").cast(kind).alias("component_id"))
 
 
+#: Distinct shingles on one side of a comparison of whole texts; larger groups are dealt out in tiles.
+TILE_SHINGLES = 1 << 20
+
+
+def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes of every text's shingles; those of text ``i`` are ``first[i]:first[i + 1]``."""
+    found, at, value, _, _ = window_hashes(Texts(LOWER[texts.data], texts.offsets), width)
+    owner = np.searchsorted(found.first, at, side="right") - 1
+    order = np.lexsort((value, owner))
+    owner, value = owner[order], value[order]
+    new = np.ones(len(value), dtype=bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (value[1:] != value[:-1])
+    return value[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def text_nodes(texts: Texts) -> np.ndarray:
+    """The node of every text: a hash of its words in their order."""
+    raw = LOWER[texts.data].tobytes()
+    cuts = texts.offsets.tolist()
+    nodes = [xxhash.xxh64_intdigest(b" ".join(raw[a:b].split()), 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    return np.array(nodes, dtype=np.uint64).view(np.int64)
+
+
+def alike(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Edges that connect the texts of one group whose sets of shingles are ``similarity`` alike, by Jaccard."""
+    node = group["node"].to_numpy()
+    sizes = group["shingles"].map(len).to_numpy() // 8
+    code = pd.factorize(np.frombuffer(b"".join(group["shingles"]), dtype=np.uint64))[0]
+    begin = np.cumsum(sizes) - sizes
+    inside = np.zeros(int(code.max(initial=-1)) + 1, dtype=bool)
+    left, right = [node[:0]], [node[:0]]
+    open_ = np.flatnonzero(sizes)
+    rest = code
+
+    def keep(which: np.ndarray) -> None:
+        nonlocal open_, rest
+        rest = rest[np.repeat(which, sizes[open_])]
+        open_ = open_[which]
+
+    while len(open_) > 1:
+        frontier = [open_[0]]
+        keep(np.arange(len(open_)) > 0)
+        while frontier and len(open_):
+            at = frontier.pop()
+            own = code[begin[at] : begin[at] + sizes[at]]
+            inside[own] = True
+            common = np.add.reduceat(inside[rest], np.cumsum(sizes[open_]) - sizes[open_], dtype=np.int64)
+            inside[own] = False
+            close = common / (sizes[at] + sizes[open_] - common) >= similarity
+            if close.any():
+                new = open_[close]
+                left.append(np.full(len(new), node[at]))
+                right.append(node[new])
+                frontier += new.tolist()
+                keep(~close)
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
+def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame, *, width: int, similarity: float) -> DataFrame:
+    """Edges ``a, b`` that connect all nodes of a component of ``candidates`` whose shingles are ``similarity`` alike.
+
+    Components of candidates only say which texts are compared; their whole sets of shingles
+    decide.  These sets are read again from ``texts`` (``id, text``), and only those of nodes
+    with a candidate; ``distinct`` has each ``node, first_id, size``.  A component of more
+    than ``TILE_SHINGLES`` is dealt out as tiles, and every two tiles meet in a group of their own.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, found in blocks(batches, "text"):
+            value, first = shingle_sets(found, width)
+            sets = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(text_nodes(found)), pa.array(sets, type=pa.binary())], names=["member", "shingles"])
+
+    members = component_roots(candidates).join(distinct.select("node", "first_id", "size"), "node")
+    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("tiles"))
+    members = cut(members.join(totals, "root").where("tiles > 0"))
+    wanted = members.select("first_id").distinct()
+    read = texts.join(wanted, texts.id.eqNullSafe(wanted.first_id), "left_semi")
+    # of rows with one id several texts may come; nodes tell them apart
+    sets = read.select("text").mapInArrow(scan, "member bigint, shingles binary").groupBy("member").agg(F.min("shingles").alias("shingles"))
+    tiles = F.col("tiles")
+    own = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    met = sets.join(members, sets.member == members.node).select("node", "shingles", "root", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
+    keys = ["root", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile")]
+    return met.groupBy(*keys).applyInPandas(lambda group: alike(group, similarity), "a bigint, b bigint").distinct()
+
+
 #: Words of at least so many bytes make the fingerprints of near copies, where a text has so many of them.
 WORD_BYTES, WORD_COUNT = 6, 24
 
-#: 64-bit words of the wide fingerprint of shingles, which decides on near copies.
+#: 64-bit words of the wide fingerprint of shingles, which thins out candidates.
 WIDE = 8
 
 
@@ -223,9 +310,9 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
 
     At this similarity the fingerprints of shingles differ in ten bits, which no choice of blocks
     can find; those of distinct longer words differ in about four.  So ``tables`` independent
-    fingerprints of words look for candidates over shared blocks, and 512 bits of shingle
-    fingerprint decide: as many may differ as ``similarity`` makes likely.  Texts with the same
-    words in the same order are one node.
+    fingerprints of words look for candidates over shared blocks, 512 bits of shingle
+    fingerprint leave out most of those less alike, and the whole sets of shingles decide.
+    Texts with the same words in the same order are one node.
 
     Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
     empty texts are copies of each other.
@@ -236,18 +323,17 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text"):
             narrow, wide = copy_fingerprints(texts, width, tables)
-            raw = LOWER[texts.data].tobytes()
-            cuts = texts.offsets.tolist()
-            nodes = [xxhash.xxh64_intdigest(b" ".join(raw[a:b].split()), 0) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            size = np.diff(shingle_sets(texts, width)[1])
             prints = pa.array(narrow.T.view(np.int64).tolist(), type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), prints, pa.array([x.tobytes() for x in wide], type=pa.binary())], names=["id", "node", "fps", "wide"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(text_nodes(texts)), pa.array(size), prints, pa.array([x.tobytes() for x in wide], type=pa.binary())], names=["id", "node", "size", "fps", "wide"])
 
     kind = documents.schema[id_column].dataType
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, fps array<bigint>, wide binary"))
-    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("fps").alias("fps"), F.min("wide").alias("wide")))
+    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, size bigint, fps array<bigint>, wide binary"))
+    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("size").alias("size"), F.min("fps").alias("fps"), F.min("wide").alias("wide")))
     nodes = distinct.select("node", F.posexplode("fps").alias("table", "fp"))
     links = near_links(nodes, limit=limit, blocks_of=blocks_of, wide=distinct.select("node", "wide"), wide_limit=wide_limit)
+    links = confirmed_links(picked, links, distinct, width=width, similarity=similarity)
     roots = component_roots(links).withColumnRenamed("node", "member")
     classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -113,3 +113,54 @@ def test_one_of_each_group_stays(llm):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted([*range(30), 300, None], key=repr)
 
 
+def shingles(text, width=5):
+    w = WORD.findall(low(text or ""))
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)}
+
+
+def brute_copies(rows, similarity=0.8):
+    sets = [shingles(t) for _, t in rows]
+    same = [" ".join(WORD.findall(low(t or ""))) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            if same[i] == same[j] or len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])) >= similarity:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return sorted((i, rows[find(k)][0]) for k, (i, _) in enumerate(rows))
+
+
+def texts_of_similarity():
+    """Pairs at 0.70, 0.76, 0.796, 0.81 and 0.86, and a family made from one template, mostly 0.7 to 0.8 alike."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+
+    def edited(base, at):
+        return [word() if k in at else x for k, x in enumerate(base)]
+
+    rows = []
+    for edits in [14, 11, 9, 8, 6] * 4:
+        base = [word() for _ in range(400)]
+        # every edit changes five shingles of 396 on both sides
+        rows += [" ".join(base), " ".join(edited(base, {20 + 9 * k for k in range(edits)}))]
+    template = [word() for _ in range(400)]
+    rows += [" ".join(edited(template, set(rng.choice(400, 7, replace=False).tolist()))) for _ in range(50)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("tile", [1 << 20, 4000])
+def test_only_texts_alike_are_copies(llm, monkeypatch, tile):
+    from plumbspark.llm import simhash
+
+    rows = texts_of_similarity()
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", tile, raising=False)
+    got = {r.doc_id: r.component_id for r in near_copies(llm.createDataFrame(rows, "doc_id long, text string")).collect()}
+    brute = dict(brute_copies(rows))
+    assert len({c for i, c in brute.items() if i >= 40}) > 40
+    assert [i for i, c in got.items() if c != i and brute[i] != c] == []
