@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, comb, pi, sqrt
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
 from plumbspark.llm.storage import cut
-from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, codes, mixed, words
+from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, mixed, words
 from plumbspark.llm.windows import window_hashes
 
 #: Blocks that a fingerprint is split into.  Fingerprints within 4 bits share 3 of 7 blocks.
@@ -73,7 +73,7 @@ def _block_keys(fingerprint: Column, shared: int, blocks_of: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("choice"), fingerprint.bitwiseAND(F.lit(x)).alias("bits")) for i, x in enumerate(signed)])
 
 
-def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Iterator[pd.DataFrame]:
+def _links(groups: Iterator[pd.DataFrame], limit: int, least_same: int) -> Iterator[pd.DataFrame]:
     """Edges that connect what is linked within each key, at most one a node and tile.
 
     The rows come sorted by key and tile; a group may go on in the next batch.
@@ -82,15 +82,14 @@ def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Itera
     names = ["choice", "bits", "row_tile", "column_tile"]
 
     def edges(frame: pd.DataFrame) -> pd.DataFrame:
-        narrow = frame["fp"].to_numpy().view(np.uint64)
-        wide = np.frombuffer(b"".join(frame["wide"]), dtype=np.uint64).reshape(len(frame), -1) if "wide" in frame else None
+        narrow = frame["fp"].to_numpy().view(np.uint64) if "fp" in frame else None
+        sketch = np.frombuffer(b"".join(frame["sketch"]), dtype=np.uint8).reshape(len(frame), -1) if "sketch" in frame else None
         node = frame["node"].to_numpy()
 
         def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-            close = np.bitwise_count(narrow[i] ^ narrow[j]) <= limit
-            if wide is not None:
-                close &= np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= wide_limit
-            return close
+            if sketch is not None:
+                return (sketch[i] == sketch[j]).sum(axis=1) >= least_same
+            return np.bitwise_count(narrow[i] ^ narrow[j]) <= limit
 
         changed = (frame[names].to_numpy()[1:] != frame[names].to_numpy()[:-1]).any(axis=1)
         begin = np.concatenate([[0], np.flatnonzero(changed) + 1])
@@ -124,26 +123,31 @@ def _links(groups: Iterator[pd.DataFrame], limit: int, wide_limit: int) -> Itera
         yield edges(rest.reset_index(drop=True))
 
 
-def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wide: DataFrame | None = None, wide_limit: int = 0) -> DataFrame:
+def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
     """Edges ``a, b`` that connect all nodes with fingerprints within ``limit`` bits.
 
-    ``marked``: distinct ``node, table, fp``.  Nodes are compared within a table; with
-    ``wide``, one ``node, wide`` each, the bits of these must also lie within ``wide_limit``.
-    Two fingerprints within ``limit`` bits agree in ``blocks_of - limit`` whole blocks: each
-    goes to one key for each such choice of blocks.  Within a key linked nodes are connected
-    by a spanning forest, not by all their pairs.  A key of more than ``TILE`` nodes is
-    dealt out as tiles of ``TILE``, and every two tiles meet in a group of their own.
+    ``marked``: distinct ``node, fp``.  Two fingerprints within ``limit`` bits agree in
+    ``blocks_of - limit`` whole blocks: each goes to one key for each such choice of blocks.
     """
-    shared = blocks_of - limit
-    choices = comb(blocks_of, shared)
-    keyed = marked.select("*", F.explode(_block_keys(F.col("fp"), shared, blocks_of)).alias("key"))
-    keyed = keyed.select("node", "fp", (F.col("table") * choices + F.col("key.choice")).alias("choice"), "key.bits")
+    keyed = marked.select("*", F.explode(_block_keys(F.col("fp"), blocks_of - limit, blocks_of)).alias("key"))
+    return _key_links(keyed.select("node", "fp", "key.choice", "key.bits"), limit=limit)
+
+
+def _key_links(keyed: DataFrame, *, limit: int = 0, sketches: DataFrame | None = None, least_same: int = 0) -> DataFrame:
+    """Edges ``a, b`` that connect the nodes of every key ``choice, bits`` that are near.
+
+    Near are fingerprints ``fp`` within ``limit`` bits, or, with ``sketches`` (one ``node,
+    sketch`` each), sketches with at least ``least_same`` equal bytes.  Within a key linked
+    nodes are connected by a spanning forest, not by all their pairs.  A key of more than
+    ``TILE`` nodes is dealt out as tiles of ``TILE``, and every two tiles meet in a group of
+    their own.
+    """
+    kept = [x for x in keyed.columns if x not in ("choice", "bits")]
     counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("choice", "bits"))).where("n > 1")
-    kept = ["node", "fp"]
-    if wide is not None:
+    if sketches is not None:
         # only now, for the few that share a key with another
-        counted = counted.join(wide, "node")
-        kept.append("wide")
+        counted = counted.join(sketches, "node")
+        kept.append("sketch")
     tiles = F.ceil(F.col("n") / TILE).cast("int")
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     met = counted.select(*kept, "choice", "bits", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
@@ -151,7 +155,7 @@ def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS, wi
     met = met.select(*kept, "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
     keys = ["choice", "bits", "row_tile", "column_tile"]
     grouped = met.repartition(*keys).sortWithinPartitions(*keys)
-    return grouped.mapInPandas(lambda groups: _links(groups, limit, wide_limit), "a bigint, b bigint").distinct()
+    return grouped.mapInPandas(lambda groups: _links(groups, limit, least_same), "a bigint, b bigint").distinct()
 
 
 def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
@@ -172,7 +176,7 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     marked = cut(picked.mapInArrow(scan, "id bigint, fp bigint"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
-    nodes = distinct.select(F.col("fp").alias("node"), F.lit(0).alias("table"), "fp")
+    nodes = distinct.select(F.col("fp").alias("node"), "fp")
     roots = component_roots(near_links(nodes, limit=limit, blocks_of=blocks_of))
     classes = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -185,6 +189,10 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
 TILE_SHINGLES = 1 << 20
 
 
+#: Bytes of texts whose shingles a worker sorts at a time.
+SHINGLE_BYTES = 1 << 20
+
+
 def shingle_sets(texts: Texts, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of every text's shingles; those of text ``i`` are ``first[i]:first[i + 1]``."""
     found, at, value, _, _ = window_hashes(Texts(LOWER[texts.data], texts.offsets), width)
@@ -249,7 +257,7 @@ def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in blocks(batches, "text"):
+        for _, found in blocks(batches, "text", SHINGLE_BYTES):
             value, first = shingle_sets(found, width)
             sets = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text_nodes(found)), pa.array(sets, type=pa.binary())], names=["member", "shingles"])
@@ -268,72 +276,98 @@ def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame
     return met.groupBy(*keys).applyInPandas(lambda group: alike(group, similarity), "a bigint, b bigint").distinct()
 
 
-#: Words of at least so many bytes make the fingerprints of near copies, where a text has so many of them.
-WORD_BYTES, WORD_COUNT = 6, 24
+#: Bytes of a sketch of a text's shingles: one byte of the smallest of so many hashes each.
+SKETCH = 64
 
-#: 64-bit words of the wide fingerprint of shingles, which thins out candidates.
-WIDE = 8
+#: Chance with which the sketches of two texts just alike enough may leave the pair out.
+LEFT_OUT = 1e-6
 
+#: Documents in which common shingles are looked for, and common shingles at most.
+COMMON_DOCUMENTS, COMMON = 10_000, 1 << 17
 
-def copy_fingerprints(texts: Texts, width: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every text the fingerprints of its distinct words, one a table, and the wide one of its shingles."""
-    lower = Texts(LOWER[texts.data], texts.offsets)
-    found = words(lower)
-    code, distinct, hashes = codes(lower.data, found)
-    long = np.fromiter(map(len, distinct), dtype=np.int64, count=len(distinct)) >= WORD_BYTES
-    n = np.diff(found.first)
-    owner = np.repeat(np.arange(len(texts)), n)
-    pair = np.unique(owner * max(len(distinct), 1) + code)
-    owner, code = pair // max(len(distinct), 1), pair % max(len(distinct), 1)
-    rich = np.bincount(owner, weights=long[code], minlength=len(texts)) >= WORD_COUNT
-    used = long[code] | ~rich[owner]
-    owner, code = owner[used], code[used]
-    narrow = np.zeros((tables, len(texts)), dtype=np.uint64)
-    some, begin = np.unique(owner, return_index=True)
-    for table in range(tables if len(some) else 0):
-        narrow[table, some] = _majority(mixed(hashes[code] + np.uint64((table + 1) * 0x9E3779B97F4A7C15 % (1 << 64))), begin)
-    found, at, value, _, _ = window_hashes(lower, width)
-    wide = np.zeros((len(texts), WIDE), dtype=np.uint64)
-    some, begin = np.unique(np.searchsorted(found.first, at, side="right") - 1, return_index=True)
-    for k in range(WIDE if len(some) else 0):
-        wide[some, k] = _majority(mixed(value + np.uint64(k)), begin)
-    # shorter texts are like none but their own copies
-    raw = texts.data
-    for i in np.flatnonzero(n < width).tolist():
-        key = xxhash.xxh64_intdigest(b" ".join(LOWER[raw[texts.offsets[i] : texts.offsets[i + 1]]].tobytes().split()), 1)
-        wide[i] = mixed(np.arange(WIDE, dtype=np.uint64) + np.uint64(key))
-    return narrow, wide
-
-
-def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, tables: int = 4, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
-    """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
+_SKETCH_ADD, _SKETCH_STEP = np.random.default_rng(21).integers(0, 1 << 63, (2, SKETCH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    At this similarity the fingerprints of shingles differ in ten bits, which no choice of blocks
-    can find; those of distinct longer words differ in about four.  So ``tables`` independent
-    fingerprints of words look for candidates over shared blocks, 512 bits of shingle
-    fingerprint leave out most of those less alike, and the whole sets of shingles decide.
-    Texts with the same words in the same order are one node.
 
-    Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
-    empty texts are copies of each other.
+def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sketch of every set; two of them have each byte equal with their Jaccard similarity as chance, or a little more."""
+    out = np.zeros((len(first) - 1, SKETCH), dtype=np.uint8)
+    some = np.flatnonzero(np.diff(first))
+    for k in range(SKETCH if len(some) else 0):
+        least = np.minimum.reduceat((value ^ _SKETCH_ADD[k]) * _SKETCH_STEP[k], first[some])
+        out[some, k] = mixed(least) & np.uint64(0xFF)
+    return out
+
+
+def least_equal(similarity: float) -> int:
+    """So many equal bytes have the sketches of texts ``similarity`` alike, but for a chance of ``LEFT_OUT``."""
+    chance = np.cumsum([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in range(SKETCH + 1)])
+    return int(np.searchsorted(chance, LEFT_OUT, side="right"))
+
+
+def prefixes(value: np.ndarray, first: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of every set in one order of all shingles, of which two sets ``similarity`` alike share one.
+
+    Such sets share ``similarity`` of the larger; so a set without its last such share, but for one
+    shingle, holds the first shingle that both have.  ``common`` shingles, the most common
+    last, come after all others, which only makes keys smaller.
     """
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    wide_limit = round(64 * WIDE * share + 1.6 * sqrt(64 * WIDE * share * (1 - share)))
+    size = np.diff(first)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = value >> np.uint64(1)
+    if len(common):
+        by = np.argsort(common)
+        at = by[np.minimum(np.searchsorted(common, value, sorter=by), len(common) - 1)]
+        order = np.where(common[at] == value, np.uint64(1 << 63) + at.astype(np.uint64), order)
+    by = np.lexsort((value, order, owner))
+    wanted = size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1
+    kept = np.arange(len(value)) - first[:-1][owner] < wanted[owner]
+    return value[by][kept], np.concatenate([[0], np.cumsum(np.minimum(wanted, size))])
+
+
+def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles that several of about ``COMMON_DOCUMENTS`` texts, picked by a hash, have; the most common last."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in blocks(batches, "text"):
-            narrow, wide = copy_fingerprints(texts, width, tables)
-            size = np.diff(shingle_sets(texts, width)[1])
-            prints = pa.array(narrow.T.view(np.int64).tolist(), type=pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(text_nodes(texts)), pa.array(size), prints, pa.array([x.tobytes() for x in wide], type=pa.binary())], names=["id", "node", "size", "fps", "wide"])
+        for _, found in blocks(batches, "text", SHINGLE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(found, width)[0].view(np.int64))], names=["value"])
+
+    share = min(1.0, COMMON_DOCUMENTS / max(texts.count(), 1))
+    picked = texts.select("text").where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 20)) < int((1 << 20) * share))
+    counts = picked.mapInArrow(scan, "value bigint").groupBy("value").count().where("count > 2")
+    top = counts.orderBy(F.desc("count"), "value").limit(COMMON).select("value").toArrow()
+    return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
+
+
+def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
 
+    Alike by the Jaccard similarity of the sets of lower-case shingles; near copies of near
+    copies are in one group.  Each text goes to one key for each of its first shingles in one
+    order of all shingles, so that no two texts alike miss each other.  Within a key, sketches
+    of 64 bytes leave out pairs clearly less alike (of those alike one in a million at most a
+    key), and the whole sets of shingles decide.  Texts with the same words in the same order
+    are one node; those of fewer than ``width`` words are like none but their own copies.
+
+    Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
+    empty texts are copies of each other.
+    """
     kind = documents.schema[id_column].dataType
     picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
-    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, size bigint, fps array<bigint>, wide binary"))
-    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("size").alias("size"), F.min("fps").alias("fps"), F.min("wide").alias("wide")))
-    nodes = distinct.select("node", F.posexplode("fps").alias("table", "fp"))
-    links = near_links(nodes, limit=limit, blocks_of=blocks_of, wide=distinct.select("node", "wide"), wide_limit=wide_limit)
-    links = confirmed_links(picked, links, distinct, width=width, similarity=similarity)
+    common = common_shingles(picked, width)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in blocks(batches, "text", SHINGLE_BYTES):
+            value, first = shingle_sets(texts, width)
+            keys, edge = prefixes(value, first, similarity, common)
+            keys = pa.ListArray.from_arrays(pa.array(edge, type=pa.int32()), pa.array(keys.view(np.int64)))
+            sketch = pa.array([x.tobytes() for x in sketches(value, first)], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(text_nodes(texts)), pa.array(np.diff(first)), keys, sketch], names=["id", "node", "size", "keys", "sketch"])
+
+    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, size bigint, keys array<bigint>, sketch binary"))
+    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+    keyed = distinct.select("node", F.lit(0).alias("choice"), F.explode("keys").alias("bits"))
+    candidates = _key_links(keyed, sketches=distinct.select("node", "sketch"), least_same=least_equal(similarity))
+    links = confirmed_links(picked, candidates, distinct, width=width, similarity=similarity)
     roots = component_roots(links).withColumnRenamed("node", "member")
     classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))

@@ -164,3 +164,20 @@ def test_only_texts_alike_are_copies(llm, monkeypatch, tile):
     brute = dict(brute_copies(rows))
     assert len({c for i, c in brute.items() if i >= 40}) > 40
     assert [i for i, c in got.items() if c != i and brute[i] != c] == []
+
+
+def test_no_copy_is_missed(llm):
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 8))
+    rows = []
+    for length, edits in [(9, 0), (14, 1), (30, 1), (50, 1), (90, 1), (90, 2), (200, 4), (400, 8), (900, 19)] * 6:
+        base = [word() for _ in range(length)]
+        # scattered edits, and one run of words exchanged at the end
+        other = [word() if k % 9 == 4 and k // 9 < edits else x for k, x in enumerate(base)]
+        run = max(1, (length - 4) // 9 - 1)
+        rows += [" ".join(base), " ".join(other), " ".join(base[:-run] + [word() for _ in range(run)]), " ".join(base[:-1])]
+    rows += ["a b c d", "A  b c d", "a b c", "", None]
+    got = near_copies(llm.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    brute = brute_copies(list(enumerate(rows)))
+    assert sum(i != c for i, c in brute) > 120
+    assert sorted(map(tuple, got)) == brute
