@@ -179,7 +179,7 @@ class CharacterNetwork:
         """Fit the scale and shift of the logits, then the highest thresholds that keep ``recall``.
 
         Each family of candidates has a threshold of its own: at most the one that finds
-        ``recall`` of its findings, and not under one half.
+        ``recall`` of its findings, however low their probability is.
         """
         z = self.logits(x)
         scale, shift = 1.0, 0.0
@@ -193,7 +193,7 @@ class CharacterNetwork:
         for k in range(3):
             own = np.sort(p[(kind == k) & (y == 1)])
             cut = own[int((1 - recall) * len(own))] if len(own) else 1.0
-            self.thresholds[k] = max(0.5, float(min(cut, 0.95)))
+            self.thresholds[k] = float(min(cut, 0.95))
 
     def accepts(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -251,6 +251,21 @@ def made_findings(count: int, seed: int = 5) -> tuple[list[bytes], np.ndarray]:
     return texts, np.array(labels)
 
 
+_FORMATS = re.compile(
+    rb"(?:gh[opsur]_|github_pat_|xox[abprs]-|[sr]k_(?:live|test)_|glpat-|npm_|AIza)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_.-]+|A[KS]IA[A-Z0-9]{12,}"
+    rb"|(?=(?:[^A-Z]*[A-Z]){3})(?=(?:[^a-z]*[a-z]){3})(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9]{24,}|(?=(?:[^0-9]*[0-9]){3})[A-Z0-9]{20,}"
+)
+
+
+#: What announces a value in the same run of value characters; where a value stands alone it isn't there.
+_ANNOUNCED = re.compile(rb".*(?:password|passwd|secret|token|api_?key)=+", re.IGNORECASE)
+
+
+def known_format(value: bytes) -> bool:
+    """Whether ``value`` looks like a public format of keys, or is a long mix of signs like one."""
+    return _FORMATS.fullmatch(value) is not None
+
+
 def _seen(marked: list[bytes]) -> np.ndarray:
     """What the network sees of values marked by a zero byte on both sides."""
     parts = [x.split(b"\x00") for x in marked]
@@ -264,11 +279,14 @@ def _seen(marked: list[bytes]) -> np.ndarray:
 def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", fit_documents: int = FIT_DOCUMENTS, fit_findings: int = FIT_FINDINGS, recall: float = 0.98) -> CharacterNetwork:
     """Train on labelled findings: what the base patterns found in a sample of the corpus, and made ones.
 
-    Candidates inside base findings are positive, other candidates negative.  Positive ones
-    are seen with the text before them and, as often, without it, so that the network
-    learns how a value looks and not the word that announced it.  The sample is about
+    Candidates inside base findings are positive, other candidates negative, but for those in
+    a known format of keys: nobody says that these are none.  Positive ones begin behind the
+    word and sign that announce them, as the network never judges these.  They are seen with
+    the text before them and, as often, with that before another candidate, so that the
+    network learns how a value looks and not the word that announced it.  The sample is about
     ``fit_documents`` documents picked by a hash of the id, and ``fit_findings`` findings of
-    each label at most.  A fifth is held back to calibrate and to set thresholds.
+    each label at most.  A fifth is held back to calibrate and to set thresholds; all rows of
+    one value are on the same side.
     """
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,6 +294,13 @@ def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             base = base_spans(texts)
             start, end = candidates(texts)
             label = ~free(start, end, base)
+            for i in np.flatnonzero(label).tolist():
+                if announced := _ANNOUNCED.match(texts.data[start[i] : end[i]].tobytes()):
+                    start[i] += announced.end()
+            long = end - start >= LEAST
+            start, end, label = start[long], end[long], label[long]
+            sure = label | ~np.fromiter((known_format(texts.data[a:b].tobytes()) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=bool, count=len(start))
+            start, end, label = start[sure], end[sure], label[sure]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in surroundings(texts, start, end)], type=pa.binary()), pa.array(label)], names=["seen", "secret"])
 
     rows = documents.count()
@@ -292,10 +317,14 @@ def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column:
         bare = own[secret == 1].copy()
         bare[:, :BEFORE] = 0
         bare[:, BEFORE - 1] = 0x20
+        if len(plain := own[secret == 0]):
+            # text before them as other candidates have it, or it would tell announced values from lone ones
+            bare[:, :BEFORE] = plain[np.random.default_rng(6).integers(0, len(plain), len(bare)), :BEFORE]
         seen += [own, bare]
         labels = np.concatenate([labels, secret, np.ones(len(bare))])
     x = np.concatenate(seen)
-    held = np.random.default_rng(4).random(len(x)) < 0.2
+    _, value = np.unique(x[:, BEFORE : BEFORE + INSIDE], axis=0, return_inverse=True)
+    held = np.random.default_rng(4).random(value.max() + 1)[value] < 0.2
     network = CharacterNetwork()
     network.train(x[~held], labels[~held])
     network.calibrate(x[held], labels[held], recall)

@@ -106,6 +106,22 @@ def test_secrets(llm, small, odd, empty):
     assert scan_secrets(empty, network).count() == 0
 
 
+def test_lone_keys_that_outnumber_announced_ones(llm):
+    rng = random.Random(6)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    key = lambda i: "".join(rng.choice(lower + "0123456789" + (lower.upper() if i % 2 else "")) for _ in range(31)) + "7"
+    word = lambda: "".join(rng.choice(lower) for _ in range(rng.randint(3, 8)))
+    prose = lambda: " ".join(word() for _ in range(6))
+    rows = [(i, f"{prose()} token={key(i)} {prose()}") for i in range(100)]
+    rows += [(1000 + i, f"{prose()} {key(i)} {prose()}") for i in range(800)]
+    plain = [(5000 + i, f"{prose()} {word()}/{word()}/{word()}/page{i}.html {prose()}") for i in range(800)]
+    docs = llm.createDataFrame(rows + plain, "doc_id long, text string")
+    got = {r.doc_id: any(s.kind == "model" for s in r.spans) for r in scan_secrets(docs, fit_network(docs)).collect()}
+    for odd in (0, 1):
+        assert np.mean([got[1000 + i] for i in range(odd, 800, 2)]) > 0.9
+    assert np.mean([got[i] for i, _ in plain]) < 0.05
+
+
 def test_network_without_findings(empty, llm):
     network = fit_network(empty)
     assert scan_secrets(llm.createDataFrame(SECRETS[:1], "doc_id long, text string"), network).count() == 1
