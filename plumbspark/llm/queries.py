@@ -7,11 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbspark.llm.contamination import find_contamination
+from plumbspark.llm.lexical import rank_documents
 from plumbspark.llm.packing import pack_documents
 from plumbspark.llm.pii import pseudonymize
 from plumbspark.llm.quality import quality_cascade
 from plumbspark.llm.secret_scan import fit_network, scan_secrets
+from plumbspark.llm.setsketch import minhash_components
 from plumbspark.llm.simhash import simhash_components
+from plumbspark.llm.spelling import group_spellings
 from plumbspark.llm.storage import ship_package
 from plumbspark.llm.tokens import count_tokens
 from plumbspark.llm.toxicity import fit_toxicity, held_out, score_toxicity
@@ -97,6 +100,21 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best of all documents for every benchmark item."""
+    return rank_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), limit=50)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, form and root."""
+    return group_spellings(_table(spark, sf_dir, "documents"))
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of three-word shingles are 0.85 alike."""
+    return minhash_components(_table(spark, sf_dir, "documents"), width=3, similarity=0.85)
+
+
 QUERIES = {
     "op1_mixture_packing": op1_mixture_packing,
     "op2_secret_scan": op2_secret_scan,
@@ -108,6 +126,9 @@ QUERIES = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_minhash_near_dedup": op13_minhash_near_dedup,
 }
 
 SQL: dict[str, str] = {
@@ -123,4 +144,23 @@ SQL: dict[str, str] = {
             GROUP BY p.page_id)
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fitting USING (page_id)
     """,
+    "op11_lexical_search": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        bags AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+        lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM bags GROUP BY doc_id),
+        totals AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM lengths),
+        asked AS (
+            SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        weights AS (
+            SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM bags, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, n_docs),
+        scored AS (
+            SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+            FROM asked JOIN weights USING (term) JOIN bags USING (term) JOIN lengths USING (doc_id), totals
+            GROUP BY item_id, doc_id)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        WHERE rank <= 50
+    """,
 }
