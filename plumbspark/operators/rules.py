@@ -7,21 +7,16 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbspark.functions.lines import line_regex_column, text_lines
+from plumbspark.sources.storage import cut
 from plumbspark.sources.tables import small_table
 
 ANY = "*"
 EFFECTS = ("include", "exclude")
-
-#: Prerequisites of a rule table that are read to the driver to be followed, at most.
-MAX_PREREQUISITES = 100_000
-
-#: Alternative probes that a rule of a rule table can have; each is one bit of a long.
-MAX_PROBES = 62
-
+STATUSES = ("fail", "pass", "skip")
 
 @dataclass(frozen=True)
 class Rule:
@@ -125,78 +120,102 @@ def check_rules(
     - ``rules``: ``(rule_id, section, kind, target, pattern, message)``, one row per
       probe. A probe with a ``pattern`` holds if some line of document ``target``
       matches; one without holds if the inventory has ``(kind, name = target)``. A rule
-      with several rows holds if any of its probes does. Optional columns: ``mode``, one
-      of :data:`plumbspark.functions.lines.LINE_MODES` or ``suffix`` (NULL: ``regex``);
-      ``ignore_case``; ``max_count``, with which a probe holds as long as no more lines,
-      or distinct inventory entries, match: 0 asks for their absence, also from a missing
-      document.
+      with several rows holds if any of its probes does, however many it has. Optional
+      columns: ``mode``, one of :data:`plumbspark.functions.lines.LINE_MODES` or ``suffix``
+      (NULL: ``regex``); ``ignore_case``; ``max_count``, with which a probe holds as long
+      as no more lines, or distinct inventory entries, match: 0 asks for their absence,
+      also from a missing document.
     - ``inventory``: ``(entity, kind, name)``; ``docs``: ``(entity, path, text)``.
-    - ``prerequisites``: ``(rule_id, requires)``; a rule with a failed requirement, direct
-      or through others, gives no row. They are followed on the driver, which reads at
-      most ``MAX_PREREQUISITES`` of them; a rule that requires itself raises ValueError.
-
-    Documents meet the probes of their path before they are split, and each sends one
-    small row per rule, in which a bit stands for a probe. What was asked and what was
-    found meet in one aggregation by entity and rule; sections and messages are added
-    to its result. All joins are plain equi-joins: rules are broadcast if Catalyst knows
-    them to be small, and a hot key's rows can be split.
+    - ``prerequisites``: ``(rule_id, requires)``, of any number and depth; a rule with a
+      failed requirement, direct or through others, gives no row. A rule that requires
+      itself, directly or through others, raises ValueError.
+
+    There is one row per entity and rule. Its message is that of the rule's first probe,
+    by kind, target, pattern, mode, ``ignore_case``, ``max_count`` and message. A rule whose
+    probes name several sections is in all of them: its result is for the first of these
+    that the entity has, and is a skip if none of those that it has applies.
+
+    A document meets all probes of its path as one array, and is split once; each probe
+    that is found becomes one small row. What was asked and what was found meet in one
+    aggregation by entity and rule; messages are added to its result. All joins are plain
+    equi-joins: rules are broadcast if Catalyst knows them to be small, and a hot key's rows
+    can be split.
     """
     if "applies" not in pairs.columns:
         pairs = pairs.withColumn("applies", F.lit(True))
     optional = {"mode": "string", "ignore_case": "boolean", "max_count": "bigint"}
     given = [F.col(c).cast(t).alias(c) if c in rules.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()]
     probes = rules.select("rule_id", "section", "kind", "target", "pattern", "message", *given)
-    order = Window.partitionBy("rule_id").orderBy("kind", "target", "pattern", "mode", "ignore_case", "max_count")
-    number = F.row_number().over(order) - 1
-    too_many = F.raise_error(F.concat(F.lit("too many probes: "), "rule_id")).cast("int")
-    probes = probes.withColumn("probe", F.when(number < MAX_PROBES, number).otherwise(too_many))
-    probes = probes.withColumn("bit", F.expr("shiftleft(1L, probe)"))
+    bounded = "max_count" in rules.columns
+    if bounded:
+        # the place of a probe in its rule tells those with a max_count apart
+        order = Window.partitionBy("rule_id").orderBy("kind", "target", "pattern", "mode", "ignore_case", "max_count")
+        probes = probes.withColumn("probe", F.when(F.col("max_count").isNotNull(), F.row_number().over(order)))
+    else:
+        probes = probes.withColumn("probe", F.lit(None).cast("int"))
+    described = F.struct("kind", "target", "pattern", "mode", "ignore_case", "max_count", "message")
+    sections = F.sort_array(F.collect_set("section"))
+    rule_table = probes.groupBy("rule_id").agg(F.count("probe").alias("n_bounded"), F.min(described)["message"].alias("message"), sections.alias("sections"))
 
     # A probe is found if it has a match; one with max_count if it has too many.
-    rule_table = probes.groupBy("rule_id", "section", "message").agg(
-        F.coalesce(F.bit_or(F.when(F.col("max_count").isNull(), F.col("bit"))), F.lit(0)).alias("wanted"),
-        F.coalesce(F.bit_or(F.when(F.col("max_count").isNotNull(), F.col("bit"))), F.lit(0)).alias("bounded"),
-    )
-    facts = pairs.join(rule_table.select("rule_id", "section"), "section").select(
-        entity, "rule_id", "applies", F.lit(0).cast("bigint").alias("found")
-    )
-    # applies stays NULL for evidence nobody asked for.
-    unasked = F.lit(None).cast("boolean").alias("applies")
+    places = rule_table.select("rule_id", F.posexplode("sections").alias("place", "section"))
+    asked = pairs.join(places, "section")
+    facts = asked.select(entity, "rule_id", "place", "applies", F.lit(False).alias("found"), F.lit(None).cast("int").alias("probe"))
     least = F.coalesce("max_count", F.lit(0))
+    unasked = [F.lit(None).cast("int").alias("place"), F.lit(None).cast("boolean").alias("applies")]
+    evidence = [entity, "rule_id", *unasked, F.lit(True).alias("found"), "probe"]
     if inventory is not None:
-        wanted = probes.filter(F.col("pattern").isNull()).select("rule_id", "bit", least.alias("least"), "kind", F.col("target").alias("name"))
+        wanted = probes.filter(F.col("pattern").isNull()).select("rule_id", "probe", least.alias("least"), "kind", F.col("target").alias("name"))
         # An entry is there or not: one is its greatest count.
         present = inventory.select(entity, "kind", "name").join(wanted.filter("least < 1"), ["kind", "name"])
-        facts = facts.unionByName(present.select(entity, "rule_id", unasked, F.col("bit").alias("found")))
+        facts = facts.unionByName(present.select(*evidence))
     if docs is not None:
-        lines = probes.filter(F.col("pattern").isNotNull()).select(
-            "rule_id", "bit", least.alias("least"), F.col("target").alias("path"), line_regex_column("pattern", "mode", "ignore_case").alias("regex")
-        )
-        probed = docs.select(entity, "path", "text").join(lines, "path").withColumn("lines", text_lines("text"))
-        # regexp_instr keeps its compiled pattern from line to line; rlike with a
-        # pattern column compiles it anew each time.
-        hit = F.filter("lines", lambda line: F.regexp_instr(line, F.col("regex")) > 0)
-        matched = probed.filter(F.size(hit) > F.col("least"))
-        facts = facts.unionByName(matched.select(entity, "rule_id", unasked, F.col("bit").alias("found")))
-
-    results = (
-        facts.groupBy(entity, "rule_id")
-        .agg(F.bool_or("applies").alias("applies"), F.bit_or("found").alias("found"))
-        .filter(F.col("applies").isNotNull())
-        .join(rule_table.select("rule_id", "wanted", "bounded"), "rule_id")
+        facts = facts.unionByName(_found_in_docs(docs, probes.withColumn("least", least), entity).select(*evidence))
+
+    # Numbers and flags, which aggregate in place; only a max_count needs the set of probes.
+    holds = F.col("plain")
+    counted = []
+    if bounded:
+        counted = [F.size(F.collect_set("probe")).alias("too_many")]
+        holds = holds | (F.col("too_many") < F.col("n_bounded"))
+    results = facts.groupBy(entity, "rule_id").agg(
+        F.bool_or("applies").alias("applies"), F.min("place").alias("place"), F.bool_or(F.col("found") & F.col("probe").isNull()).alias("plain"), *counted
     )
-    holds = (F.col("found").bitwiseAND(F.col("wanted")) != 0) | (
-        F.bitwise_not("found").bitwiseAND(F.col("bounded")) != 0
-    )
-    status = F.when(~F.col("applies"), "skip").when(holds, "pass").otherwise("fail")
-    results = results.select(entity, "rule_id", status.alias("status"))
+    results = results.filter(F.col("applies").isNotNull())
+    if bounded:
+        results = results.join(rule_table.select("rule_id", "n_bounded"), "rule_id")
+    status = F.when(~F.col("applies"), STATUSES.index("skip")).when(holds, STATUSES.index("pass")).otherwise(STATUSES.index("fail"))
+    results = results.select(entity, "rule_id", "place", status.alias("status"))
     if prerequisites is not None:
-        results = _drop_blocked(results, _closed(prerequisites), entity)
-    return results.join(rule_table.select("rule_id", "section", "message"), "rule_id").select(
-        entity, "section", "rule_id", "status", "message"
+        results = _drop_blocked(results, _hops(results.sparkSession, prerequisites), entity)
+    named = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.col("status") + 1)
+    return results.join(rule_table.select("rule_id", "sections", "message"), "rule_id").select(
+        entity, F.get("sections", "place").alias("section"), "rule_id", named.alias("status"), "message"
     )
 
 
+def _found_in_docs(docs: DataFrame, probes: DataFrame, entity: str) -> DataFrame:
+    """``(entity, rule_id, probe)`` of each probe of lines that a document of its path has a match for, or too many."""
+    regex = line_regex_column("pattern", "mode", "ignore_case").alias("regex")
+    by_path = (
+        probes.filter(F.col("pattern").isNotNull())
+        .groupBy(F.col("target").alias("path"))
+        .agg(F.collect_list(F.struct("rule_id", "probe", "least", regex)).alias("probes"))
+    )
+
+    # regexp_instr keeps its compiled pattern from line to line; rlike with a pattern
+    # column compiles it anew each time.
+    def found(lines: Column, probe: Column) -> Column:
+        hit = lambda line: F.regexp_instr(line, probe["regex"]) > 0
+        return F.when(probe["least"] == 0, F.exists(lines, hit)).otherwise(F.size(F.filter(lines, hit)) > probe["least"])
+
+    # An array of one, so that a text is split once for all its probes.
+    lines = F.array(text_lines("text"))
+    hits = F.flatten(F.transform(lines, lambda x: F.filter("probes", lambda probe: found(x, probe))))
+    present = docs.select(entity, "path", "text").join(by_path, "path").filter(F.col("text").isNotNull())
+    return present.select(entity, F.inline(hits)).select(entity, "rule_id", "probe")
+
+
 def applicable(
     entities: DataFrame,
     scope_rules: Sequence[ScopeRule] | DataFrame,
@@ -212,9 +231,11 @@ def applicable(
     Scope rules given as a list become part of the plan (map-only). With
     ``keep_all`` every pair is returned with a boolean ``applies``. Scope rules
     given as a table ``(section, attribute, value, effect)`` name their columns in
-    ``attributes``: only these are unfolded, and meet the rules in an equi-join on
-    attribute and value. Wildcard rules, one outcome per section, are unfolded for every
-    entity without a join. An effect that is neither ``include`` nor ``exclude`` fails.
+    ``attributes``. Each attribute is one equi-join of entities with the sets of sections
+    that its values include and exclude; those of wildcard rules are a constant of the
+    plan. Sections unfold at the end, so that no section of an entity is shuffled.
+    ``entities`` has one row per ``keys``. An effect that is neither ``include`` nor
+    ``exclude`` fails.
     """
     keys = list(keys)
     if isinstance(scope_rules, DataFrame):
@@ -279,56 +300,76 @@ def _applicable_by_table(entities: DataFrame, scope_rules: DataFrame, keys: list
     message = F.concat(F.lit("unknown effect: "), F.coalesce(effect, F.lit("NULL")))
     on = F.when(effect.isin(*EFFECTS), effect == "include").otherwise(F.raise_error(message).cast("boolean"))
     effects = scope_rules.select("attribute", "value", "section", on.alias("__on"))
-    # One row of one array: as long as there are sections, and no longer with more entities.
-    everywhere = (
-        effects.filter(F.col("attribute") == ANY)
-        .groupBy("section")
-        .agg(F.bool_and("__on").alias("__on"))
-        .agg(F.collect_list(F.struct("section", "__on")).alias("__all"))
-    )
-    wild = entities.select(*keys, F.inline(everywhere.scalar()))
-    scopes = F.array(
-        *[F.struct(F.lit(a).alias("attribute"), F.col(a).cast("string").alias("value")) for a in attributes]
-    )
-    matched = wild
-    if attributes:
-        special = effects.filter(F.col("attribute") != ANY)
-        scoped = entities.select(*keys, F.inline(scopes)).join(special, ["attribute", "value"])
-        matched = wild.unionByName(scoped.select(*keys, "section", "__on"))
+    sets = [F.collect_set(F.when(c, F.col("section"))).alias(n) for n, c in (("on", F.col("__on")), ("off", ~F.col("__on")))]
+    # One row of two arrays: as long as there are sections, and no longer with more entities.
+    everywhere = effects.filter(F.col("attribute") == ANY).agg(F.struct(*sets).alias("sets")).scalar()
+    # Each attribute adds its value's sections to the row of the entity.
+    found = entities.select(*keys, *[F.col(a).cast("string").alias(f"__value_{i}") for i, a in enumerate(attributes)])
+    for i, attribute in enumerate(attributes):
+        special = effects.filter(F.col("attribute") == attribute).groupBy(F.col("value").alias(f"__value_{i}"))
+        found = found.join(special.agg(F.struct(*sets).alias(f"__sets_{i}")), f"__value_{i}", "left")
+    nothing = F.array().cast("array<string>")
+
+    def all_of(name: str) -> Column:
+        return F.concat(everywhere[name], *[F.coalesce(F.col(f"__sets_{i}")[name], nothing) for i in range(len(attributes))])
+
     # Applies if something includes it and nothing excludes it.
-    return matched.groupBy(*keys, "section").agg(F.bool_and("__on").alias("__on")).filter("__on").drop("__on")
-
-
-def _closed(prerequisites: DataFrame | Sequence[tuple[str, str]]) -> list[tuple[str, str]]:
-    """All requirements of every rule, direct or through others."""
-    if isinstance(prerequisites, DataFrame):
-        rows = prerequisites.select("rule_id", "requires").distinct().limit(MAX_PREREQUISITES + 1).collect()
-        if len(rows) > MAX_PREREQUISITES:
-            raise ValueError(f"more than {MAX_PREREQUISITES} prerequisites")
-        prerequisites = [tuple(row) for row in rows]
-    direct: dict[str, list[str]] = {}
-    for rule_id, requires in prerequisites:
-        direct.setdefault(rule_id, []).append(requires)
-    return [(rule_id, name) for rule_id in direct for name in _all_required(rule_id, direct)]
-
-
-def _drop_blocked(results: DataFrame, requirements: list[tuple[str, str]], entity: str) -> DataFrame:
-    closed = small_table(results.sparkSession, requirements, "__dependent string, __requires string")
-    behind = (F.col("rule_id") == F.col("__requires")) & (F.col("status") == "fail")
-    marked = results.join(closed, behind, "left")
-    # A result speaks for itself, and a failure also against the rules behind it.
-    own = F.struct("rule_id", "status")
-    blocked = F.struct(F.col("__dependent").alias("rule_id"), F.lit("blocked").alias("status"))
-    said = [F.bool_or(F.col("status") == s).alias(s) for s in ("pass", "skip", "fail", "blocked")]
-    status = F.when(F.col("skip"), "skip").when(F.col("pass"), "pass").otherwise("fail")
-    return (
-        marked.select(entity, F.inline(F.array(own, blocked)))
-        .filter(F.col("rule_id").isNotNull())
-        .groupBy(entity, "rule_id")
-        .agg(*said)
-        .filter(~F.col("blocked"))
-        .select(entity, "rule_id", status.alias("status"))
-    )
+    return found.select(*keys, F.explode(F.array_except(all_of("on"), all_of("off"))).alias("section"))
+
+
+def _hops(spark: SparkSession, prerequisites: DataFrame | Sequence[tuple[str, str]]) -> list[DataFrame]:
+    """``(dependent, requirement)`` tables, the ``k``-th of all pairs ``2**k`` steps apart.
+
+    Every distance is a sum of some of these, so that following each of them once follows
+    any chain; a table is made by joining the one before it with itself. Where rules don't
+    require themselves a walk has no more steps than there are rules, and the last table is
+    empty; a longer one is a circle.
+    """
+    names = ["__dependent", "__requires"]
+    if not isinstance(prerequisites, DataFrame):
+        pairs, hops = set(prerequisites), []
+        rules = {rule_id for pair in pairs for rule_id in pair}
+        while pairs:
+            if 2 ** len(hops) > len(rules):
+                raise ValueError(f"rule {min(pairs)[0]!r} requires itself, directly or through others")
+            hops.append(small_table(spark, sorted(pairs), "__dependent string, __requires string"))
+            after: dict[str, list[str]] = {}
+            for rule_id, required in pairs:
+                after.setdefault(rule_id, []).append(required)
+            pairs = {(rule_id, name) for rule_id, required in pairs for name in after.get(required, ())}
+        return hops
+    hop = cut(prerequisites.select("rule_id", "requires").dropna().distinct().toDF(*names))
+    n_rules = hop.select(F.explode(F.array(*names))).distinct().count()
+    hops = []
+    while not hop.isEmpty():
+        if 2 ** len(hops) > n_rules:
+            raise ValueError(f"rule {hop.agg(F.min(names[0])).first()[0]!r} requires itself, directly or through others")
+        hops.append(hop)
+        after = hop.toDF("__requires", "__further")
+        hop = cut(hop.join(after, "__requires").select("__dependent", F.col("__further").alias("__requires")).distinct())
+    return hops
+
+
+def _drop_blocked(results: DataFrame, hops: Sequence[DataFrame], entity: str) -> DataFrame:
+    """``results`` without rules that a failed one stands behind.
+
+    A failed or blocked rule blocks those that require it, ``2**k`` steps on in the ``k``-th
+    pass. A pass is one aggregation; results are computed once.
+    """
+    fails = F.col("status") == STATUSES.index("fail")
+    marked = results.select(entity, "rule_id", "place", "status", F.lit(False).alias("blocked"))
+    for hop in hops:
+        behind = marked.join(hop, (F.col("rule_id") == F.col("__requires")) & (F.col("blocked") | fails), "left")
+        said = F.struct("rule_id", "place", "status", "blocked")
+        unsaid = F.lit(None).cast("int")
+        further = F.struct(F.col("__dependent").alias("rule_id"), unsaid.alias("place"), unsaid.alias("status"), F.lit(True).alias("blocked"))
+        marked = (
+            behind.select(entity, F.inline(F.array(said, further)))
+            .filter(F.col("rule_id").isNotNull())
+            .groupBy(entity, "rule_id")
+            .agg(F.max("place").alias("place"), F.max("status").alias("status"), F.bool_or("blocked").alias("blocked"))
+        )
+    return marked.filter(F.coalesce(~F.col("blocked"), F.lit(False)) & F.col("status").isNotNull()).select(entity, "rule_id", "place", "status")
 
 
 def _status(rule: Rule) -> Column:

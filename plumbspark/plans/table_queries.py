@@ -423,6 +423,73 @@ def check_rule_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    r"""
+    WITH checks AS (
+        SELECT d.doc_id, d.lang, (d.lang = 'en' AND regexp_matches(text, '(?i)licen[sc]e')) OR (d.lang = 'de' AND regexp_matches(text, 'Lizenz|[0-9]')) OR coalesce(l.quality = 1, false) AS notice,
+               d.lang = 'de' AND regexp_matches(text, '[0-9]{3}') OR coalesce(l.toxic = 0, false) AS digits
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'english' ELSE 'german' END AS section, 'notice' AS rule_id,
+           CASE WHEN notice THEN 'pass' ELSE 'fail' END AS status, 'keine Lizenz' AS message
+    FROM checks WHERE lang IN ('en', 'de')
+    UNION ALL
+    SELECT doc_id, 'german', 'digits', CASE WHEN digits THEN 'pass' ELSE 'fail' END, 'keine Zahl' FROM checks WHERE lang = 'de'
+    """
+)
+def check_rule_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of one rule that differ in path, section and message."""
+    documents, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    rules = small_table(
+        spark,
+        [
+            ("notice", "english", "line", "en", "(?i)licen[sc]e", "no license"),
+            ("notice", "german", "line", "de", "Lizenz|[0-9]", "keine Lizenz"),
+            ("notice", "german", "quality", "1", None, "keine Pruefung"),
+            ("digits", "german", "line", "de", "[0-9]{3}", "keine Zahl"),
+            ("digits", "german", "toxic", "0", None, "unsauber"),
+        ],
+        RULE_SCHEMA,
+    )
+    labelled = labels.select(
+        "doc_id", F.stack(F.lit(2), F.lit("quality"), "quality", F.lit("toxic"), "toxic").alias("kind", "name")
+    )
+    scopes = [ScopeRule("english", "lang", "en"), ScopeRule("german", "lang", "de")]
+    return check_rules(
+        applicable(documents, scopes, ["doc_id"]),
+        rules,
+        inventory=labelled.withColumn("name", F.col("name").cast("string")),
+        docs=documents.select("doc_id", F.col("lang").alias("path"), "text"),
+        entity="doc_id",
+    )
+
+
+@query(
+    """
+    WITH months AS (SELECT DISTINCT month(o_orderdate) AS m FROM orders),
+    bought AS (SELECT DISTINCT o_custkey, month(o_orderdate) AS m FROM orders),
+    results AS (
+        SELECT c_custkey, months.m, o_custkey IS NOT NULL AS ok
+        FROM customer CROSS JOIN months LEFT JOIN bought ON o_custkey = c_custkey AND bought.m = months.m),
+    stopped AS (SELECT c_custkey, min(m) AS first_gap FROM results WHERE NOT ok GROUP BY c_custkey)
+    SELECT c_custkey, 'orders' AS section, 'month ' || m AS rule_id, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS status, '' AS message
+    FROM results LEFT JOIN stopped USING (c_custkey) WHERE first_gap IS NULL OR m <= first_gap
+    """
+)
+def check_rule_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and a long chain of prerequisites that both come from a table: an order in every month needs one in the month before."""
+    orders = read_table(spark, sf_dir, "orders").select("o_custkey", F.month("o_orderdate").alias("m"))
+    months = orders.select("m").distinct()
+    named = lambda m: F.concat(F.lit("month "), m)
+    rules = months.select(
+        named(F.col("m")).alias("rule_id"), F.lit("orders").alias("section"), F.lit("month").alias("kind"),
+        F.col("m").cast("string").alias("target"), F.lit(None).cast("string").alias("pattern"), F.lit("").alias("message"),
+    )
+    needs = months.filter("m > 1").select(named(F.col("m")).alias("rule_id"), named(F.col("m") - 1).alias("requires"))
+    inventory = orders.select(F.col("o_custkey").alias("c_custkey"), F.lit("month").alias("kind"), F.col("m").cast("string").alias("name"))
+    pairs = read_table(spark, sf_dir, "customer").select("c_custkey", F.lit("orders").alias("section"))
+    return check_rules(pairs, rules, inventory, prerequisites=needs, entity="c_custkey")
+
+
 @query(
     DOCUMENT_RESULTS_SQL
     + """

@@ -1,5 +1,7 @@
 """Literal cases of rules, scopes, verdicts, classes and overrides."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from plumbspark.operators import (
     select_paths,
     verdict,
 )
+from plumbspark.operators.rules import _found_in_docs
 from plumbspark.plans import conformance_results
 from plumbspark.sources import small_table
 
@@ -55,11 +58,93 @@ def test_chains_agree_with_the_list_form(spark, join_kind):
     assert rows(check_rules(pairs, rules, inventory, prerequisites=table), *names) == rows(got, *names)
 
 
+def test_random_chains_agree_with_the_list_form(spark):
+    rng = random.Random(7)
+    names = [f"r{i}" for i in range(12)]
+    for _ in range(4):
+        needs = [(b, a) for i, a in enumerate(names) for b in names[i + 1 :] if rng.random() < 0.2]
+        facts = spark.createDataFrame([(f"h{h}", [x for x in names if rng.random() < 0.8]) for h in range(12)], "host string, names array<string>")
+        scopes = [ScopeRule("s"), ScopeRule("t", "host", "h3", "exclude"), ScopeRule("t")]
+        sections = {x: rng.choice("st") for x in names}
+        rules = small_table(spark, [(x, sections[x], "p", x, None, "") for x in names], RULES)
+        inventory = facts.select("host", F.lit("p").alias("kind"), F.explode("names").alias("name"))
+        table = spark.createDataFrame(needs, "rule_id string, requires string")
+        listed = [Rule(x, f"array_contains(names, '{x}')", sections[x], "host <> 'h3'" if sections[x] == "t" else None, tuple(a for b, a in needs if b == x)) for x in names]
+        expected = rows(evaluate_rules(facts, listed, ["host"]), "host", "section", "rule_id", "status")
+        for given in (needs, table):
+            got = check_rules(applicable(facts, scopes, keep_all=True), rules, inventory, prerequisites=given)
+            assert rows(got, "host", "section", "rule_id", "status") == expected
+
+
+def test_a_long_chain(spark):
+    count = 2000
+    rules = spark.range(count).selectExpr("concat('r', id) AS rule_id", "'s' AS section", "'p' AS kind", "cast(id AS string) AS target", "cast(NULL AS string) AS pattern", "'' AS message")
+    hosts = spark.createDataFrame([("h1",), ("h2",)], "host string")
+    inventory = spark.range(count).where("id <> 1500").selectExpr("'h1' AS host", "'p' AS kind", "cast(id AS string) AS name")
+    inventory = inventory.unionByName(inventory.limit(0)).unionByName(spark.range(count).selectExpr("'h2' AS host", "'p' AS kind", "cast(id AS string) AS name"))
+    needs = [(f"r{i + 1}", f"r{i}") for i in range(count - 1)]
+    for given in (needs, spark.createDataFrame(needs, "rule_id string, requires string")):
+        got = check_rules(hosts.withColumn("section", F.lit("s")), rules, inventory, prerequisites=given)
+        assert rows(got.groupBy("host", "status").count()) == [("h1", "fail", 1), ("h1", "pass", 1500), ("h2", "pass", count)]
+
+
 def test_a_cycle_is_refused(spark):
     rules = small_table(spark, [("a", "s", "p", "a", None, "")], RULES)
     pairs = spark.createDataFrame([("h", "s")], "host string, section string")
     with pytest.raises(ValueError, match="requires itself"):
         check_rules(pairs, rules, pairs.select("host", F.lit("p").alias("kind"), F.lit("a").alias("name")), prerequisites=[("a", "b"), ("b", "a")])
+    table = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "rule_id string, requires string")
+    with pytest.raises(ValueError, match="requires itself"):
+        check_rules(pairs, rules, pairs.select("host", F.lit("p").alias("kind"), F.lit("a").alias("name")), prerequisites=table)
+
+
+def test_one_row_for_a_rule_of_many_probes(spark, join_kind):
+    pairs = spark.createDataFrame([("h1", "s"), ("h1", "t"), ("h2", "t"), ("h3", "u"), ("h4", "s")], "host string, section string")
+    inventory = spark.createDataFrame([("h1", "file", "/a"), ("h2", "file", "/b"), ("h2", "file", "/b")], "host string, kind string, name string")
+    rules = small_table(
+        spark,
+        [("r", "s", "file", "/a", None, "a missing"), ("r", "t", "file", "/b", None, "b missing"), ("other", "u", "file", "/a", None, "x"), ("other", "u", "file", "/a", None, "w")],
+        RULES,
+    )
+    got = rows(check_rules(pairs, rules, inventory), "host", "section", "rule_id", "status", "message")
+    assert got == [("h1", "s", "r", "pass", "a missing"), ("h2", "t", "r", "pass", "a missing"), ("h3", "u", "other", "fail", "w"), ("h4", "s", "r", "fail", "a missing")]
+    skipped = check_rules(pairs.withColumn("applies", F.col("section") != "s"), rules, inventory)
+    assert rows(skipped, "host", "status") == [("h1", "pass"), ("h2", "pass"), ("h3", "fail"), ("h4", "skip")]
+
+
+@pytest.mark.parametrize("greatest", [None, 0])
+def test_a_hundred_alternatives(spark, greatest):
+    pairs = spark.createDataFrame([(f"h{i}", "s") for i in range(4)], "host string, section string")
+    docs = spark.createDataFrame(
+        [("h0", "f", "x97 \nx3 \n"), ("h1", "f", "none\n"), ("h2", "f", None), ("h3", "f", "".join(f"x{i} \n" for i in range(100)))], "host string, path string, text string"
+    )
+    rules = small_table(spark, [("r", "s", "line", "f", f"x{i} ", "") for i in range(100)], RULES)
+    if greatest is not None:
+        rules = rules.withColumn("max_count", F.lit(greatest))
+    got = rows(check_rules(pairs, rules, docs=docs), "host", "status")
+    found = ["pass", "fail", "fail", "pass"] if greatest is None else ["pass", "pass", "pass", "fail"]
+    assert got == [(f"h{i}", s) for i, s in enumerate(found)]
+
+
+def test_probes_of_a_path_meet_its_document_once(spark):
+    docs = spark.createDataFrame([("h", "f", "a b c")], "host string, path string, text string")
+    rules = small_table(spark, [(f"r{i}", "s", "line", "f", "a", "") for i in range(50)], RULES)
+    joined = _found_in_docs(docs, rules.selectExpr("*", "'fixed' AS mode", "false AS ignore_case", "cast(NULL AS int) AS probe", "0L AS least"), "host")
+    assert joined.count() == 50
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert "Generate" in plan[: plan.index("Join")] and "Generate" not in join
+    assert plan.count("split(") == 1
+
+
+def test_wildcard_sections_stay_out_of_exchanges(spark):
+    hosts = spark.createDataFrame(HOSTS, "host string, os string, distro string")
+    table = small_table(spark, [(s.section, s.attribute, s.value, s.effect) for s in SCOPES], "section string, attribute string, value string, effect string")
+    done = applicable(hosts, table, attributes=["os", "distro"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    main = plan[: plan.index("Subqueries")] if "Subqueries" in plan else plan
+    exchanged = [x for x in main.split("\n") if "Exchange hashpartitioning" in x and "host" in x]
+    assert not exchanged
 
 
 def test_modes_absence_and_alternatives(spark, join_kind):
