@@ -49,7 +49,12 @@ def line_regex(pattern: str, mode: str = "regex", ignore_case: bool = False) ->
 
 def line_regex_column(pattern: str, mode: str, ignore_case: str) -> Column:
     """As :func:`line_regex` for columns, NULL meaning a plain regex; mode ``suffix`` is fixed text that ends the line."""
-    given, how = F.col(pattern), F.coalesce(mode, F.lit("regex"))
+    return line_regex_of(F.col(pattern), F.col(mode), F.col(ignore_case))
+
+
+def line_regex_of(given: Column, mode: Column, ignore_case: Column) -> Column:
+    """:func:`line_regex_column` of any expressions."""
+    how = F.coalesce(mode, F.lit("regex"))
     quoted = F.regexp_replace(given, r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     whole = lambda body: F.concat(F.lit("^(?:"), body, F.lit(")$"))
     body = (

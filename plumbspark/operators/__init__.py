@@ -11,6 +11,7 @@ from plumbspark.operators.rules import (
     verdict,
 )
 from plumbspark.operators.scan import manifest_items, match_lines, select_paths
+from plumbspark.operators.scripts import run_edit_scripts
 from plumbspark.operators.select import latest_matching
 from plumbspark.operators.state import (
     diff_snapshots,
@@ -39,6 +40,7 @@ __all__ = [
     "require_known",
     "resolve_overrides",
     "rewrite_lines",
+    "run_edit_scripts",
     "select_paths",
     "unknown_values",
     "verdict",

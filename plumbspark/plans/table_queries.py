@@ -25,6 +25,7 @@ from plumbspark.operators import (
     plan_missing,
     resolve_overrides,
     rewrite_lines,
+    run_edit_scripts,
     select_paths,
     unknown_values,
     verdict,
@@ -909,6 +910,39 @@ def rewrite_first_regex_per_document(spark: SparkSession, sf_dir: str) -> DataFr
     return _digest(rewrite_lines(docs, [Rewrite(r"\.\s+([A-Z])", "; $1", "first_per_doc")]), "doc_id")
 
 
+@query(
+    r"""
+    WITH first AS (
+        SELECT doc_id, lang, text,
+               CASE lang
+               WHEN 'en' THEN array_to_string(list_transform(string_split(text, chr(10)), lambda l: regexp_replace(l, '(\w+) (the) ', '\2 \1 ')), chr(10))
+               WHEN 'de' THEN replace(text, 'der', 'DER') ELSE text END AS one
+        FROM documents),
+    second AS (
+        SELECT *, CASE WHEN lang = 'en' AND NOT contains(one, 'License') THEN rtrim(one, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) || chr(10) || 'License: none' || chr(10)
+                       WHEN lang = 'de' AND contains(one, 'DER') THEN left(one, strpos(one, 'DER') - 1) || 'Der' || substr(one, strpos(one, 'DER') + 3)
+                       WHEN lang = 'es' AND NOT list_contains(string_split(one, chr(10)), 'fin') THEN one || chr(10) || 'fin' ELSE one END AS two
+        FROM first)
+    SELECT doc_id, md5(two) AS digest, two <> text AS changed FROM second
+    """
+)
+def rewrite_by_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of every language with the steps of their own script."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("path"), "text")
+    scripts = small_table(
+        spark,
+        [
+            ("en", 1, "rewrite", r"(\w+) (the) ", "$2 $1 ", "first_per_line", False, None, None, None, None),
+            ("en", 2, "append", None, None, None, None, "License", "fixed", "\nLicense: none\n", True),
+            ("de", 1, "rewrite", "der", "DER", "all", True, None, None, None, None),
+            ("de", 7, "rewrite", "DER", "Der", "first_per_doc", True, None, None, None, None),
+            ("es", 1, "append", None, None, None, None, "fin", "fixed_line", "\nfin", False),
+        ],
+        "path string, step int, kind string, pattern string, replacement string, scope string, literal boolean, marker string, marker_mode string, block string, trim_end boolean",
+    )
+    return run_edit_scripts(docs, scripts).select("doc_id", F.md5("text").alias("digest"), "changed")
+
+
 @query(
     f"""
     WITH edited AS (SELECT doc_id, text, replace(text, 'License', 'Licence') AS new FROM documents WHERE lang = 'en')
