@@ -1,5 +1,6 @@
 """Operators: plain functions from DataFrames to DataFrames."""
 
+from plumbspark.operators.patterns import classify_by_table, match_globs, match_line_patterns
 from plumbspark.operators.rewrite import Rewrite, append_if_absent, rewrite_lines
 from plumbspark.operators.rules import (
     Rule,
@@ -14,8 +15,12 @@ from plumbspark.operators.scan import manifest_items, match_lines, select_paths
 from plumbspark.operators.scripts import run_edit_scripts
 from plumbspark.operators.select import latest_matching
 from plumbspark.operators.state import (
+    apply_override_state,
+    diff_by_buckets,
     diff_snapshots,
+    merge_override_states,
     missing_items,
+    override_state,
     plan_missing,
     require_known,
     resolve_overrides,
@@ -28,14 +33,21 @@ __all__ = [
     "ScopeRule",
     "append_if_absent",
     "applicable",
+    "apply_override_state",
     "check_rules",
     "classify",
+    "classify_by_table",
+    "diff_by_buckets",
     "diff_snapshots",
     "evaluate_rules",
     "latest_matching",
     "manifest_items",
+    "match_globs",
+    "match_line_patterns",
     "match_lines",
+    "merge_override_states",
     "missing_items",
+    "override_state",
     "plan_missing",
     "require_known",
     "resolve_overrides",

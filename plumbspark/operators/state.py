@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RESET_FLAGS = ("only", "all")
@@ -221,3 +221,108 @@ def diff_snapshots(
         .filter(in_source | in_target)
         .select(*keys, status.alias("status"), action.alias("action"))
     )
+
+
+#: Buckets of keys that :func:`diff_by_buckets` compares first.
+BUCKETS = 4096
+
+
+def diff_by_buckets(
+    source: DataFrame,
+    target: DataFrame,
+    key: str | Sequence[str],
+    content: str,
+    buckets: int = BUCKETS,
+) -> DataFrame:
+    """What :func:`diff_snapshots` reports apart from ``same``, shuffling only keys near a change.
+
+    Keys are dealt into ``buckets`` by a hash. A first pass folds each bucket of either side
+    into one digest: how many entries it has, and sums and exclusive ors of parts of their
+    SHA-256, over key and content. Only buckets whose digests differ send their keys to be
+    compared one by one, so that what is shuffled falls with the share of buckets without a
+    change: with ``c`` changes and many more keys, about ``c / buckets`` of them at most.
+    Choose more buckets for snapshots with more changes; a task sends one row of numbers for each.
+
+    Returns ``(key, status, action)`` as there: NULL content means the entry does not exist,
+    contents of a key that occurs more than once are compared as a bag, and NULL is a key
+    like any other. Both sides are read twice, and neither has to be small.
+    """
+    if buckets < 1:
+        raise ValueError(f"buckets must be 1 or more, got {buckets!r}")
+    keys = [key] if isinstance(key, str) else list(key)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    named = F.to_json(F.struct(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+
+    def folded(df: DataFrame, side: int) -> DataFrame:
+        digest = F.sha2(F.concat(named, F.lit("\n"), F.sha2(F.col(content), 256)), 256)
+        parts = [F.conv(F.substring("digest", 1 + 15 * i, 15), 16, 10).cast("bigint").alias(f"p{i}") for i in range(4)]
+        rows = df.filter(F.col(content).isNotNull()).select(bucket.alias("bucket"), digest.alias("digest")).select("bucket", *parts)
+        sums = [F.sum(F.col(f"p{i}").cast("decimal(20,0)")).alias(f"s{i}") for i in (0, 1)]
+        return rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.bit_xor(f"p{i}").alias(f"x{i}") for i in range(4)], *sums).withColumn("side", F.lit(side))
+
+    both = folded(source, 1).unionByName(folded(target, 2))
+    digests = [c for c in both.columns if c not in ("bucket", "side")]
+    # equal buckets have two rows with the same digests
+    unequal = both.groupBy("bucket").agg(F.count("*").alias("sides"), *[(F.min(c) != F.max(c)).alias(f"differs_{c}") for c in digests])
+    changed = unequal.filter((F.col("sides") == 1) | reduce(or_, [F.col(f"differs_{c}") for c in digests])).select(F.col("bucket").alias("__bucket"))
+
+    def near(df: DataFrame) -> DataFrame:
+        return df.join(changed, bucket == F.col("__bucket"), "left_semi")
+
+    return diff_snapshots(near(source), near(target), key, content).filter(F.col("status") != "same")
+
+
+def override_state(
+    directives: DataFrame,
+    order: str | Sequence[str],
+    entity: str = "host",
+    flag: str = "flag",
+    listed: str = "sections",
+) -> DataFrame:
+    """What later days need of ``directives``: ``(entity, key, at, on)``.
+
+    One row per entity and key with its last mention, and one with a NULL key for the
+    entity's last reset (``only`` or ``all``), without mentions that the reset makes void.
+    States of any split of the directives merge to that of all of them
+    (:func:`merge_override_states`), and :func:`apply_override_state` gives what
+    :func:`resolve_overrides` does. Places in the order are unique per entity, as there; two
+    outcomes for one key at the same place, and unknown flags, fail the query.
+    """
+    at = F.struct(*([order] if isinstance(order, str) else order))
+    known = directives.select(entity, known_flag(F.col(flag)).alias("__flag"), F.col(listed).alias("__listed"), at.alias("at"))
+    empty = F.array().cast("array<string>")
+    mentioned = F.when(F.col("__flag") == "all", empty).otherwise(F.coalesce(F.array_distinct("__listed"), empty))
+    own = F.transform(mentioned, lambda k: F.struct(k.alias("key"), (F.col("__flag") != "skip").alias("on")))
+    said = F.filter(own, lambda x: x["key"].isNotNull())
+    reset = F.array(F.struct(F.lit(None).cast("string").alias("key"), (F.col("__flag") == "all").alias("on")))
+    rows = known.select(entity, "at", F.inline(F.when(F.col("__flag").isin(*RESET_FLAGS), F.concat(reset, said)).otherwise(said)))
+    return merge_override_states([rows], entity)
+
+
+def merge_override_states(states: Sequence[DataFrame], entity: str = "host") -> DataFrame:
+    """The state of all directives from those of any split of them, in any order."""
+    if not states:
+        raise ValueError("states is empty")
+    rows = reduce(DataFrame.unionByName, [s.select(entity, "key", "at", "on") for s in states])
+    # the same outcome at the same place may come from a state that is merged twice
+    last = rows.groupBy(entity, "key").agg(F.max(F.struct("at", "on")).alias("last"), F.max(F.struct("at", (~F.col("on")).alias("off"))).alias("other"))
+    message = F.concat(F.lit("directives at the same place: "), F.coalesce(F.col(entity).cast("string"), F.lit("NULL")))
+    on = F.when(F.col("last.on") == F.col("other.off"), F.raise_error(message).cast("boolean")).otherwise(F.col("last.on"))
+    merged = last.select(entity, "key", F.col("last.at").alias("at"), on.alias("on"))
+    # all mentions of an entity are next to its reset, which a window finds without a join
+    reset_at = F.max(F.when(F.col("key").isNull(), F.col("at"))).over(Window.partitionBy(entity))
+    # a reset that lists keys has them at its own place
+    kept = merged.withColumn("__reset_at", reset_at).filter(F.col("__reset_at").isNull() | (F.col("at") >= F.col("__reset_at")))
+    return kept.select(entity, "key", "at", "on")
+
+
+def apply_override_state(
+    defaults: DataFrame, state: DataFrame, entity: str = "host", key: str = "section", enabled: str = "enabled"
+) -> DataFrame:
+    """:func:`resolve_overrides` from a state instead of the directives: ``(entity, key, enabled)``."""
+    mentions = state.filter(F.col("key").isNotNull()).select(F.col(entity).alias("__e"), F.col("key").alias("__k"), "at", "on")
+    resets = state.filter(F.col("key").isNull()).select(F.col(entity).alias("__r"), F.col("at").alias("__reset_at"), F.col("on").alias("__reset"))
+    known = defaults.select(entity, key, enabled)
+    joined = known.join(mentions, (F.col(entity) == F.col("__e")) & (F.col(key) == F.col("__k")), "left").join(resets, F.col(entity) == F.col("__r"), "left")
+    later_reset = F.col("__reset").isNotNull() & (F.col("at").isNull() | (F.col("at") < F.col("__reset_at")))
+    return joined.select(entity, key, F.when(later_reset, F.col("__reset")).otherwise(F.coalesce("on", enabled)).alias(enabled))

@@ -14,14 +14,21 @@ from plumbspark.operators import (
     ScopeRule,
     append_if_absent,
     applicable,
+    apply_override_state,
     check_rules,
     classify,
+    classify_by_table,
+    diff_by_buckets,
     diff_snapshots,
     evaluate_rules,
     latest_matching,
     manifest_items,
+    match_globs,
+    match_line_patterns,
     match_lines,
+    merge_override_states,
     missing_items,
+    override_state,
     plan_missing,
     resolve_overrides,
     rewrite_lines,
@@ -204,6 +211,55 @@ def page_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", default_if_empty(strip_extension(basename("url")), "index").alias("stem"))
 
 
+@query(
+    """
+    WITH globs AS (
+        SELECT page_id AS glob_id, CASE page_id % 4 WHEN 0 THEN left(url, length(url) - 6) || '%' WHEN 1 THEN 'http%' || right(url, 9)
+            WHEN 2 THEN '%' || substr(url, 9, 12) || '%' ELSE replace(url, '3', '_') END AS pattern
+        FROM pages)
+    SELECT p.page_id, glob_id FROM pages p JOIN globs ON p.url LIKE pattern
+    """
+)
+def match_page_globs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against a glob made from every page: beginnings, ends, pieces and single characters."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    url, way = F.col("url"), F.col("page_id") % 4
+    escaped = lambda x: F.replace(x, F.lit("?"), F.lit("[?]"))
+    glob = (
+        F.when(way == 0, F.concat(escaped(F.left(url, F.length(url) - 6)), F.lit("*")))
+        .when(way == 1, F.concat(F.lit("http*"), escaped(F.right(url, F.lit(9)))))
+        .when(way == 2, F.concat(F.lit("*"), escaped(F.substring(url, 9, 12)), F.lit("*")))
+        .otherwise(F.replace(escaped(url), F.lit("3"), F.lit("?")))
+    )
+    globs = pages.select(F.col("page_id").alias("glob_id"), glob.alias("glob"))
+    return match_globs(pages, globs, path="url", mode="path").select("page_id", "glob_id")
+
+
+@query(
+    rf"""
+    WITH numbered AS (
+        SELECT doc_id, unnest({LINES}) AS line, unnest(range(1, len({LINES}) + 1)) AS line_no FROM documents),
+    patterns(pattern_id, pattern) AS (VALUES ('license', '(?i)licen[sc]e'), ('notice', 'Copyright|All rights'), ('mail', '[a-z]+@example'),
+        ('sentence', '^The .*[.]$'), ('page', 'Page not'), ('digits', '[0-9]{{6}}')),
+    asked AS (SELECT * FROM patterns UNION ALL SELECT 'name ' || n_nationkey, 'th' || lower(right(n_name, 1)) || ' ' FROM nation)
+    SELECT doc_id, pattern_id, count(*) AS n_lines, min(line_no) AS first_line_no
+    FROM numbered JOIN asked ON regexp_matches(line, pattern) GROUP BY ALL
+    """
+)
+def match_pattern_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents that match any of a table of patterns."""
+    given = [
+        ("license", "licen[sc]e", True), ("notice", "Copyright|All rights", None), ("mail", "[a-z]+@example", None),
+        ("sentence", "^The .*[.]$", None), ("page", "Page not", None), ("digits", "[0-9]{6}", None),
+    ]
+    patterns = small_table(spark, given, "pattern_id string, pattern string, ignore_case boolean")
+    nations = read_table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("name "), "n_nationkey").alias("pattern_id"),
+        F.concat(F.lit("th"), F.lower(F.right("n_name", F.lit(1))), F.lit(" ")).alias("pattern"), F.lit(False).alias("ignore_case"),
+    )
+    return match_line_patterns(read_table(spark, sf_dir, "documents"), patterns.unionByName(nations), ["doc_id"])
+
+
 # -- rules --------------------------------------------------------------------
 
 # What the documents are checked for, and where each check applies.
@@ -601,6 +657,36 @@ def classify_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "pages"), cases).groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(
+    """
+    SELECT page_id, label FROM (
+        SELECT page_id, CASE WHEN starts_with(url, 'https://m.') OR starts_with(url, 'http://m.') THEN 'mobile'
+                WHEN regexp_matches(url, '//blog[.][a-z]+er[a-z]*[.]') THEN 'blog'
+                WHEN n_name IS NOT NULL THEN 'numbered ' || n_nationkey
+                WHEN starts_with(url, 'https:') THEN 'secure' ELSE 'unknown' END AS label
+        FROM pages LEFT JOIN nation ON ends_with(url, n_nationkey || '.html') AND n_nationkey >= 10)
+    """
+)
+def classify_pages_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked beginnings, ends and regexes, some of which come from a table."""
+    given = small_table(
+        spark,
+        [
+            (1, "mobile", "url", "begins", "https://m."),
+            (1, "mobile", "url", "begins", "http://m."),
+            (2, "blog", "url", "regex", "//blog[.][a-z]+er[a-z]*[.]"),
+            (4, "secure", "url", "begins", "https:"),
+        ],
+        "rank int, label string, attribute string, kind string, value string",
+    )
+    key = F.col("n_nationkey")
+    numbered = read_table(spark, sf_dir, "nation").filter(key >= 10).select(
+        F.lit(3).alias("rank"), F.concat(F.lit("numbered "), key).alias("label"), F.lit("url").alias("attribute"),
+        F.lit("ends").alias("kind"), F.concat(key, F.lit(".html")).alias("value"),
+    )
+    return classify_by_table(read_table(spark, sf_dir, "pages"), given.unionByName(numbered), ["page_id"], ["url"])
+
+
 # -- state --------------------------------------------------------------------
 
 
@@ -664,6 +750,27 @@ def unknown_order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unknown_values(orders, "o_custkey", allowed.select(F.col("c_custkey").alias("o_custkey")))
 
 
+def _user_settings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = read_table(spark, sf_dir, "events")
+    sections = F.array(*map(F.lit, ["news", "offers", "alerts"]))
+    defaults = (
+        events.select("user_id").distinct().select("user_id", F.explode(sections).alias("section"))
+        .withColumn("enabled", F.col("section") == "news")
+    )
+    k = F.get_json_object("props", "$.k").cast("int")
+    flag = (
+        F.when(F.col("event_type") == "signup", "enable")
+        .when(F.col("event_type") == "error", "skip")
+        .when(F.col("event_type") == "purchase", "only")
+        .when((F.col("event_type") == "click") & (k >= 95), "all")
+    )
+    directives = events.select(
+        "user_id", "ts", "event_id", flag.alias("flag"),
+        F.array(F.when(k < 33, "news").when(k < 66, "offers").otherwise("alerts")).alias("sections"),
+    ).filter(F.col("flag").isNotNull())
+    return defaults, directives
+
+
 @query(
     """
     WITH keys(section) AS (VALUES ('news'), ('offers'), ('alerts')),
@@ -689,26 +796,20 @@ def unknown_order_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def resolve_user_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = read_table(spark, sf_dir, "events")
-    sections = F.array(*map(F.lit, ["news", "offers", "alerts"]))
-    defaults = (
-        events.select("user_id").distinct().select("user_id", F.explode(sections).alias("section"))
-        .withColumn("enabled", F.col("section") == "news")
-    )
-    k = F.get_json_object("props", "$.k").cast("int")
-    flag = (
-        F.when(F.col("event_type") == "signup", "enable")
-        .when(F.col("event_type") == "error", "skip")
-        .when(F.col("event_type") == "purchase", "only")
-        .when((F.col("event_type") == "click") & (k >= 95), "all")
-    )
-    directives = events.select(
-        "user_id", "ts", "event_id", flag.alias("flag"),
-        F.array(F.when(k < 33, "news").when(k < 66, "offers").otherwise("alerts")).alias("sections"),
-    ).filter(F.col("flag").isNotNull())
+    defaults, directives = _user_settings(spark, sf_dir)
     return resolve_overrides(defaults, directives, ["ts", "event_id"], entity="user_id")
 
 
+@query(SQL["resolve_user_settings"])
+def resolve_settings_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the states of three parts of the directives, each made for itself, then merged."""
+    defaults, directives = _user_settings(spark, sf_dir)
+    order = ["ts", "event_id"]
+    parts = [override_state(directives.filter(F.pmod(F.dayofyear("ts"), F.lit(3)) == k), order, entity="user_id") for k in (1, 0, 2)]
+    state = merge_override_states([merge_override_states(parts[:2], "user_id"), parts[2]], "user_id")
+    return apply_override_state(defaults, state, entity="user_id")
+
+
 @query(
     """
     WITH source AS (
@@ -729,6 +830,27 @@ def diff_document_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff_snapshots(rewritten, labelled, "doc_id", "text", repeated_keys=False)
 
 
+@query(
+    """
+    WITH target AS (
+        SELECT doc_id, CASE WHEN doc_id % 101 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 97 <> 5
+        UNION ALL SELECT -doc_id - 1, text FROM documents WHERE doc_id % 103 = 0)
+    SELECT coalesce(s.doc_id, t.doc_id) AS doc_id,
+           CASE WHEN t.doc_id IS NULL THEN 'missing' WHEN s.doc_id IS NULL THEN 'extra' ELSE 'different' END AS status,
+           CASE WHEN s.doc_id IS NULL THEN 'warn' ELSE 'deploy' END AS action
+    FROM documents s FULL JOIN target t ON s.doc_id = t.doc_id
+    WHERE s.text IS DISTINCT FROM t.text
+    """
+)
+def diff_document_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a copy with few changes, by digests of buckets first."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = F.when(F.col("doc_id") % 101 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    more = docs.filter(F.col("doc_id") % 103 == 0).select((-F.col("doc_id") - 1).alias("doc_id"), "text")
+    target = docs.filter(F.col("doc_id") % 97 != 5).select("doc_id", edited.alias("text")).unionByName(more)
+    return diff_by_buckets(docs, target, "doc_id", "text")
+
+
 @query(
     """
     WITH actual AS (

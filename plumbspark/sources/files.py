@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbspark.functions.lines import text_lines
+
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of text files: ``(source, block, seq, text)``.
@@ -51,3 +53,37 @@ def read_documents(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
     return spark.read.text(paths, wholetext=True).select(
         F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")
     )
+
+
+#: Byte-order marks and the encodings they stand for.
+MARKS = {"FFFE": "UTF-16LE", "FEFF": "UTF-16BE", "EFBBBF": "UTF-8"}
+
+
+def read_marked_lines(
+    spark: SparkSession, paths: str | Sequence[str], unmarked: str = "UTF-16LE", keep_cr: bool = False
+) -> DataFrame:
+    """Lines of files with a byte-order mark: ``(source, line_no, text)``, lines from 1.
+
+    The mark says whether a file is UTF-16LE, UTF-16BE or UTF-8 and is no part of the text; a
+    file without one is read as ``unmarked``. Lines end at ``\\n``, and a ``\\r`` before it, or at the
+    end of the file, is dropped unless ``keep_cr``. Of a UTF-16 file with an odd number of bytes
+    the last byte is left out; any other malformed text fails the query. An empty file, or one
+    of a mark alone, has no lines. Each file is read by one task, as its lines have to be
+    decoded from the start; many files are many tasks.
+    """
+    content = F.col("content")
+    start = F.hex(F.substring(content, 1, 3))
+    encoding, skip = F.lit(unmarked), F.lit(0)
+    for mark, name in MARKS.items():
+        encoding = F.when(start.startswith(mark), name).otherwise(encoding)
+        skip = F.when(start.startswith(mark), len(mark) // 2).otherwise(skip)
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("source"), "content", encoding.alias("encoding"), skip.alias("skip"))
+    size = F.octet_length(content) - F.col("skip")
+    whole = F.when(F.col("encoding").startswith("UTF-16"), size - size % 2).otherwise(size)
+    body = F.substring(content, F.col("skip") + 1, whole)
+    text = F.lit("").cast("string")
+    for name in dict.fromkeys([*MARKS.values(), unmarked]):
+        text = F.when(F.col("encoding") == name, F.decode(body, name)).otherwise(text)
+    lines = files.select("source", F.posexplode(text_lines(text)).alias("place", "text"))
+    line = F.col("text") if keep_cr else F.regexp_replace("text", r"\r\z", "")
+    return lines.select("source", (F.col("place") + 1).cast("bigint").alias("line_no"), line.alias("text"))
