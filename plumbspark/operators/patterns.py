@@ -17,6 +17,9 @@ GRAM = 3
 #: Line patterns that one pass over the documents searches for.
 BLOCK_PATTERNS = 10_000
 
+#: Literals up to which a document is searched for each of them; more are looked up by their first characters.
+FEW_LITERALS = 500
+
 #: A class of a glob; a "]" right after its beginning is a member.
 _CLASS = r"\[!?\]?[^\]]*\]"
 
@@ -124,10 +127,10 @@ def match_line_patterns(
     :func:`plumbspark.operators.check_rules`; each counts as in :func:`plumbspark.operators.match_lines`,
     and pairs without a matching line give no row. NULL texts and patterns match nothing.
 
-    A regex is run only over documents that hold its :func:`required_literal`: those are told by
-    the pieces of three characters that a document and the literals have in common, then by
-    the whole literal. Patterns without a literal of three characters run over every
-    document. A document's lines are split once for all patterns, and nothing is shuffled.
+    A regex is run only over documents that hold its :func:`required_literal`. Up to
+    ``FEW_LITERALS`` patterns a document is searched for each literal; of more only for those
+    whose first three characters it has, by the pieces that document and literals have in common.
+    Patterns without a literal of three characters run over every document. A document's lines are split once for all patterns, and nothing is shuffled.
     The patterns are a constant of the plan, ``block`` of them at a time; with more each block
     is a pass of its own.
     """
@@ -137,25 +140,30 @@ def match_line_patterns(
     literal = required_literal(F.col("pattern"), F.col("mode"), F.col("ignore_case"))
     table = named.select("pattern_id", line_regex_column("pattern", "mode", "ignore_case").alias("regex"), literal.alias("literal"))
     table = table.withColumn("gram", F.when(F.length("literal") >= GRAM, F.left("literal", F.lit(GRAM))))
-    n_blocks = max(1, -(-named.count() // block))
+    count = named.count()
+    n_blocks = max(1, -(-count // block))
     dealt = [table.filter(F.pmod(F.xxhash64("pattern_id"), F.lit(n_blocks)) == k) for k in range(n_blocks)]
-    return reduce(DataFrame.unionByName, [_match_block(docs, part, list(keys), text) for part in dealt])
+    return reduce(DataFrame.unionByName, [_match_block(docs, part, list(keys), text, min(count, block) <= FEW_LITERALS) for part in dealt])
 
 
-def _match_block(docs: DataFrame, table: DataFrame, keys: list[str], text: str) -> DataFrame:
+def _match_block(docs: DataFrame, table: DataFrame, keys: list[str], text: str, few: bool) -> DataFrame:
     pattern = F.struct("pattern_id", "regex", "literal")
-    grams = table.filter(F.col("gram").isNotNull()).groupBy("gram").agg(F.collect_list(pattern).alias("patterns"))
-    index = grams.agg(F.map_from_entries(F.collect_list(F.struct("gram", "patterns")))).scalar().alias("__index")
+    known = table.filter(F.col("gram").isNotNull())
+    grams = known.groupBy("gram").agg(F.collect_list(pattern).alias("patterns"))
+    index = known.agg(F.collect_list(pattern)).scalar().alias("__index") if few else grams.agg(F.map_from_entries(F.collect_list(F.struct("gram", "patterns")))).scalar().alias("__index")
     bare = table.filter(F.col("gram").isNull()).agg(F.collect_list(pattern)).scalar().alias("__bare")
     body = F.col(text)
 
     def looked_up(index: Column) -> Column:
+        if few:
+            return F.filter(index, lambda p: body.contains(p["literal"]))
         held = F.array_intersect(_pieces(body, F.lit(GRAM)), F.map_keys(index))
         near = F.flatten(F.transform(held, lambda gram: F.element_at(index, gram)))
         return F.filter(near, lambda p: body.contains(p["literal"]))
 
     def counted(lines: Column, p: Column) -> Column:
-        hits = F.transform(lines, lambda line: F.regexp_like(line, p["regex"]))
+        # regexp_instr keeps its compiled pattern from line to line, unlike rlike
+        hits = F.transform(lines, lambda line: F.regexp_instr(line, p["regex"]) > 0)
 
         def found(hits: Column) -> Column:
             return F.struct(p["pattern_id"].alias("pattern_id"), F.size(F.filter(hits, lambda hit: hit)).cast("bigint").alias("n_lines"), F.array_position(hits, True).alias("first_line_no"))

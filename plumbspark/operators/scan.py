@@ -48,7 +48,8 @@ def manifest_items(
     if token == "first":
         item = F.substring_index("line", " ", 1)
     else:
-        item = F.explode(F.split("line", r"\s+"))
+        # white space becomes blanks, at which a line is cut without a regex; empty items go below
+        item = F.explode(F.split(F.translate("line", "\t\n\x0b\f\r", "     "), " "))
     return lines.select(source, "line_no", item.alias("item")).filter(F.col("item") != "")
 
 

@@ -55,7 +55,9 @@ MODES = ["regex", "regex", "word", "fixed", "fixed_line", "suffix", "regex_line"
 LINES = ["the end", "license", "aabc abcd acd", "bar foobar", "x", "end", "a word here", "Abc ABC", "a.b", "abbc", "color colour", "ü", "aaa", "bdef", "abbbcd", "rst", "12 items", "abcde", "acde", "", "tab\tend", "a+b", "colou?r", "the"]
 
 
-def test_patterns_as_one_by_one(spark):
+@pytest.mark.parametrize("few", [500, 0])
+def test_patterns_as_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr("plumbspark.operators.patterns.FEW_LITERALS", few)
     rng = random.Random(3)
     texts = ["\n".join(rng.choices(LINES, k=rng.randint(0, 9))) + rng.choice(["", "\n"]) for _ in range(60)] + ["", None]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
