@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbspark.llm.ids import integer_id, rank_and_gap
 from plumbspark.llm.storage import cut
 from plumbspark.llm.text import blocks
 from plumbspark.llm.tokens import WordTokenizer, encoded
@@ -123,7 +124,7 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
     ``targets`` gives the share of each window by source; sources that it doesn't name
     share the rest in proportion to their tokens, which without ``targets`` makes every
     window a sample of the corpus' own mixture.  Each source is a queue of its documents,
-    dealt into buckets by a hash of the id.  Sources whose part of a window is under one token
+    dealt into buckets by a hash of id and tokens.  Sources whose part of a window is under one token
     share one queue, so that there are never more than ``window`` queues, whatever the
     number of sources.  A source of any size is many buckets, and every bucket is cut
     where :class:`Schedule` says, on its own.  All sequences but the last are full.
@@ -134,9 +135,10 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
 
     Returns ``id_column, start, length, ids, doc_tokens, sequence_id, offset, source``, one row
     per piece; ``ids`` are little-endian unsigned 32-bit numbers.  Each document ends with
-    ``end_id``, a NULL or empty text is that id alone.  A NULL source is a source; NULL and
-    repeated ids are documents of their own; other columns are ignored; an empty table gives
-    no pieces.
+    ``end_id``, a NULL or empty text is that id alone, and a very long one is cut like any
+    other.  A NULL source is a source; NULL and repeated ids are documents of their own, and
+    ids are whole numbers, or ValueError is raised; other columns are ignored; an empty table
+    gives no pieces.
     """
     if any(x * window < 1 for x in (targets or {}).values()) or sum((targets or {}).values()) > 1 + 1e-9:
         raise ValueError("each target needs one token a window, and their sum is 1 at most")
@@ -149,12 +151,12 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
             data = ids.astype("<u2" if narrow else "<u4").tobytes()
             ends = np.concatenate([[0], np.cumsum(sizes)]) * (2 if narrow else 4)
             binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(data)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(sizes.astype(np.int64)), binary], names=["id", "source", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), rows.column(2), pa.array(sizes.astype(np.int64)), binary], names=["rank", "gap", "source", "n", "ids"])
 
     kind = documents.schema[id_column].dataType
     spark = documents.sparkSession
-    picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(source_column).cast("string").alias("source"), F.col(text_column).cast("string").alias("text"))
-    tokens = cut(picked.mapInArrow(tokenize, "id bigint, source string, n bigint, ids binary"))
+    picked = documents.select(*rank_and_gap(integer_id(documents, id_column)), F.col(source_column).cast("string").alias("source"), F.col(text_column).cast("string").alias("text"))
+    tokens = cut(picked.mapInArrow(tokenize, "rank bigint, gap boolean, source string, n bigint, ids binary"))
     by_source = cut(tokens.groupBy("source").agg(F.sum("n").alias("n")))
     total = by_source.agg(F.sum("n")).first()[0] or 0
     # at most as many sources as a window has tokens, and those that targets name
@@ -166,13 +168,13 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
     queues = spark.createDataFrame([(s, i, max(1, -(-lengths[i] // bucket_tokens))) for i, s in enumerate(names)] or [(None, -1, 1)], "name string, queue int, buckets bigint").where("queue >= 0")
     # never more queues than a window has tokens
     placed = tokens.join(F.broadcast(queues), F.col("source").eqNullSafe(F.col("name")), "left")
-    placed = placed.select("id", "source", "n", "ids", F.coalesce("queue", F.lit(shared)).alias("queue"), F.coalesce("buckets", F.lit(max(1, -(-lengths[shared] // bucket_tokens)))).alias("buckets"))
-    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("id"), "buckets")).drop("buckets")
+    placed = placed.select("rank", "gap", "source", "n", "ids", F.coalesce("queue", F.lit(shared)).alias("queue"), F.coalesce("buckets", F.lit(max(1, -(-lengths[shared] // bucket_tokens)))).alias("buckets"))
+    placed = placed.withColumn("bucket", F.pmod(F.xxhash64("rank", "ids"), "buckets")).drop("buckets")
     sums = placed.groupBy("queue", "bucket").agg(F.sum("n").alias("n"))
     begins = sums.select(F.col("queue").alias("to_queue"), F.col("bucket").alias("to_bucket"), F.expr("sum(n) OVER (PARTITION BY queue ORDER BY bucket ROWS UNBOUNDED PRECEDING) - n").alias("begin"))
 
     def pieces(rows: pd.DataFrame, place: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "n", "ids"], na_position="last", kind="stable")
+        rows = rows.sort_values(["rank", "gap", "n", "ids"], kind="stable")
         size = rows["n"].to_numpy()
         data = b"".join(rows["ids"])
         ids = np.frombuffer(data, dtype="<u2" if len(data) == 2 * size.sum() else "<u4").astype("<u4")
@@ -189,11 +191,16 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
         raw = ids.tobytes()
         document = rows.iloc[owner]
         return pd.DataFrame({
-            "id": document["id"].to_numpy(), "start": at - starts[owner], "length": length,
+            "rank": document["rank"].to_numpy(), "gap": document["gap"].to_numpy(), "start": at - starts[owner], "length": length,
             "ids": [raw[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), length.tolist(), strict=True)],
             "doc_tokens": size[owner], "sequence_id": first + sequence, "offset": within[sequence] + at - edges[sequence], "source": document["source"].to_numpy(),
         })
 
+    # tasks follow the number of buckets, a few of them each
+    n_buckets = sum(max(1, -(-n // bucket_tokens)) for n in lengths)
+    tasks = min(100_000, -(-n_buckets // 4))
+    placed, begins = placed.repartition(tasks, "queue", "bucket"), begins.repartition(tasks, "to_queue", "to_bucket")
     grouped = placed.groupBy("queue", "bucket").cogroup(begins.groupBy("to_queue", "to_bucket"))
-    done = grouped.applyInPandas(pieces, "id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
-    return done.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_column)
+    done = grouped.applyInPandas(pieces, "rank bigint, gap boolean, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
+    ident = F.when(~F.col("gap"), F.col("rank")).cast(kind).alias(id_column)
+    return done.select(ident, "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "source")

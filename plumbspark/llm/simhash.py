@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
+from plumbspark.llm.ids import integer_id
 from plumbspark.llm.storage import cut
 from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, mixed, words
 from plumbspark.llm.windows import window_hashes
@@ -165,7 +166,9 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
     costs one fingerprint.  Returns ``id_column, fingerprint, component_id``, one row per
     input row: 16 hexadecimal digits, and the smallest id of the component.  NULL and empty
     texts have fingerprint zero and link like any other.  A NULL id is kept and gets the
-    smallest id of its component that is not NULL, if any.  Other columns are ignored.
+    smallest id of its component that is not NULL, if any; ids are whole numbers, or ValueError
+    is raised.  Very long texts are read whole, repeated rows give repeated results, an empty
+    table gives no rows, and other columns are ignored.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +176,7 @@ def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints(texts, width).view(np.int64))], names=["id", "fp"])
 
     kind = documents.schema[id_column].dataType
-    picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    picked = documents.select(integer_id(documents, id_column).alias("id"), F.col(text_column).cast("string").alias("text"))
     marked = cut(picked.mapInArrow(scan, "id bigint, fp bigint"))
     distinct = marked.groupBy("fp").agg(F.min("id").alias("first_id"))
     nodes = distinct.select(F.col("fp").alias("node"), "fp")
@@ -298,10 +301,10 @@ def sketches(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_equal(similarity: float) -> int:
-    """So many equal bytes have the sketches of texts ``similarity`` alike, but for a chance of ``LEFT_OUT``."""
+def least_equal(similarity: float, left_out: float) -> int:
+    """So many equal bytes have the sketches of texts ``similarity`` alike, but for a chance of ``left_out``."""
     chance = np.cumsum([comb(SKETCH, k) * similarity**k * (1 - similarity) ** (SKETCH - k) for k in range(SKETCH + 1)])
-    return int(np.searchsorted(chance, LEFT_OUT, side="right"))
+    return int(np.searchsorted(chance, left_out, side="right"))
 
 
 def prefixes(value: np.ndarray, first: np.ndarray, similarity: float, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -338,21 +341,8 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
     return top.column(0).to_numpy().view(np.uint64)[::-1].copy()
 
 
-def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
-
-    Alike by the Jaccard similarity of the sets of lower-case shingles; near copies of near
-    copies are in one group.  Each text goes to one key for each of its first shingles in one
-    order of all shingles, so that no two texts alike miss each other.  Within a key, sketches
-    of 64 bytes leave out pairs clearly less alike (of those alike one in a million at most a
-    key), and the whole sets of shingles decide.  Texts with the same words in the same order
-    are one node; those of fewer than ``width`` words are like none but their own copies.
-
-    Returns ``id_column, component_id``, one row per input row.  NULL ids are kept; NULL and
-    empty texts are copies of each other.
-    """
-    kind = documents.schema[id_column].dataType
-    picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+def _near_classes(picked: DataFrame, *, width: int, similarity: float, left_out: float) -> DataFrame:
+    """``id, row, root`` of every row of ``picked`` (``id, row, text``): the class of its near copies."""
     common = common_shingles(picked, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -361,28 +351,61 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             keys, edge = prefixes(value, first, similarity, common)
             keys = pa.ListArray.from_arrays(pa.array(edge, type=pa.int32()), pa.array(keys.view(np.int64)))
             sketch = pa.array([x.tobytes() for x in sketches(value, first)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(text_nodes(texts)), pa.array(np.diff(first)), keys, sketch], names=["id", "node", "size", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(text_nodes(texts)), pa.array(np.diff(first)), keys, sketch], names=["id", "row", "node", "size", "keys", "sketch"])
 
-    marked = cut(picked.mapInArrow(scan, "id bigint, node bigint, size bigint, keys array<bigint>, sketch binary"))
+    marked = cut(picked.mapInArrow(scan, "id bigint, row bigint, node bigint, size bigint, keys array<bigint>, sketch binary"))
     distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
     keyed = distinct.select("node", F.lit(0).alias("choice"), F.explode("keys").alias("bits"))
-    candidates = _key_links(keyed, sketches=distinct.select("node", "sketch"), least_same=least_equal(similarity))
-    links = confirmed_links(picked, candidates, distinct, width=width, similarity=similarity)
+    candidates = _key_links(keyed, sketches=distinct.select("node", "sketch"), least_same=least_equal(similarity, left_out))
+    links = confirmed_links(picked.select("id", "text"), candidates, distinct, width=width, similarity=similarity)
     roots = component_roots(links).withColumnRenamed("node", "member")
-    classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    least = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.join(least, "root").select("node", "component_id")
-    return marked.select("id", "node").join(named, "node").select(F.col("id").cast(kind).alias(id_column), F.col("component_id").cast(kind).alias("component_id"))
+    classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"))
+    return marked.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
+
+
+def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, left_out: float = LEFT_OUT) -> DataFrame:
+    """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
+
+    Alike by the Jaccard similarity of the sets of lower-case shingles; near copies of near
+    copies are in one group.  Each text goes to one key for each of its first shingles in one
+    order of all shingles, so that no two texts alike miss each other.  Within a key, sketches
+    of 64 bytes leave out pairs clearly less alike (of those alike one in ``left_out`` at most a
+    key; with 0 none is left out, and every two texts of a key are compared as whole sets), and the
+    whole sets of shingles decide.  Texts with the same words in the same order
+    are one node; those of fewer than ``width`` words are like none but their own copies.
+
+    Returns ``id_column, component_id``, one row per input row.  NULL ids are kept, and ids are
+    whole numbers, or ValueError is raised; rows with the same id belong to the groups of their own
+    texts; NULL and empty texts are copies of each other; very long texts are read whole; an
+    empty table gives no rows; other columns are ignored.
+    """
+    kind = documents.schema[id_column].dataType
+    picked = documents.select(integer_id(documents, id_column).alias("id"), F.lit(0).cast("bigint").alias("row"), F.col(text_column).cast("string").alias("text"))
+    found = _near_classes(picked, width=width, similarity=similarity, left_out=left_out)
+    least = found.groupBy("root").agg(F.min("id").alias("component_id"))
+    return found.join(least, "root").select(F.col("id").cast(kind).alias(id_column), F.col("component_id").cast(kind).alias("component_id"))
 
 
-def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, left_out: float = LEFT_OUT) -> DataFrame:
     """``documents`` with one row of each group of near copies: that of the smallest id.
 
-    Of rows with the same id one stays.  Rows without an id can't be told apart; they take no
-    part and all stay.
+    Rows are told apart by id and a hash of their columns, so that different texts under one id are
+    decided each for itself; of several rows with the smallest id the one with the smallest
+    hash stays, and of equal rows one.  Rows without an id take no part and all stay.  Ids are
+    whole numbers, or ValueError is raised.  NULL and empty texts are copies of each other, very
+    long ones are read whole, an empty table gives no rows, and all columns stay.
     """
-    named = documents.where(F.col(id_column).isNotNull())
-    found = near_copies(named, id_column=id_column, text_column=text_column, width=width, similarity=similarity)
-    first = found.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    kept = named.join(first, [id_column], "left_semi").select(documents.columns).dropDuplicates([id_column])
-    return kept.unionByName(documents.where(F.col(id_column).isNull()))
+    hashed = [f.name for f in documents.schema if not f.dataType.simpleString().count("map<") and not f.dataType.simpleString().count("variant")]
+    columns = documents.columns
+    rows = documents.withColumns({"__id": integer_id(documents, id_column), "__row": F.xxhash64(*[F.col(f"`{x}`") for x in hashed])})
+    named = rows.where(F.col("__id").isNotNull())
+    picked = named.select(F.col("__id").alias("id"), F.col("__row").alias("row"), F.col(text_column).cast("string").alias("text"))
+    found = _near_classes(picked, width=width, similarity=similarity, left_out=left_out)
+    first = found.groupBy("root").agg(F.min("id").alias("id")).withColumnRenamed("root", "first_root")
+    # of the rows with the smallest id that with the smallest hash, once however often it comes
+    winners = found.join(first, (found.root == first.first_root) & (found.id == first.id)).groupBy("root").agg(F.min(found.id).alias("__id"), F.min("row").alias("__row")).drop("root")
+    kept = named.join(winners, ["__id", "__row"])
+    # equal rows lie together after the join: the first of them stays, without another exchange
+    once = Window.partitionBy("__id", "__row").orderBy("__id")
+    kept = kept.withColumn("__at", F.row_number().over(once)).where(F.col("__at") == 1)
+    return kept.select(*[F.col(f"`{x}`") for x in columns]).unionByName(documents.where(F.col(f"`{id_column}`").isNull()))

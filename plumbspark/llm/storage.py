@@ -1,28 +1,14 @@
-"""Cutting lineage in the folder that the cluster shares."""
+"""Cutting lineage, and the package where Python workers find it."""
 
 from __future__ import annotations
 
-import tempfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from plumbspark.sources.storage import checkpoint_dir, cut
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="checkpoint-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that it is never computed again, also when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["checkpoint_dir", "cut", "ship_package"]
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbspark.llm.ids import integer_id, rank_and_gap
 from plumbspark.llm.text import Runs, Texts, blocks, codes, mixed, words
 
 #: Text bytes of a part: what one task holds at a time, beside its longest text.
@@ -53,7 +54,7 @@ def _unpacked(data: bytes) -> np.ndarray:
 def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 13, part_bytes: int = PART_BYTES) -> DataFrame:
     """Remove from every text the words of windows that also start in a document with a smaller id.
 
-    1. Documents are dealt into parts of about ``part_bytes`` by a hash of the id.
+    1. Documents are dealt into parts of about ``part_bytes`` by a hash of id and text.
     2. Each part sends every distinct window hash once, with the smallest id that has it
        there, to the hash's bucket: a passage in a third of all documents costs one entry a
        part, not one a document.
@@ -70,16 +71,14 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
     ``width`` words stay whole.  Other columns are ignored.
     """
     kind = documents.schema[id_column].dataType
-    picked = documents.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
+    picked = documents.select(*rank_and_gap(integer_id(documents, id_column)), F.col(text_column).cast("string").alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // part_bytes + 1
-    dealt = picked.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).repartition(int(min(parts, 100_000)), "part")
+    dealt = picked.withColumn("part", F.pmod(F.xxhash64("rank", "text"), F.lit(parts))).repartition(int(min(parts, 100_000)), "part")
     buckets = np.uint64(parts)
 
-    def order(rows: pa.Table | pd.DataFrame) -> pd.DataFrame:
-        frame = rows if isinstance(rows, pd.DataFrame) else rows.to_pandas()
-        last = frame["id"].isna()
-        return frame.assign(rank=np.where(last, np.iinfo(np.int64).max, frame["id"].fillna(0).astype("int64"))).sort_values("rank", kind="stable")
+    def order(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values("rank", kind="stable")
 
     def windows_of(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, Texts, tuple]]:
         """Blocks of an ordered part: ranks, texts and their windows."""
@@ -125,7 +124,7 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
 
     def remove(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
-            return pd.DataFrame({"id": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []})
+            return pd.DataFrame({"rank": [], "gap": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []})
         frame = order(rows)
         # a bucket's hashes come as their quotients by the number of buckets
         late = [_unpacked(x) * buckets + np.uint64(bucket) for bucket, x in zip(answers["bucket"], answers["hashes"], strict=True)]
@@ -149,11 +148,12 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
                 edges = np.flatnonzero(np.diff(lost.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
                 out.append((b - a, int(lost.sum()), " ".join(word[a:b][~lost]), edges.tolist()))
         done = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_text", "removed"])
-        done.insert(0, "id", frame["id"].to_numpy())
+        done.insert(0, "rank", frame["rank"].to_numpy())
+        done.insert(1, "gap", frame["gap"].to_numpy())
         return done
 
     sent = dealt.groupBy("part").applyInPandas(send, "bucket bigint, part bigint, hashes binary, ids binary")
     answers = sent.repartition(int(min(parts, 100_000)), "bucket").groupBy("bucket").applyInPandas(answer, "part bigint, bucket bigint, hashes binary")
-    done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(remove, "id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<array<int>>")
+    done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(remove, "rank bigint, gap boolean, n_words bigint, n_removed bigint, kept_text string, removed array<array<int>>")
     spans = F.transform("removed", lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))
-    return done.select(F.col("id").cast(kind).alias(id_column), "n_words", "n_removed", "kept_text", spans.alias("removed"))
+    return done.select(F.when(~F.col("gap"), F.col("rank")).cast(kind).alias(id_column), "n_words", "n_removed", "kept_text", spans.alias("removed"))

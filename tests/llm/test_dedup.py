@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest_helpers import WORD, low
+from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
 from plumbspark.llm.simhash import keep_first_of_group, near_copies, simhash_components
@@ -181,3 +182,50 @@ def test_no_copy_is_missed(llm):
     brute = brute_copies(list(enumerate(rows)))
     assert sum(i != c for i, c in brute) > 120
     assert sorted(map(tuple, got)) == brute
+
+
+BIG = 2**53
+
+
+def test_windows_of_large_and_missing_ids(llm):
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(BIG + 1, text), (BIG, text), (None, text), (None, text + " more"), (BIG + 3, "x " * 20), (BIG + 2, "y " * 20)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    for part_bytes in (6 << 20, 10):
+        got = drop_repeated_windows(docs, part_bytes=part_bytes).collect()
+        assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_windows(rows)
+
+
+def test_ids_that_are_no_numbers_are_refused(llm):
+    docs = llm.createDataFrame([("a", "x")], "doc_id string, text string")
+    for operator in (drop_repeated_windows, simhash_components, near_copies, keep_first_of_group):
+        with pytest.raises(ValueError, match="whole numbers"):
+            operator(docs)
+
+
+def test_a_third_without_an_id_is_dealt_over_parts(llm):
+    rows = [(None if i % 3 == 0 else BIG + i, " ".join(f"w{i % 11} {k}" for k in range(20))) for i in range(300)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = drop_repeated_windows(docs, part_bytes=2000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_windows(rows)
+
+
+def test_different_texts_under_one_id_stay(llm):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("abcdefghij"), 8)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "x"), (2, a + " end", "x"), (3, c, "y"), (3, c + " end", "z"), (BIG + 1, "q", "x"), (BIG, "r", "x"), (None, a, "x")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, `a b` string").withColumn("s", F.struct(F.lit(1).alias("a b")))
+    for left_out in (1e-6, 0):
+        kept = keep_first_of_group(docs, left_out=left_out)
+        assert kept.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+        assert len(got) == 6 and [x for x in got if x[0] not in (3,)] == sorted([(1, a), (1, b), (BIG + 1, "q"), (BIG, "r"), (None, a)], key=repr)
+        again = keep_first_of_group(docs.orderBy(F.rand(5)).repartition(3), left_out=left_out).collect()
+        assert sorted(((r.doc_id, r.text) for r in again), key=repr) == got
+
+
+def test_without_sketches_the_copies_are_the_same(llm):
+    rows = texts_of_similarity()
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_copies(docs, left_out=0).collect())) == brute_copies(rows)

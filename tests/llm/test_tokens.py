@@ -84,3 +84,16 @@ def test_schedule_is_never_a_token_away_from_what_is_owed():
         for before, after in zip(taken, taken[1:], strict=False):
             assert all(a <= b for a, b in zip(before, after, strict=True))
         assert all(sum(x) == min(128 * w, sum(totals)) for w, x in enumerate(taken))
+
+
+def test_packing_keeps_large_and_missing_ids(llm):
+    big = 2**53
+    rows = [(big + 1, "one two three", "s"), (big, "four", "s"), (None, "five six", "s"), (None, None, None), (big + 3, "seven " * 50, "t")]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    done = pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), window=16, bucket_tokens=5).collect()
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    expected = sorted((str(i), len(library.encode(t or "", add_special_tokens=False).ids) + 1) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.doc_tokens) for r in done if r.start == 0) == expected
+    assert sum(r.length for r in done) == sum(n for _, n in expected)
+    with pytest.raises(ValueError, match="whole numbers"):
+        pack_documents(docs.withColumn("doc_id", docs.doc_id.cast("string")), public_tokenizers.path("word_bpe_49k.json"))
