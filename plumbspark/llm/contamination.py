@@ -7,10 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbspark.llm.storage import cut
 from plumbspark.llm.text import LOWER, Texts, blocks, runs
 
 #: Test strings (windows) of one search block: what a task holds of the benchmark at a time.
@@ -88,85 +90,89 @@ def item_windows(items: list[tuple[object, str | None]], width: int) -> dict[tup
     return found
 
 
-def _search_blocks(benchmark: DataFrame, width: int, item_column: str, text_column: str, block_windows: int) -> Iterator[dict[tuple[str, ...], set[str]]]:
-    """The test strings in blocks of at most about ``block_windows``; one block is in the driver at a time."""
-    rows = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("string"), F.col(text_column).cast("string"))
-    kept: dict[tuple[str, ...], set[str]] = {}
-    for row in rows.toLocalIterator():
-        for string, items in item_windows([tuple(row)], width).items():
-            kept.setdefault(string, set()).update(items)
-        if len(kept) >= block_windows:
-            yield kept
-            kept = {}
-    if kept:
-        yield kept
+def _test_strings(benchmark: DataFrame, width: int, item_column: str, text_column: str) -> DataFrame:
+    """``string, items``: every distinct test string, its words joined by a blank, and the items that hold it."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                strings = [" ".join(x) for x in item_windows([(item, text)], width)]
+                yield pa.RecordBatch.from_arrays([pa.array(strings, type=pa.string()), pa.array([item] * len(strings), type=pa.string())], names=["string", "item"])
+
+    rows = benchmark.where(F.col(item_column).isNotNull()).select(F.col(item_column).cast("string").alias("item"), F.col(text_column).cast("string").alias("text"))
+    return rows.mapInArrow(scan, "string string, item string").groupBy("string").agg(F.collect_set("item").alias("items"))
+
+
+def _searches(strings: dict[tuple[str, ...], set[str]]) -> list[WindowSearch]:
+    by_length: dict[int, dict] = defaultdict(dict)
+    for string, items in strings.items():
+        by_length[len(string)][string] = items
+    return [WindowSearch(x) for _, x in sorted(by_length.items())]
+
+
+def _loaded(block: Broadcast) -> list[WindowSearch]:
+    """The search tables of one block, whose strings the worker does not keep for the next."""
+    searches = _searches(block.value)
+    vars(block).pop("_value", None)
+    return searches
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text", width: int = 10, block_windows: int = BLOCK_WINDOWS, keep_columns: bool = False) -> DataFrame:
     """Words of each document inside any occurrence of a benchmark window, and the items found.
 
-    The benchmark is the stated query set: it is searched in blocks of ``block_windows``
-    test strings, each broadcast to one pass that only maps documents; a block's passes
-    follow each other in the same tasks, so that no document is shuffled and no more than one
-    block is made at a time.  Within a block each length of test string has its tables.
+    The benchmark is the stated query set.  Its distinct test strings are dealt by a hash into
+    blocks of about ``block_windows``; each is broadcast by itself, so that the driver holds no
+    more than one.  One pass maps the documents: a worker splits a few MB of texts into words
+    once and searches them for one block after the other, with the tables of one block in
+    memory at a time (a single block stays loaded).  Within a block each length of test string
+    has its tables.  No document is shuffled.
 
     Returns ``id_column, n_words, n_hit, items, hits``, or with ``keep_columns`` the documents
     with these columns in place of any of the same names: the item ids as sorted distinct
     strings, and the maximal intervals of hit words ``(start, end)``, end exclusive.  One row
-    per input row.  NULL texts and items have no words; an item without an id is left out; an
-    empty benchmark finds nothing; repeated items count once; a NULL document id is kept.
+    per input row.  NULL and empty texts and items have no words; very long texts are searched
+    whole; an item without an id is left out; an empty benchmark finds nothing; repeated items
+    count once; a NULL document id is kept; an empty table gives no rows.
     """
     spark = documents.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     results = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", span)]
-    own = [F.col(x) for x in documents.columns if x not in {f.name for f in results}] if keep_columns else [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")]
+    own = [F.col(f"`{x}`") for x in documents.columns if x not in {f.name for f in results}] if keep_columns else [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")]
     picked = documents.select(own)
     searched = text_column if keep_columns else "text"
     schema = T.StructType([*picked.schema.fields, *results])
     last = len(picked.columns)
 
-    def search(tables) -> object:
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by_length = defaultdict(dict)
-            for string, items in (tables.value if tables else {}).items():
-                by_length[len(string)][string] = items
-            searches = [WindowSearch(x) for _, x in sorted(by_length.items())]
-            for rows, texts in blocks(batches, searched):
-                word, first = word_lists(texts)
-                first = first.tolist()
-                step = np.zeros(len(word) + 1, dtype=np.int32)
-                old_hits, old_items = rows.column(last + 3).to_pylist(), rows.column(last + 2).to_pylist()
-                n_hit, all_items, all_hits = [], [], []
-                for i, (low, high) in enumerate(zip(first[:-1], first[1:], strict=True)):
-                    items, found = set(old_items[i]), False
+    strings = cut(_test_strings(benchmark, width, item_column, item_text_column))
+    n_blocks = strings.count() // block_windows + 1
+    tables = []
+    for k in range(n_blocks):
+        block = strings.where(F.pmod(F.xxhash64("string"), F.lit(n_blocks)) == k).toArrow()
+        some = zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True)
+        tables.append(spark.sparkContext.broadcast({tuple(string.split(" ")): set(items) for string, items in some}))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = _searches(tables[0].value) if len(tables) == 1 else None
+        for rows, texts in blocks(batches, searched):
+            word, first = word_lists(texts)
+            first = first.tolist()
+            step = np.zeros(len(word) + 1, dtype=np.int32)
+            items: list[set[str]] = [set() for _ in range(len(texts))]
+            for searches in [only] if only is not None else map(_loaded, tables):
+                for found, low, high in zip(items, first[:-1], first[1:], strict=True):
                     for tried in searches:
                         for begin, string in tried.find(word, low, high):
                             step[begin] += 1
                             step[begin + tried.length] -= 1
-                            items |= tried.items[string]
-                            found = True
-                    for x in old_hits[i]:
-                        step[low + x["start"]] += 1
-                        step[low + x["end"]] -= 1
-                        found = True
-                    edges = np.zeros((0, 2), dtype=np.int64)
-                    if found:
-                        inside = np.cumsum(step[low:high]) > 0
-                        edges = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-                        step[low : high + 1] = 0
-                    n_hit.append(int((edges[:, 1] - edges[:, 0]).sum()))
-                    all_items.append(sorted(items))
-                    all_hits.append([{"start": a, "end": b} for a, b in edges.tolist()])
-                columns = [*rows.columns[:last], pa.array(np.diff(first)), pa.array(n_hit, type=pa.int64()), pa.array(all_items, type=pa.list_(pa.string())), pa.array(all_hits, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
-
-        return scan
-
-    done = picked.select("*", F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(span).alias("hits"))
-    some = False
-    for strings in _search_blocks(benchmark, width, item_column, item_text_column, block_windows):
-        done = done.mapInArrow(search(spark.sparkContext.broadcast(strings)), schema)
-        some = True
-    if not some:
-        done = done.mapInArrow(search(None), schema)
+                            found |= tried.items[string]
+            inside = (np.cumsum(step) > 0).astype(np.int8)
+            n_hit, all_hits = [], []
+            for found, low, high in zip(items, first[:-1], first[1:], strict=True):
+                edges = np.flatnonzero(np.diff(inside[low:high], prepend=0, append=0)).reshape(-1, 2) if found else np.zeros((0, 2), dtype=np.int64)
+                n_hit.append(int((edges[:, 1] - edges[:, 0]).sum()))
+                all_hits.append([{"start": a, "end": b} for a, b in edges.tolist()])
+            columns = [*rows.columns, pa.array(np.diff(first)), pa.array(n_hit, type=pa.int64()), pa.array([sorted(x) for x in items], type=pa.list_(pa.string())), pa.array(all_hits, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
+            yield pa.RecordBatch.from_arrays(columns[: last + 4], names=schema.names)
+
+    done = picked.mapInArrow(scan, schema)
     return done if keep_columns else done.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "hits")

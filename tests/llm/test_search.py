@@ -45,6 +45,16 @@ def test_contamination(llm, block_windows):
     assert kept.columns == ["doc_id", "text", "n_words", "n_hit", "items", "hits"]
 
 
+def test_many_blocks_are_one_pass(llm):
+    """Fifty blocks: the worker of a task loads one after the other and keeps none."""
+    docs = llm.createDataFrame([(i, f"x w{i} y{i} z") for i in range(60)], "doc_id long, text string")
+    bench = llm.createDataFrame([(i, f"w{i} y{i}") for i in range(0, 50)], "item_id long, text string")
+    found = find_contamination(docs, bench, block_windows=1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    assert {r.doc_id: r["items"] for r in found.collect()} == {i: [str(i)] if i < 50 else [] for i in range(60)}
+
+
 def test_contamination_of_the_tables(llm, small):
     bench = llm.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     expected = brute_contamination([(r.doc_id, r.text) for r in small.collect()], [(r.item_id, r.text) for r in bench.collect()])
