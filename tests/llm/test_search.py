@@ -1,11 +1,12 @@
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 import pytest
 from conftest_helpers import WORD, low
 
 from plumbspark.llm.contamination import find_contamination
-from plumbspark.llm.quality import RULES, first_failure, ordered_rules, quality_cascade, text_statistics
+from plumbspark.llm.quality import RULES, Rule, first_failure, ordered_rules, quality_cascade, text_statistics
 from plumbspark.llm.urls import judge_urls, url_rules
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -89,6 +90,57 @@ def test_quality(llm, small, odd):
         assert r.kept == (r.failed_rule is None) and not (r.base_failed and r.kept)
 
 
+def brute_rules(text):
+    """The rules beside the base ones that a text fails, each counted in plain Python."""
+    text = text or ""
+    n_words, word_chars, n_symbols, n_dup_lines, _ = brute_quality(text)
+    words = WORD.findall(text)
+    n_lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    ended = re.split("\r\n|[\n\r\u0085\u2028\u2029]", text)
+    fails = {
+        "word_length": not 2 * n_words <= word_chars <= 15 * n_words,
+        "symbols": 10 * n_symbols > n_words,
+        "repeated_lines": n_dup_lines >= 3 and 2 * n_dup_lines >= n_lines,
+        "few_letters": 2 * sum(unicodedata.category(c)[0] == "L" for c in text) < word_chars,
+        "few_distinct_words": n_words >= 200 and 20 * len(set(words)) < n_words,
+        "bullets": n_lines >= 10 and 10 * sum(x.lstrip(" \t")[:1] in ("-", "*", "•") for x in ended) > 9 * n_lines,
+        "ellipses": n_lines >= 10 and 10 * sum(x.rstrip(" \t").endswith(("...", "…")) for x in ended) > 5 * n_lines,
+    }
+    return {name for name, failed in fails.items() if failed}
+
+
+ODD_QUALITY = [
+    "a b c " * 40, "internationalisations " * 60, "word # word * " * 60, "one line here\n" * 30 + "and more words " * 40, "1234 5678 90 " * 60,
+    "same few words again " * 70, "".join(f"- item number {i} of many\n" for i in range(40)), "".join(f"sentence number {i} goes on...\n" for i in range(40)),
+    "".join(f"\t• item {i} and {i + 1}\r\n" for i in range(40)), "".join(f"words {i} trail off… \n" for i in range(40)), "слово за словом идёт дальше " * 3 + " ".join(f"слово{i}" for i in range(80)),
+    " ".join(f"word{i}" for i in range(90)), "...\n" * 60 + " ".join(f"w{i}" for i in range(60)),
+]
+
+
+def test_kept_as_by_plain_python(llm, small):
+    rows = [(i, t) for i, t in enumerate(ODD_QUALITY)] + [(1000 + r.doc_id, r.text) for r in small.collect()]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.kept, r.failed_rule) for r in quality_cascade(docs).collect()}
+    seen = set()
+    for i, text in rows:
+        n_words, *_, n_repeat = brute_quality(text)
+        base, failed = n_words < 50 or 100 * n_repeat > 50 * n_words, brute_rules(text)
+        assert got[i][0] == (not base and not failed), (text[:60], failed, got[i])
+        assert got[i][1] in ({"base"} if base else failed or {None})
+        seen |= failed
+    assert seen == {r.name for r in RULES}
+
+
+def test_a_rule_made_slow_moves_back(llm, small):
+    statistics = text_statistics(small)
+    fast = Rule("fast", "10 * n_symbols > n_words")
+    slow = Rule("slow", r"10 * n_symbols > n_words AND length(regexp_replace(repeat(text, 10), '[^\\p{L}]+', '')) >= 0")
+    wrong = Rule("slow", r"length(regexp_replace(repeat(text, 10), '[^\\p{L}]+', '')) >= 0 AND 10 * n_symbols > n_words")
+    for rules in ([wrong, fast], [fast, wrong]):
+        assert [r.name for r in ordered_rules(statistics, rules)] == ["fast", "slow"]
+    assert {r.name for r in ordered_rules(statistics, [slow, fast])} == {"fast", "slow"}
+
+
 def test_quality_order_changes_no_verdict(llm, small):
     statistics = text_statistics(small)
     order = ordered_rules(statistics)
