@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbspark.llm.ids import plain_columns
 from plumbspark.llm.storage import cut
 from plumbspark.llm.text import LOWER, Texts, blocks, runs
 
@@ -137,11 +138,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
     spark = documents.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     results = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(T.StringType())), T.StructField("hits", span)]
-    own = [F.col(f"`{x}`") for x in documents.columns if x not in {f.name for f in results}] if keep_columns else [F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")]
-    picked = documents.select(own)
-    searched = text_column if keep_columns else "text"
+    kept = [x for x in documents.columns if x not in {f.name for f in results}] if keep_columns else [id_column, text_column]
+    picked = plain_columns(documents, kept)
+    at = f"c{kept.index(text_column)}"
+    if not keep_columns:
+        picked = picked.withColumn(at, F.col(at).cast("string"))
     schema = T.StructType([*picked.schema.fields, *results])
-    last = len(picked.columns)
 
     strings = cut(_test_strings(benchmark, width, item_column, item_text_column))
     n_blocks = strings.count() // block_windows + 1
@@ -153,7 +155,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only = _searches(tables[0].value) if len(tables) == 1 else None
-        for rows, texts in blocks(batches, searched):
+        for rows, texts in blocks(batches, at):
             word, first = word_lists(texts)
             first = first.tolist()
             step = np.zeros(len(word) + 1, dtype=np.int32)
@@ -172,7 +174,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
                 n_hit.append(int((edges[:, 1] - edges[:, 0]).sum()))
                 all_hits.append([{"start": a, "end": b} for a, b in edges.tolist()])
             columns = [*rows.columns, pa.array(np.diff(first)), pa.array(n_hit, type=pa.int64()), pa.array([sorted(x) for x in items], type=pa.list_(pa.string())), pa.array(all_hits, type=pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
-            yield pa.RecordBatch.from_arrays(columns[: last + 4], names=schema.names)
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    done = picked.mapInArrow(scan, schema)
-    return done if keep_columns else done.select(F.col("id").alias(id_column), "n_words", "n_hit", "items", "hits")
+    done = picked.mapInArrow(scan, schema).toDF(*kept, *[f.name for f in results])
+    return done if keep_columns else done.drop(text_column)

@@ -1,4 +1,4 @@
-"""Ids of documents as whole numbers that stay exact beside NULLs."""
+"""Ids of documents as whole numbers that stay exact beside NULLs, and columns of any name."""
 
 from __future__ import annotations
 
@@ -21,3 +21,13 @@ def integer_id(documents: DataFrame, id_column: str) -> Column:
 def rank_and_gap(ident: Column) -> list[Column]:
     """``rank, gap`` for ``ident``: numbers without NULL, which pandas would turn into floats, and whether there is none."""
     return [F.coalesce(ident, F.lit(LAST)).alias("rank"), ident.isNull().alias("gap")]
+
+
+def quoted(name: str) -> str:
+    """A column of any name, also one with dots, blanks or backticks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def plain_columns(documents: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns ``kept`` as ``c0, c1, ...``: functions over batches take no names with dots or backticks."""
+    return documents.select(*[F.col(quoted(x)).alias(f"c{i}") for i, x in enumerate(kept)])

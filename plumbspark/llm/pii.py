@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from ipaddress import IPv6Address
 from math import isqrt
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
+from plumbspark.llm.ids import plain_columns
 from plumbspark.llm.text import blocks
 
 ROUNDS = 10
@@ -79,51 +83,75 @@ def _iban_remainder(text: str) -> int:
 
 
 # Every kind: the pattern that finds it, a check, and a permutation of its format.  Patterns begin
-# only where no character of theirs precedes, so that a long run is read once.
-
-_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])")
-_DATE = re.compile(r"(?<![0-9A-Za-z./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})|(?P<a>[0-9]{1,2})(?P<t>[-/.])(?P<b>[0-9]{1,2})(?P=t)(?P<z>[0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])")
-_IP = re.compile(r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])")
-_SSN = re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])")
-_CARD = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")
-_PHONE = re.compile(r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]|[.-][0-9])")
+# only where no character of theirs precedes, so that a long run is read once.  A border is where
+# no letter or digit of any language stands.
+
+_BEFORE, _AFTER = r"(?<![^\W_])", r"(?![^\W_])"
+
+_EMAIL = re.compile(r"(?<![\w.%+-])[\w.%+-]{1,64}@(?:(?:[^\W_]|-){1,63}\.){1,8}[^\W\d_]{2,24}(?![\w-])")
+_IBAN = re.compile(_BEFORE + r"[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)" + _AFTER)
+_DATE = re.compile(_BEFORE + r"(?<![./-])(?:(?P<y>[0-9]{4})(?P<s>[-/.])(?P<m>[0-9]{1,2})(?P=s)(?P<d>[0-9]{1,2})|(?P<a>[0-9]{1,2})(?P<t>[-/.])(?P<b>[0-9]{1,2})(?P=t)(?P<z>[0-9]{4}))(?:(?=T[0-9]{2}:?[0-9]{2})|" + _AFTER + r"(?![./-][0-9]))")
+_IP = re.compile(_BEFORE + r"(?<!\.)[0-9]{1,3}(?:\.[0-9]{1,3}){3}" + _AFTER + r"(?!\.[0-9])")
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:|:(?=:|[0-9A-Fa-f])){2,7}(?::|[0-9A-Fa-f]{1,4})(?![\w:]|\.[0-9])")
+_SSN = re.compile(_BEFORE + r"(?<!-)[0-9]{3}-[0-9]{2}-[0-9]{4}" + _AFTER + r"(?!-[0-9])")
+_CARD = re.compile(_BEFORE + r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})" + _AFTER)
+_PHONE = re.compile(
+    _BEFORE + r"(?<!\+)(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{1,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}"
+    r"|(?<![0-9][ .-])(?:[0-9]{3} [0-9]{3} [0-9]{4}|\(?0[0-9]{2,4}\)?[ /-][0-9]{3,8}(?:[ -][0-9]{2,4}){0,2})(?![ -][0-9]))" + _AFTER + r"(?![.-][0-9])"
+)
 
 _FIRST_DAY, _DAYS = date(1900, 1, 1), (date(2100, 1, 1) - date(1900, 1, 1)).days
 
 
+@lru_cache(maxsize=4096)
+def _like(x: str) -> str:
+    """The characters that may take the place of ``x``: ASCII digits, ASCII letters of its case, or
+    the letters of its kind among its 256 neighbours in the code; empty for signs."""
+    if x in "0123456789":
+        return "0123456789"
+    if x.isascii():
+        return "abcdefghijklmnopqrstuvwxyz" if x.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ" if x.isupper() else ""
+    kind = unicodedata.category(x)
+    first = ord(x) & ~0xFF
+    return "".join(c for c in map(chr, range(max(first, 0x80), first + 0x100)) if unicodedata.category(c) == kind) if kind[0] == "L" else ""
+
+
 def _email(found: re.Match, feistel: Feistel) -> str | None:
     text = found.group()
     stop = text.rindex(".")
     body, tail = text[:stop], text[stop:]
-    radix = [10 if x.isdigit() else 26 if x.isalpha() else 0 for x in body]
+    # equal but for the case of letters of the ASCII: equal but for the case afterwards
+    likes = [_like(x) for x in body]
     value, size = 0, 1
-    for x, r in zip(body, radix, strict=True):
-        if r:
-            value = value * r + (int(x) if r == 10 else ord(x.lower()) - 97)
-            size *= r
-    shape = "".join("9" if r == 10 else "a" if r else x for x, r in zip(body, radix, strict=True))
+    for x, like in zip(body, likes, strict=True):
+        if like:
+            value = value * len(like) + like.index(x)
+            size *= len(like)
+    shape = "".join("9" if like[:1] == "0" else "a" if len(like) == 26 and like.isascii() else like[0] if like else x for x, like in zip(body, likes, strict=True))
     new = feistel.permute(value, size, f"email {shape}") if size > 1 else value
     out = []
-    for x, r in zip(reversed(body), reversed(radix), strict=True):
-        if r:
-            new, n = divmod(new, r)
-            x = str(n) if r == 10 else chr(97 + n).upper() if x.isupper() else chr(97 + n)
+    for x, like in zip(reversed(body), reversed(likes), strict=True):
+        if like:
+            new, n = divmod(new, len(like))
+            x = like[n]
         out.append(x)
     return "".join(reversed(out)) + tail
 
 
 def _iban(found: re.Match, feistel: Feistel) -> str | None:
     text = found.group()
-    if _iban_remainder(text) != 1:
+    compact = text.replace(" ", "")
+    if not 15 <= len(compact) <= 34 or _iban_remainder(compact) != 1:
         return None
-    digits = _digits(text[4:])
+    digits = _digits(compact[4:])
     if not digits:
         # no country has account numbers of letters alone
         return None
-    shape = re.sub("[0-9]", "9", text[4:])
-    body = _fill(text[4:], str(feistel.permute(int(digits), 10 ** len(digits), f"iban {text[:2]}{shape}")).zfill(len(digits)))
-    return f"{text[:2]}{98 - _iban_remainder(text[:2] + '00' + body):02d}{body}"
+    # with or without blanks an account number is the same
+    shape = re.sub("[0-9]", "9", compact[4:])
+    new = str(feistel.permute(int(digits), 10 ** len(digits), f"iban {text[:2]}{shape}")).zfill(len(digits))
+    check = 98 - _iban_remainder(text[:2] + "00" + _fill(compact[4:], new))
+    return f"{text[:2]}{check:02d}{_fill(text[4:], new)}"
 
 
 def _date(found: re.Match, feistel: Feistel) -> str | None:
@@ -167,6 +195,18 @@ def _ip(found: re.Match, feistel: Feistel) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
+def _ip6(found: re.Match, feistel: Feistel) -> str | None:
+    try:
+        value = int(IPv6Address(found.group()))
+    except ValueError:
+        return None
+    # unspecified, loopback and the like are nobody's; they stay, and nothing becomes one; a name
+    # of letters alone between colons is more often code
+    if value >> 32 == 0 or not _digits(found.group()):
+        return None
+    return str(IPv6Address(feistel.permute(value, 1 << 128, "ip6", lambda x: x >> 32 != 0)))
+
+
 def _ssn(found: re.Match, feistel: Feistel) -> str | None:
     def valid(n: int) -> bool:
         area, group, serial = n // 1_000_000, n // 10_000 % 100, n % 10_000
@@ -202,6 +242,7 @@ KINDS: dict[str, tuple[re.Pattern, Callable[[re.Match, Feistel], str | None]]] =
     "ssn": (_SSN, _ssn),
     "date": (_DATE, _date),
     "ip": (_IP, _ip),
+    "ip6": (_IP6, _ip6),
     "phone": (_PHONE, _phone),
 }
 
@@ -215,7 +256,7 @@ def pseudonyms(text: str, feistel: Feistel, kinds: tuple[str, ...] = tuple(KINDS
     found = []
     for rank, kind in enumerate(kinds):
         pattern, permuted = KINDS[kind]
-        if kind == "email" and "@" not in text:
+        if (kind == "email" and "@" not in text) or (kind == "ip6" and text.count(":") < 2):
             continue
         for match in pattern.finditer(text):
             new = permuted(match, feistel)
@@ -238,24 +279,34 @@ def _feistel(key: bytes) -> Feistel:
 def pseudonymize(documents: DataFrame, key: bytes, *, text_column: str = "text", kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
     """``documents`` with the personal numbers, dates and addresses of every whole text permuted.
 
-    E-mail addresses, IBANs, payment cards, social security numbers, dates of 1900 to 2099,
-    IPv4 addresses and telephone numbers that are valid by their check digits, ranges and
-    calendar become others of the same format under ``key``: equal values become equal
-    values in all documents, different ones stay different, and ``key`` can lead back.
-    Shapes, separators, country codes and top-level domains stay.
+    E-mail addresses (letters of any language), IBANs with or without blanks, payment cards,
+    social security numbers, dates of 1900 to 2099 (also at the start of an ISO timestamp, whose
+    time stays), IPv4 and IPv6 addresses and telephone numbers that are valid by their check
+    digits, ranges and calendar become others of the same format under ``key``: equal values
+    become equal values in all documents, different ones stay different, and ``key`` can lead
+    back.  Shapes, separators, country codes and top-level domains stay; letters become letters
+    of their alphabet and case; an IPv6 address comes out in its shortest form.
+
+    Left as they are: names and postal addresses, dates with names of months, of two-digit
+    years or without separators, times of day, numbers in words, telephone numbers of a
+    single group of digits without a ``+``, and IPv6 addresses that are
+    loopback, unspecified or without a decimal digit.
 
     One map-only pass.  Adds ``pii``, an array of ``(kind, start, end)`` in code points of the
-    input, in place of a column of that name; all other columns stay.  A NULL text stays
-    NULL, an empty one empty.
+    input, in place of a column of that name; all other columns stay, of any name and type.
+    A NULL text stays NULL, an empty one empty; very long texts are read whole; repeated rows
+    give repeated results, and an empty table an empty one.
     """
     kept = [x for x in documents.columns if x != "pii"]
     at = kept.index(text_column)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(kept).schema) + ", pii array<struct<kind: string, `start`: int, `end`: int>>"
+    plain = plain_columns(documents, kept)
+    found = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    schema = T.StructType([*plain.schema.fields, T.StructField("pii", T.ArrayType(found))])
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel = _feistel(key)
-        for rows, texts in blocks(batches, text_column):
+        for rows, texts in blocks(batches, f"c{at}"):
             data = texts.data
             sign = np.concatenate([[0], np.cumsum(((data >= 0x30) & (data <= 0x39)) * 1 + (data == 0x40) * 4)])
             # four digits or an at sign: less can't hold any of the kinds
@@ -273,6 +324,6 @@ def pseudonymize(documents: DataFrame, key: bytes, *, text_column: str = "text",
                 for i, new in changed.items():
                     values[i] = new
                 columns[at] = pa.array(values, type=columns[at].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, type=span)], names=[*kept, "pii"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, type=span)], names=schema.names)
 
-    return documents.select(kept).mapInArrow(scan, schema)
+    return plain.mapInArrow(scan, schema).toDF(*kept, "pii")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
-from plumbspark.llm.ids import integer_id
+from plumbspark.llm.ids import integer_id, quoted
 from plumbspark.llm.storage import cut
 from plumbspark.llm.text import LOWER, SPACE, Texts, blocks, mixed, words
 from plumbspark.llm.windows import window_hashes
@@ -397,7 +397,7 @@ def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text
     """
     hashed = [f.name for f in documents.schema if not f.dataType.simpleString().count("map<") and not f.dataType.simpleString().count("variant")]
     columns = documents.columns
-    rows = documents.withColumns({"__id": integer_id(documents, id_column), "__row": F.xxhash64(*[F.col(f"`{x}`") for x in hashed])})
+    rows = documents.withColumns({"__id": integer_id(documents, id_column), "__row": F.xxhash64(*[F.col(quoted(x)) for x in hashed])})
     named = rows.where(F.col("__id").isNotNull())
     picked = named.select(F.col("__id").alias("id"), F.col("__row").alias("row"), F.col(text_column).cast("string").alias("text"))
     found = _near_classes(picked, width=width, similarity=similarity, left_out=left_out)
@@ -408,4 +408,4 @@ def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text
     # equal rows lie together after the join: the first of them stays, without another exchange
     once = Window.partitionBy("__id", "__row").orderBy("__id")
     kept = kept.withColumn("__at", F.row_number().over(once)).where(F.col("__at") == 1)
-    return kept.select(*[F.col(f"`{x}`") for x in columns]).unionByName(documents.where(F.col(f"`{id_column}`").isNull()))
+    return kept.select(*[F.col(quoted(x)) for x in columns]).unionByName(documents.where(F.col(quoted(id_column)).isNull()))

@@ -11,8 +11,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbspark.llm.automata import Trie, near_terms
+from plumbspark.llm.ids import plain_columns
 from plumbspark.llm.storage import cut
 from plumbspark.llm.text import LOWER, Texts, blocks, codes, runs
 
@@ -232,16 +234,19 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, *, id_column: str
     """``documents`` with ``score``, the chance that a document is toxic, and ``hits``: its log-scaled features.
 
     One map-only pass over whole texts; the input's own ``score`` and ``hits`` are replaced,
-    all other columns kept.  NULL and empty texts score as texts without a hit.
+    all other columns kept, of any name and type.  NULL and empty texts score as texts without a
+    hit, very long ones are read whole, repeated rows give repeated results, and an empty table
+    an empty one.
     """
     kept = [x for x in documents.columns if x not in ("score", "hits")]
-    scored = [*kept, "score", "hits"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.select(kept).schema) + ", score double, hits array<double>"
+    plain = plain_columns(documents, kept)
+    added = [T.StructField("score", T.DoubleType()), T.StructField("hits", T.ArrayType(T.DoubleType()))]
+    schema = T.StructType([*plain.schema.fields, *added])
 
     def score(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie(model.lexicon.fuzzy)
-        for rows, texts in blocks(frames, text_column):
+        for rows, texts in blocks(frames, f"c{kept.index(text_column)}"):
             values = features(texts, model.lexicon, trie)
-            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(values)), pa.array(values.tolist(), type=pa.list_(pa.float64()))], names=scored)
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(model.score(values)), pa.array(values.tolist(), type=pa.list_(pa.float64()))], names=schema.names)
 
-    return documents.select(kept).mapInArrow(score, schema)
+    return plain.mapInArrow(score, schema).toDF(*kept, "score", "hits")

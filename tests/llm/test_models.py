@@ -144,6 +144,7 @@ VALUES = {
     "ssn": ["123-45-6789"],
     "date": ["2020-02-29", "3/4/2021", "31.12.1999", "25/12/2001"],
     "ip": ["8.196.197.208"],
+    "ip6": ["2001:db8::8a2e:370:7334"],
     "phone": ["+1 (743) 555-3824", "(555) 123-4567", "555-123-4567"],
 }
 
@@ -158,7 +159,7 @@ def test_values_keep_their_format(kind):
         assert first == second
         again, found = pseudonyms(first, feistel)
         assert found and found[0][0] == kind, (value, first)
-        if kind != "ip":
+        if kind not in ("ip", "ip6"):
             assert re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", first)))[4 * (kind == "iban") :] == re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", value)))[4 * (kind == "iban") :]
     assert set(VALUES) == set(KINDS)
 
