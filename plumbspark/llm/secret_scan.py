@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import re
 import string
 from collections.abc import Iterator
@@ -23,12 +24,21 @@ _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 FIT_DOCUMENTS = 20_000
 FIT_FINDINGS = 3_000
 
+#: Findings made from public formats, and from what looks alike, to train on beside them.
+MADE_FINDINGS = 12_000
+
+#: Probability from which on a candidate is accepted in any family, for formats that training had none of.
+HIGHEST = 0.6
+
 #: Characters of a candidate and of the text before and after it that the network sees.
 BEFORE, INSIDE, AFTER = 24, 48, 8
 LENGTH = BEFORE + INSIDE + AFTER
 
-#: Shortest candidate.
-LEAST = 16
+#: Shortest candidate of digits and letters, and shortest one that mixes more classes of characters.
+LEAST, LEAST_MIXED = 16, 8
+
+#: Longest password with signs of its own, and step of the windows over longer values.
+LONGEST_SIGNED, STEP = 32, 24
 
 _VALUE = np.zeros(256, dtype=bool)
 _VALUE[[ord(x) for x in string.ascii_letters + string.digits + "+/_.=-"]] = True
@@ -36,9 +46,17 @@ _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[0x30:0x3A] = True
 _HEX = _DIGIT.copy()
 _HEX[0x61:0x67] = True
-_LETTER = np.zeros(256, dtype=bool)
-_LETTER[0x41:0x5B] = True
-_LETTER[0x61:0x7B] = True
+_UPPER = np.zeros(256, dtype=bool)
+_UPPER[0x41:0x5B] = True
+_LOWER = np.zeros(256, dtype=bool)
+_LOWER[0x61:0x7B] = True
+_LETTER = _UPPER | _LOWER
+_SIGN = np.zeros(256, dtype=bool)
+_SIGN[[ord(x) for x in "!@#$%^&*?~|"]] = True
+_SIGNED = _SIGN | _DIGIT | _LETTER
+_SIGNED[[ord(x) for x in "+_.-"]] = True
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[ord(x) for x in "/=."]] = True
 
 
 @dataclass
@@ -72,15 +90,68 @@ def base_spans(texts: Texts) -> Spans:
     return Spans(start[by], end[by], kind[by])
 
 
-def candidates(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of value characters, long enough, with a digit and a letter."""
-    found = runs(texts, _VALUE[texts.data])
-    long = np.flatnonzero(found.end - found.start >= LEAST)
-    start, end = found.start[long], found.end[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[texts.data])])
-    letters = np.concatenate([[0], np.cumsum(_LETTER[texts.data])])
-    mixed = (digits[end] > digits[start]) & (letters[end] > letters[start])
-    return start[mixed], end[mixed]
+def candidates(texts: Texts, taken: Spans | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Where values may stand, outside of the spans ``taken``; in order, and none inside another.
+
+    Runs of value characters of ``LEAST`` bytes with a digit and a letter, or of 20 with four
+    letters of either case; of runs longer than the network sees their pieces between ``/``, ``=`` and
+    ``.`` instead.  Shorter ones of ``LEAST_MIXED`` with capital, small letter and digit.  Runs with
+    signs as passwords have them, a digit and a letter, of ``LEAST_MIXED`` to ``LONGEST_SIGNED``.
+    """
+    data = texts.data
+    open_ = np.ones(len(data) + 1, dtype=np.int32)
+    if taken is not None:
+        change = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(change, taken.start, 1)
+        np.add.at(change, taken.end, -1)
+        open_ = np.cumsum(change) == 0
+    open_ = open_[: len(data)].astype(bool)
+    sums = {name: np.concatenate([[0], np.cumsum(mask[data])]) for name, mask in (("digit", _DIGIT), ("upper", _UPPER), ("lower", _LOWER), ("sign", _SIGN))}
+
+    def counts(found: Runs) -> dict[str, np.ndarray]:
+        return {name: total[found.end] - total[found.start] for name, total in sums.items()} | {"size": found.end - found.start}
+
+    def plain(n: dict[str, np.ndarray]) -> np.ndarray:
+        letters = n["upper"] + n["lower"]
+        long = (n["size"] >= LEAST) & (n["digit"] > 0) & (letters > 0)
+        no_digit = (n["size"] >= 20) & (n["upper"] >= 4) & (n["lower"] >= 4)
+        mixed = (n["size"] >= LEAST_MIXED) & (n["digit"] > 0) & (n["upper"] > 0) & (n["lower"] > 0)
+        return long | no_digit | mixed
+
+    value = _VALUE[data] & open_
+    found = runs(texts, value)
+    n = counts(found)
+    good = plain(n)
+    whole = good & (n["size"] <= INSIDE)
+    parts = [(found.start[whole], found.end[whole])]
+    longer = good & (n["size"] > INSIDE)
+    if longer.any():
+        edge = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(edge, found.start[longer], 1)
+        np.add.at(edge, found.end[longer], -1)
+        pieces = runs(texts, (np.cumsum(edge)[:-1] > 0) & ~_BREAK[data])
+        good = plain(counts(pieces))
+        parts.append((pieces.start[good], pieces.end[good]))
+    signed = runs(texts, _SIGNED[data] & open_)
+    n = counts(signed)
+    good = (n["size"] >= LEAST_MIXED) & (n["size"] <= LONGEST_SIGNED) & (n["sign"] > 0) & (n["digit"] > 0) & (n["upper"] + n["lower"] > 0)
+    parts.append((signed.start[good], signed.end[good]))
+    start, end = (np.concatenate(x) for x in zip(*parts, strict=True))
+    by = np.lexsort((-end, start))
+    start, end = start[by], end[by]
+    reach = np.maximum.accumulate(np.concatenate([[-1], end]))[:-1]
+    outer = end > reach
+    return start[outer], end[outer]
+
+
+def windows(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate, start and end of what the network judges: whole candidates, longer ones in steps of ``STEP``."""
+    count = 1 + np.maximum(0, -(-(end - start - INSIDE) // STEP))
+    owner = np.repeat(np.arange(len(start)), count)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    # the last window ends with its candidate
+    begin = np.minimum(start[owner] + STEP * place, np.maximum(start, end - INSIDE)[owner])
+    return owner, begin, np.minimum(begin + INSIDE, end[owner])
 
 
 def free(start: np.ndarray, end: np.ndarray, base: Spans) -> np.ndarray:
@@ -93,15 +164,13 @@ def free(start: np.ndarray, end: np.ndarray, base: Spans) -> np.ndarray:
 
 
 def surroundings(texts: Texts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """What the network sees of each candidate: bytes before, inside (a long middle left out) and after; 0 beyond its text."""
+    """What the network sees of each window: bytes before, inside (``INSIDE`` at most) and after; 0 beyond its text."""
     out = np.zeros((len(start), LENGTH), dtype=np.uint8)
     owner = np.searchsorted(texts.offsets, start, side="right") - 1
     for i, (a, b, low, high) in enumerate(zip(start.tolist(), end.tolist(), texts.offsets[owner].tolist(), texts.offsets[owner + 1].tolist(), strict=True)):
         left = texts.data[max(low, a - BEFORE) : a]
         out[i, BEFORE - len(left) : BEFORE] = left
-        value = texts.data[a:b]
-        if len(value) > INSIDE:
-            value = np.concatenate([value[: INSIDE // 2], value[-INSIDE // 2 :]])
+        value = texts.data[a : min(b, a + INSIDE)]
         out[i, BEFORE : BEFORE + len(value)] = value
         right = texts.data[b : min(high, b + AFTER)]
         out[i, BEFORE + INSIDE : BEFORE + INSIDE + len(right)] = right
@@ -115,7 +184,7 @@ _SYMBOLS = np.minimum(np.arange(256), 128)
 class CharacterNetwork:
     """Embedding, one convolution, maximum over each of the three parts, and a logistic layer; plain numpy."""
 
-    def __init__(self, seed: int = 2, depth: int = 12, width: int = 5, filters: int = 32) -> None:
+    def __init__(self, seed: int = 2, depth: int = 12, width: int = 5, filters: int = 48) -> None:
         rng = np.random.default_rng(seed)
         self.width = width
         self.p = {
@@ -190,24 +259,29 @@ class CharacterNetwork:
             scale, shift = np.array([scale, shift]) - np.clip(np.linalg.solve(h, g), -1, 1)
         self.scale, self.shift = float(scale), float(shift)
         p, kind = self.probability(x), family(x)
-        for k in range(3):
+        for k in range(FAMILIES):
             own = np.sort(p[(kind == k) & (y == 1)])
             cut = own[int((1 - recall) * len(own))] if len(own) else 1.0
-            self.thresholds[k] = float(min(cut, 0.95))
+            self.thresholds[k] = float(min(cut, HIGHEST))
 
     def accepts(self, x: np.ndarray) -> np.ndarray:
         if not len(x):
             return np.zeros(0, dtype=bool)
-        limit = np.array([self.thresholds[k] for k in range(3)])
+        limit = np.array([self.thresholds[k] for k in range(FAMILIES)])
         return self.probability(x) >= limit[family(x)]
 
 
+#: Families of candidates, each with a threshold of its own.
+FAMILIES = 4
+
+
 def family(x: np.ndarray) -> np.ndarray:
-    """0: lower-case and digits; 1: with capitals; 2: with signs."""
+    """0: lower-case and digits; 1: with capitals; 2: with signs; 3: under ``LEAST`` characters."""
     inside = x[:, BEFORE : BEFORE + INSIDE]
     upper = ((inside >= 0x41) & (inside <= 0x5A)).any(axis=1)
-    sign = np.isin(inside, np.frombuffer(b"+/_.=-", dtype=np.uint8)).any(axis=1)
-    return np.where(sign, 2, np.where(upper, 1, 0))
+    sign = ((inside > 0) & ~(_DIGIT | _LETTER)[inside]).any(axis=1)
+    short = inside[:, LEAST - 1] == 0
+    return np.where(short, 3, np.where(sign, 2, np.where(upper, 1, 0)))
 
 
 def made_findings(count: int, seed: int = 5) -> tuple[list[bytes], np.ndarray]:
@@ -220,32 +294,68 @@ def made_findings(count: int, seed: int = 5) -> tuple[list[bytes], np.ndarray]:
     def pick(alphabet: str, n: int) -> str:
         return "".join(rng.choice(list(alphabet), n))
 
-    lower, alnum = string.ascii_lowercase, string.ascii_letters + string.digits
+    lower, upper, digits, hexes = string.ascii_lowercase, string.ascii_uppercase, string.digits, "0123456789abcdef"
+    alnum = upper + lower + digits
     word = lambda: pick(lower, int(rng.integers(2, 9)))
+    some = lambda low, high: int(rng.integers(low, high))
+
+    def prose() -> str:
+        # syllables, so that encoded text has the letters of prose
+        return " ".join("".join(pick("bcdfghlmnprstvw", 1) + pick("aeiou", 1) + pick("nrst", some(0, 2)) for _ in range(some(1, 4))) for _ in range(some(4, 9)))
+
+    def password() -> str:
+        parts = [pick("!@#$%^&*?", some(1, 3)), pick(digits, some(1, 4)), pick(upper, some(1, 3)), pick(lower, some(2, 6)), pick("!@#$%^&*?", 1), pick(alnum, some(1, 6)), pick(digits, some(0, 3))]
+        return "".join(rng.permutation(parts))
+
+    def camel() -> str:
+        return "".join(word().title() for _ in range(some(2, 4)))
+
     secret = (
         lambda: "ghp_" + pick(alnum, 36),
-        lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24),
+        lambda: "xoxb-" + pick(digits, 12) + "-" + pick(alnum, 24),
         lambda: "sk_live_" + pick(alnum, 24),
         lambda: "eyJ" + pick(alnum + "_-", 20) + "." + pick(alnum + "_-", 40),
-        lambda: pick("0123456789abcdef", int(rng.integers(20, 64))),
-        lambda: pick(alnum + "+/", int(rng.integers(24, 44))),
-        lambda: pick(string.ascii_uppercase + string.digits, int(rng.integers(20, 32))),
+        lambda: word() + pick("_-", 1) + pick(alnum, some(20, 40)),
+        lambda: pick(alnum + "+/", some(24, 44)),
+        lambda: pick(alnum, some(16, 48)),
+        lambda: pick(lower + digits, some(20, 40)),
+        lambda: pick(lower + digits, some(24, 48)),
+        lambda: pick(upper + digits, some(20, 32)),
+        password,
+        password,
     )
     plain = (
-        lambda: ".".join(word() for _ in range(3)) + str(rng.integers(0, 99)) + ".com",
-        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(1, 13):02d}-{rng.integers(1, 29):02d}T{rng.integers(0, 24):02d}",
-        lambda: "/".join([word(), word(), word(), f"page{rng.integers(0, 999)}.html"]),
-        lambda: "_".join([word(), word(), word(), str(rng.integers(0, 999))]),
-        lambda: "-".join([word(), word(), word(), f"{rng.integers(0, 9)}.{rng.integers(0, 9)}.{rng.integers(0, 9)}"]),
-        lambda: word() + word() + word() + str(rng.integers(0, 99)),
-        lambda: word() + "=" * int(rng.integers(8, 20)) + str(rng.integers(0, 9)),
+        lambda: ".".join(word() for _ in range(3)) + str(some(0, 99)) + ".com",
+        lambda: f"{some(1990, 2030)}-{some(1, 13):02d}-{some(1, 29):02d}T{some(0, 24):02d}",
+        lambda: "/".join([word(), word(), word(), f"page{some(0, 999)}.html"]),
+        lambda: "_".join([word(), word(), word(), str(some(0, 999))]),
+        lambda: "-".join([word(), word(), word(), f"{some(0, 9)}.{some(0, 9)}.{some(0, 9)}"]),
+        lambda: word() + word() + word() + str(some(0, 99)),
+        lambda: word() + "=" * some(8, 20) + str(some(0, 9)),
+        lambda: "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)),
+        lambda: "-".join(pick(hexes, n) for n in (8, 4, 4, 4, 12)).upper(),
+        lambda: pick(hexes, some(16, 24)),
+        lambda: pick(hexes.upper(), int(rng.choice([16, 32, 40, 64]))),
+        lambda: base64.b64encode(prose().encode()).decode(),
+        lambda: base64.b64encode(prose().capitalize().encode()).decode()[:48],
+        lambda: f"{word()}.{word()}{some(0, 99)}@{word()}{some(0, 9)}.{word()}.com",
+        lambda: f"{word()}{some(0, 99)}@{word()}.org",
+        lambda: camel() + str(some(0, 99)),
+        lambda: camel() + "." + camel() + str(some(0, 9)),
+        lambda: f"{word()}?{word()}={some(0, 99)}&{word()}={some(0, 9)}",
+        lambda: f"{pick(upper, 2)}-{pick(upper, 1)}{some(100, 999)}{pick(upper, 1)}{pick(lower, 1)}",
+        lambda: f"{word().title()}{some(0, 99)}!?!",
     )
     texts, labels = [], []
     for i in range(count):
         is_secret = i % 2 == 0
         forms = secret if is_secret else plain
-        value = forms[int(rng.integers(0, len(forms)))]()
+        form = forms[int(rng.integers(0, len(forms)))]
+        value, value_is_password = form(), form is password
         before = " ".join(word() for _ in range(4)) + str(rng.choice([" ", ' "', " key: ", "=", ": "]))
+        if value_is_password and rng.random() < 0.5:
+            before += str(rng.choice([";", " ", ","])) + str(rng.choice(["Password=", "pwd=", "PASS=", "pass: ", "Passwort="]))
+        value = value if len(value) <= INSIDE else value[some(0, len(value) - INSIDE + 1) :][:INSIDE]
         texts.append(f"{before}\x00{value}\x00 {word()} {word()}".encode())
         labels.append(float(is_secret))
     return texts, np.array(labels)
@@ -254,6 +364,7 @@ def made_findings(count: int, seed: int = 5) -> tuple[list[bytes], np.ndarray]:
 _FORMATS = re.compile(
     rb"(?:gh[opsur]_|github_pat_|xox[abprs]-|[sr]k_(?:live|test)_|glpat-|npm_|AIza)[A-Za-z0-9_-]{16,}|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_.-]+|A[KS]IA[A-Z0-9]{12,}"
     rb"|(?=(?:[^A-Z]*[A-Z]){3})(?=(?:[^a-z]*[a-z]){3})(?=(?:[^0-9]*[0-9]){3})[A-Za-z0-9]{24,}|(?=(?:[^0-9]*[0-9]){3})[A-Z0-9]{20,}"
+    rb"|(?=(?:[^0-9]*[0-9]){3})(?=(?:[^a-z]*[a-z]){3})[a-z0-9]{24,}"
 )
 
 
@@ -297,8 +408,9 @@ def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             for i in np.flatnonzero(label).tolist():
                 if announced := _ANNOUNCED.match(texts.data[start[i] : end[i]].tobytes()):
                     start[i] += announced.end()
-            long = end - start >= LEAST
+            long = end - start >= LEAST_MIXED
             start, end, label = start[long], end[long], label[long]
+            end = np.minimum(end, start + INSIDE)
             sure = label | ~np.fromiter((known_format(texts.data[a:b].tobytes()) for a, b in zip(start.tolist(), end.tolist(), strict=True)), dtype=bool, count=len(start))
             start, end, label = start[sure], end[sure], label[sure]
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in surroundings(texts, start, end)], type=pa.binary()), pa.array(label)], names=["seen", "secret"])
@@ -309,7 +421,7 @@ def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     found = picked.mapInArrow(gather, "seen binary, secret boolean").distinct()
     order = F.xxhash64("seen")
     both = [x for label in (True, False) for x in found.where(F.col("secret") == label).orderBy(order, "seen").limit(fit_findings).collect()]
-    marked, labels = made_findings(2 * FIT_FINDINGS // 3)
+    marked, labels = made_findings(MADE_FINDINGS)
     seen = [_seen(marked)]
     if both:
         own = np.array([np.frombuffer(x["seen"], dtype=np.uint8) for x in both])
@@ -331,15 +443,33 @@ def fit_network(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     return network
 
 
+def found_by(network: CharacterNetwork, texts: Texts, base: Spans) -> tuple[np.ndarray, np.ndarray]:
+    """Spans outside of ``base`` that the network takes for secrets; none overlaps another."""
+    start, end = candidates(texts, base)
+    owner, low, high = windows(start, end)
+    good = network.accepts(surroundings(texts, low, high))
+    owner, low, high = owner[good], low[good], high[good]
+    first = np.flatnonzero(np.diff(owner, prepend=-1))
+    if not len(first):
+        return low, high
+    low, high = low[first], np.maximum.reduceat(high, first)
+    apart = low >= np.maximum.accumulate(np.concatenate([[0], high[:-1]]))
+    return low[apart], high[apart]
+
+
 def scan_secrets(documents: DataFrame, network: CharacterNetwork, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """All spans of secrets in every whole text.
 
-    Base patterns first; the network then judges every candidate that overlaps none of their
-    spans and adds those it accepts as kind ``model``.
+    Base patterns first; the network then judges every candidate outside of their spans, also
+    what is left of a run beside one, and adds those it accepts as kind ``model``.  A candidate
+    longer than it sees is judged in windows that overlap by half, and the span covers those
+    accepted.  Values of letters alone under 20 characters, of small letters and digits under
+    ``LEAST``, and with blanks, quotes or brackets inside are no candidates.
 
     Returns ``id_column, spans``, one row per input row: an array of ``(kind, start, end)`` in
     code points, end exclusive, by start and then kind as listed in :data:`KINDS`.  A NULL or
-    empty text has none; a NULL id is kept; other columns are ignored.
+    empty text has none; very long texts are read whole; a NULL id is kept, repeated rows give
+    repeated results, an empty table none; other columns are ignored.
     """
     kind_type = documents.schema[id_column].dataType.simpleString()
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -347,13 +477,10 @@ def scan_secrets(documents: DataFrame, network: CharacterNetwork, *, id_column:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches, "text"):
             base = base_spans(texts)
-            start, end = candidates(texts)
-            open_ = free(start, end, base)
-            start, end = start[open_], end[open_]
-            good = network.accepts(surroundings(texts, start, end))
-            all_start = np.concatenate([base.start, start[good]])
-            all_end = np.concatenate([base.end, end[good]])
-            kind = np.concatenate([base.kind, np.full(int(good.sum()), 3)])
+            start, end = found_by(network, texts, base)
+            all_start = np.concatenate([base.start, start])
+            all_end = np.concatenate([base.end, end])
+            kind = np.concatenate([base.kind, np.full(len(start), 3)])
             by = np.lexsort((kind, all_start))
             all_start, all_end, kind = all_start[by], all_end[by], kind[by]
             points = np.concatenate([[0], np.cumsum((texts.data & 0xC0) != 0x80)])

@@ -1,5 +1,7 @@
+import base64
 import random
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 from plumbspark.llm.automata import Trie, near_terms
 from plumbspark.llm.pii import KINDS, Feistel, _iban_remainder, luhn_digit, pseudonymize, pseudonyms
 from plumbspark.llm.secret_scan import KINDS as SECRET_KINDS
-from plumbspark.llm.secret_scan import _seen, fit_network, made_findings, scan_secrets
+from plumbspark.llm.secret_scan import _seen, fit_network, made_findings, scan_secrets, windows
 from plumbspark.llm.toxicity import fit_toxicity, held_out, score_toxicity
 
 
@@ -122,6 +124,74 @@ def test_lone_keys_that_outnumber_announced_ones(llm):
     assert np.mean([got[i] for i, _ in plain]) < 0.05
 
 
+def planted(rng):
+    """Values of formats that the training never makes, some of them secrets, in prose; and where each stands."""
+    low, up, num = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    word = lambda: pick(low, rng.randint(3, 8))
+    sentence = lambda: " ".join(rng.choice(["the", "of", "report", "was", "found", "near", "river", "early", "council", "and"]) for _ in range(rng.randint(5, 9)))
+    secret = {
+        "google": lambda: "AIza" + pick(low + up + num + "_-", 35),
+        "gitlab": lambda: "glpat-" + pick(low + up + num + "_-", 20),
+        "npm": lambda: "npm_" + pick(low + up + num, 36),
+        "aws": lambda: pick(low + up + num + "+/", 40),
+        "mail": lambda: "SG." + pick(low + up + num + "_-", 22) + "." + pick(low + up + num + "_-", 43),
+        "path": lambda: f"https://{word()}.example.com/{word()}/{word()}/{word()}/ghp_{pick(low + up + num, 36)}/{word()}/{word()}.html",
+        "password": lambda: f"Server={word()};Password={pick(up, 1)}{pick(low, 3)}@{pick(num, 2)}!{pick(low, 3)}{pick(num, 2)};",
+    }
+    clean = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))),
+        "digest": lambda: pick(num + "ABCDEF", 40),
+        "hex": lambda: pick(num + "abcdef", 20),
+        "encoded": lambda: base64.b64encode(sentence().encode()).decode(),
+        "mail": lambda: f"{word()}.{word()}{rng.randint(1, 99)}@{word()}-{word()}{rng.randint(1, 9)}.co.uk",
+        "stamp": lambda: f"20{pick(num, 2)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}T1{rng.randint(0, 9)}:30:00Z",
+        "link": lambda: f"https://www.{word()}.org/{word()}/{word()}-{word()}-{word()}/{rng.randint(1, 9999)}.html?ref={word()}",
+        "name": lambda: f"{word().title()}{word().title()}{rng.randint(1, 99)}",
+    }
+    rows = []
+    for kind, forms in (("secret", secret), ("clean", clean)):
+        for name, form in forms.items():
+            for _ in range(60):
+                rows.append((len(rows), f"{sentence()} {form()} {sentence()}", kind, name))
+    return rows
+
+
+def test_unseen_formats(llm, small):
+    rows = planted(random.Random(12))
+    docs = llm.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if s.kind == "model"] for r in scan_secrets(docs, fit_network(small)).collect()}
+    share = {}
+    for i, _, kind, name in rows:
+        share.setdefault((kind, name), []).append(bool(got[i]))
+    share = {k: np.mean(v) for k, v in share.items()}
+    # a password of one word, digits and another looks much like an address of mail; the rest are sure
+    assert all(x >= (0.5 if name == "password" else 0.9) for (kind, name), x in share.items() if kind == "secret"), share
+    assert all(x <= 0.1 for (kind, _), x in share.items() if kind == "clean"), share
+    found, wrong = (sum(60 * x for (kind, _), x in share.items() if kind == k) for k in ("secret", "clean"))
+    assert found / (7 * 60) > 0.9 and found / (found + wrong) > 0.95, share
+    # in a long path the key is found, not the path
+    texts = {r[0]: r[1] for r in rows if r[3] == "path"}
+    assert np.mean([any(texts[i][s.start : s.end].startswith("ghp_") and s.end - s.start == 40 for s in got[i]) for i in texts]) > 0.9
+
+
+def test_windows_cover_long_values():
+    start, end = np.array([0, 100, 300]), np.array([48, 149, 500])
+    owner, low, high = windows(start, end)
+    for k in range(3):
+        mine = owner == k
+        assert low[mine].min() == start[k] and high[mine].max() == end[k]
+        assert (high[mine] - low[mine] == 48).all() and (np.diff(low[mine]) <= 24).all()
+
+
+def test_the_rest_of_a_run_beside_a_base_span_is_judged(llm, small):
+    key = "ghp_Zk3TqP9sLw2XvB7nMd5RyC8fHj4GtA1eUoQi"
+    digest = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    docs = llm.createDataFrame([(1, f"see {key}/{digest} now")], "doc_id long, text string")
+    spans = [(s.kind, s.start, s.end) for s in scan_secrets(docs, fit_network(small)).first().spans]
+    assert ("hex", 45, 85) in spans and any(k == "model" and a == 4 for k, a, _ in spans)
+
+
 def test_network_without_findings(empty, llm):
     network = fit_network(empty)
     assert scan_secrets(llm.createDataFrame(SECRETS[:1], "doc_id long, text string"), network).count() == 1
