@@ -19,6 +19,9 @@ from plumbspark.llm.text import LOWER, Runs, Texts, blocks, codes, runs
 #: Words of one key that are compared in one go; larger keys are dealt out in tiles.
 TILE = 4096
 
+#: Words, each under all its keys, that a task compares with each other.
+TASK_WORDS = 12_500
+
 #: Code points of word pairs that are compared at a time.
 PAIR_POINTS = 1 << 23
 
@@ -208,7 +211,9 @@ def near_words(words: DataFrame) -> DataFrame:
     met = counted.select("word", "n", *by, own, F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("with"))
     met = met.select("word", "n", *by, "tile", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
     keys = [*by, "row_tile", "column_tile"]
-    grouped = met.repartition(*keys).sortWithinPartitions(*keys, "tile")
+    # comparing costs far more than the bytes that are read, by which tasks would be joined
+    tasks = min(100_000, -(-words.count() // TASK_WORDS) + 1)
+    grouped = met.repartition(tasks, *keys).sortWithinPartitions(*keys, "tile")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = pd.DataFrame()
