@@ -143,6 +143,8 @@ def pack_documents(documents: DataFrame, tokenizer_path: str, *, id_column: str
     if any(x * window < 1 for x in (targets or {}).values()) or sum((targets or {}).values()) > 1 + 1e-9:
         raise ValueError("each target needs one token a window, and their sum is 1 at most")
 
+    WordTokenizer(tokenizer_path)
+
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(tokenizer_path)
         narrow = tokenizer.library.get_vocab_size() <= 1 << 16 and end_id < 1 << 16

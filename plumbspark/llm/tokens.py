@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -45,10 +46,27 @@ def _byte_letters() -> dict[int, int]:
 _BYTE_LETTERS = _byte_letters()
 
 
+#: The normalizer and the splitter that pre_tokens() follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def _described(component: object) -> object:
+    return None if component is None else json.loads(component.__getstate__())
+
+
 class WordTokenizer:
     """A ``tokenizers`` file whose splitter never joins letters, digits and symbols.
 
-    Holds for splitters of the form contractions, letters, single digits, other symbols.
+    Its normalizer makes small letters of white space and text, and its splitter takes contractions,
+    letters, single digits, other symbols; of a file with others ValueError is raised, as its
+    texts would be cut elsewhere.
     Texts are cut at white space and between letters, digits and ASCII symbols, where such a
     splitter cuts as well; anything in doubt (apostrophes, other scripts, combining marks)
     stays in one piece, which the library then splits.  A text that holds a special string
@@ -60,6 +78,8 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        if _described(self.library.normalizer) != _NORMALIZER or _described(self.library.pre_tokenizer) != _SPLITTER:
+            raise ValueError(f"{path} normalizes or splits texts in another way than pre-tokens are cut")
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
@@ -129,8 +149,9 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, *, id_column: str =
     document are never made.  The join stays within a block of documents: no shuffle.
 
     Returns ``id_column, n_bytes, n_tokens, over_limit``, one row per input row.  A NULL text
-    counts as empty; a NULL id is kept; repeated rows give repeated results; other columns
-    are ignored; an empty table gives an empty result.
+    counts as empty, and very long ones are read whole; a NULL id is kept; repeated rows give
+    repeated results; other columns are ignored; an empty table gives an empty result.
+    ValueError is raised for a file that :class:`WordTokenizer` doesn't fit.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +173,7 @@ def count_tokens(documents: DataFrame, tokenizer_path: str, *, id_column: str =
             n_bytes = np.diff(texts.offsets)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(n_bytes), pa.array(total.astype(np.int64)), pa.array(total > limit)], names=[id_column, "n_bytes", "n_tokens", "over_limit"])
 
+    WordTokenizer(tokenizer_path)
     kind = documents.schema[id_column].dataType.simpleString()
     picked = documents.select(F.col(id_column), F.col(text_column).cast("string").alias("text"))
     if id_column == "text":

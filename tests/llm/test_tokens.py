@@ -97,3 +97,11 @@ def test_packing_keeps_large_and_missing_ids(llm):
     assert sum(r.length for r in done) == sum(n for _, n in expected)
     with pytest.raises(ValueError, match="whole numbers"):
         pack_documents(docs.withColumn("doc_id", docs.doc_id.cast("string")), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def test_other_tokenizers_are_refused(llm, small):
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    with pytest.raises(ValueError, match="another way"):
+        count_tokens(small, other)
+    with pytest.raises(ValueError, match="another way"):
+        pack_documents(small, other)
