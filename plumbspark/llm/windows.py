@@ -16,6 +16,12 @@ from plumbspark.llm.text import Runs, Texts, blocks, codes, mixed, words
 #: Text bytes of a part: what one task holds at a time, beside its longest text.
 PART_BYTES = 6 << 20
 
+#: Rows that a part, or a bucket, sends at most; with more buckets or parts these come in ranges that are split on the way.
+RANGES = 2048
+
+#: Bytes of hashes that are split at a time.
+SPLIT_BYTES = 32 << 20
+
 #: Odd, so that no bit of a window's first word is lost; words are mixed before and windows after.
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -51,6 +57,42 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, dtype=np.uint8).reshape(8, -1).T).view(">u8").astype(np.uint64).ravel()
 
 
+def _cuts(number: np.ndarray) -> list[tuple[int, int, int]]:
+    """Begin, end and value of each run of equal numbers."""
+    edge = np.flatnonzero(np.diff(number, prepend=-1)).tolist()
+    return list(zip(edge, [*edge[1:], *([len(number)] if edge else [])], number[edge].tolist(), strict=True))
+
+
+def sent_rows(part: int, value: np.ndarray, rank: np.ndarray, buckets: int, per_range: int) -> pd.DataFrame:
+    """``to, part, hashes, ids``: the hashes of one part by bucket, or by range of ``per_range`` buckets.
+
+    A bucket's hashes are sent as quotients by the number of buckets, a range's as they are.
+    """
+    bucket = value % np.uint64(buckets)
+    by = np.argsort(bucket, kind="stable")
+    value, rank, to = value[by], rank[by], (bucket[by] // np.uint64(per_range)).astype(np.int64)
+    shown = value // np.uint64(buckets) if per_range == 1 else value
+    rows = [(k, part, _packed(shown[a:b]), _packed(rank[a:b].view(np.uint64))) for a, b, k in _cuts(to)]
+    return pd.DataFrame(rows, columns=["to", "part", "hashes", "ids"])
+
+
+def _split(batches: Iterator[pa.RecordBatch], flush) -> Iterator[pa.RecordBatch]:
+    """``flush`` of all columns' numbers, a bounded number of bytes at a time."""
+    kept: list[list[np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            numbers = [_unpacked(x) if isinstance(x, bytes) else x for x in row]
+            count = max(len(x) for x in numbers if isinstance(x, np.ndarray))
+            kept.append([x if isinstance(x, np.ndarray) else np.full(count, x, dtype=np.uint64) for x in numbers])
+            size += 8 * count * len(numbers)
+            if size > SPLIT_BYTES:
+                yield flush(*[np.concatenate(x) for x in zip(*kept, strict=True)])
+                kept, size = [], 0
+    if kept:
+        yield flush(*[np.concatenate(x) for x in zip(*kept, strict=True)])
+
+
 def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 13, part_bytes: int = PART_BYTES) -> DataFrame:
     """Remove from every text the words of windows that also start in a document with a smaller id.
 
@@ -62,6 +104,9 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
        not start first.
     4. Each part marks the windows that were answered or that an earlier document of the
        part holds, merges overlapping windows into maximal intervals and removes them.
+    There are as many buckets as parts.  Where they are more than ``RANGES``, a part sends a row
+    for each range of buckets and a bucket one for each range of parts, which are split on
+    the way: rows grow with the parts, not with their square.
     Windows are judged on the input.  Windows count as equal when their 64-bit hashes are.
 
     Returns ``id_column, n_words, n_removed, kept_text, removed``: kept words joined by one
@@ -74,8 +119,10 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
     picked = documents.select(*rank_and_gap(integer_id(documents, id_column)), F.col(text_column).cast("string").alias("text"))
     size = picked.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = size // part_bytes + 1
-    dealt = picked.withColumn("part", F.pmod(F.xxhash64("rank", "text"), F.lit(parts))).repartition(int(min(parts, 100_000)), "part")
-    buckets = np.uint64(parts)
+    buckets, tasks = np.uint64(parts), int(min(parts, 100_000))
+    per_range = int(-(-parts // RANGES))
+    ranges = int(-(-parts // per_range))
+    dealt = picked.withColumn("part", F.pmod(F.xxhash64("rank", "text"), F.lit(parts))).repartition(tasks, "part")
 
     def order(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.sort_values("rank", kind="stable")
@@ -96,38 +143,58 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
         return value, np.concatenate(ranks)[at]
 
     def send(rows: pd.DataFrame) -> pd.DataFrame:
-        value, rank = smallest(order(rows))
-        bucket = value % buckets
-        by = np.argsort(bucket, kind="stable")
-        value, rank = value[by], rank[by]
-        edge = np.flatnonzero(np.diff(bucket[by].astype(np.int64), prepend=-1))
-        ends = [*edge[1:].tolist(), len(value)]
-        some = list(zip(edge.tolist(), ends, strict=False))
-        return pd.DataFrame({"bucket": bucket[by][edge].astype(np.int64), "part": np.full(len(edge), rows["part"].iloc[0], dtype=np.int64), "hashes": [_packed(value[a:b] // buckets) for a, b in some], "ids": [_packed(rank[a:b].view(np.uint64)) for a, b in some]})
+        return sent_rows(int(rows["part"].iloc[0]), *smallest(order(rows)), int(buckets), per_range)
+
+    def to_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(_: np.ndarray, part: np.ndarray, value: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
+            by = np.lexsort((value, value % buckets))
+            part, value, rank = part[by], value[by], rank[by]
+            rows = [(k, _packed(part[a:b]), _packed(value[a:b] // buckets), _packed(rank[a:b])) for a, b, k in _cuts((value % buckets).astype(np.int64))]
+            columns = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], type=pa.int64()), *[pa.array(c, type=pa.binary()) for c in columns[1:]]], names=["to", "parts", "hashes", "ids"])
+
+        return _split(batches, flush)
 
     def answer(rows: pd.DataFrame) -> pd.DataFrame:
         hashes = [_unpacked(x) for x in rows["hashes"]]
         value = np.concatenate(hashes)
         rank = np.concatenate([_unpacked(x).view(np.int64) for x in rows["ids"]])
-        origin = np.repeat(np.arange(len(rows)), [len(x) for x in hashes])
+        if "parts" in rows:
+            part = np.concatenate([_unpacked(x) for x in rows["parts"]]).astype(np.int64)
+        else:
+            part = np.repeat(rows["part"].to_numpy(), [len(x) for x in hashes])
         by = np.argsort(value, kind="stable")
-        value, rank, origin = value[by], rank[by], origin[by]
+        value, rank, part = value[by], rank[by], part[by]
         edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
         least = np.repeat(np.minimum.reduceat(rank, edge), np.diff(np.append(edge, len(value))))
         late = rank > least
-        value, origin = value[late], origin[late]
-        by = np.argsort(origin, kind="stable")
-        value, origin = value[by], origin[by]
-        where = np.searchsorted(origin, np.arange(len(rows) + 1))
-        out = [(part, bucket, _packed(value[a:b])) for part, bucket, a, b in zip(rows["part"], rows["bucket"], where[:-1], where[1:], strict=True) if b > a]
-        return pd.DataFrame(out, columns=["part", "bucket", "hashes"])
+        value, part = value[late], part[late]
+        by = np.argsort(part, kind="stable")
+        value, part, bucket = value[by], part[by], int(rows["to"].iloc[0])
+        if per_range == 1:
+            out = [(k, bucket, _packed(value[a:b])) for a, b, k in _cuts(part)]
+            return pd.DataFrame(out, columns=["part", "bucket", "hashes"])
+        whole = value * buckets + np.uint64(bucket)
+        out = [(k, _packed(part[a:b].view(np.uint64)), _packed(whole[a:b])) for a, b, k in _cuts(part // per_range)]
+        return pd.DataFrame(out, columns=["range", "parts", "hashes"])
+
+    def to_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(_: np.ndarray, part: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+            by = np.lexsort((value, part))
+            part, value = part[by].astype(np.int64), value[by]
+            rows = [(k, _packed(value[a:b])) for a, b, k in _cuts(part)]
+            # no bucket: the hashes are whole
+            columns = [pa.array([k for k, _ in rows], type=pa.int64()), pa.array([-1] * len(rows), type=pa.int64()), pa.array([x for _, x in rows], type=pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "bucket", "hashes"])
+
+        return _split(batches, flush)
 
     def remove(rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame({"rank": [], "gap": [], "n_words": [], "n_removed": [], "kept_text": [], "removed": []})
         frame = order(rows)
         # a bucket's hashes come as their quotients by the number of buckets
-        late = [_unpacked(x) * buckets + np.uint64(bucket) for bucket, x in zip(answers["bucket"], answers["hashes"], strict=True)]
+        late = [_unpacked(x) * buckets + np.uint64(bucket) if bucket >= 0 else _unpacked(x) for bucket, x in zip(answers["bucket"], answers["hashes"], strict=True)]
         late = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *late]))
         value, rank = smallest(frame)
         out = []
@@ -152,8 +219,13 @@ def drop_repeated_windows(documents: DataFrame, *, id_column: str = "doc_id", te
         done.insert(1, "gap", frame["gap"].to_numpy())
         return done
 
-    sent = dealt.groupBy("part").applyInPandas(send, "bucket bigint, part bigint, hashes binary, ids binary")
-    answers = sent.repartition(int(min(parts, 100_000)), "bucket").groupBy("bucket").applyInPandas(answer, "part bigint, bucket bigint, hashes binary")
+    sent = dealt.groupBy("part").applyInPandas(send, "to bigint, part bigint, hashes binary, ids binary")
+    if per_range == 1:
+        answers = sent.repartition(tasks, "to").groupBy("to").applyInPandas(answer, "part bigint, bucket bigint, hashes binary")
+    else:
+        split = sent.repartition(ranges, "to").mapInArrow(to_buckets, "to bigint, parts binary, hashes binary, ids binary")
+        found = split.repartition(tasks, "to").groupBy("to").applyInPandas(answer, "range bigint, parts binary, hashes binary")
+        answers = found.repartition(ranges, "range").mapInArrow(to_parts, "part bigint, bucket bigint, hashes binary")
     done = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(remove, "rank bigint, gap boolean, n_words bigint, n_removed bigint, kept_text string, removed array<array<int>>")
     spans = F.transform("removed", lambda x: F.struct(x[0].alias("start"), x[1].alias("end")))
     return done.select(F.when(~F.col("gap"), F.col("rank")).cast(kind).alias(id_column), "n_words", "n_removed", "kept_text", spans.alias("removed"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from plumbspark.llm.components import component_roots
 from plumbspark.llm.simhash import keep_first_of_group, near_copies, simhash_components
-from plumbspark.llm.windows import drop_repeated_windows
+from plumbspark.llm.windows import drop_repeated_windows, sent_rows
 
 
 def brute_windows(rows, width=13):
@@ -38,6 +38,30 @@ def test_windows(llm, small, odd, part_bytes):
     assert all(sum(e - s for s, e in r.removed) == r.n_removed for r in got)
 
 
+@pytest.mark.parametrize("ranges", [2048, 5, 1])
+def test_ranges_of_buckets_change_nothing(llm, small, odd, monkeypatch, ranges):
+    from plumbspark.llm import windows
+
+    monkeypatch.setattr(windows, "RANGES", ranges)
+    docs = llm.createDataFrame(small.select("doc_id", "text").limit(60).collect(), "doc_id long, text string")
+    docs = docs.unionByName(docs.selectExpr("doc_id + 5000", "text").toDF("doc_id", "text")).unionByName(odd.selectExpr("doc_id + 100000 AS doc_id", "text"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = drop_repeated_windows(docs, part_bytes=10_000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=repr) == brute_windows(rows)
+
+
+def test_rows_that_a_part_sends_are_bounded():
+    rng = np.random.default_rng(9)
+    value = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    rank = np.arange(len(value))
+    parts = 10_000
+    each = sent_rows(3, value, rank, parts, 1)
+    assert len(each) > 3000 and each["to"].max() < parts
+    ranged = sent_rows(3, value, rank, parts, -(-parts // 64))
+    assert len(ranged) <= 64 and set(ranged["part"]) == {3}
+    assert sum(map(len, ranged["hashes"])) == 8 * len(value)
+
+
 def test_windows_of_clashing_columns_and_nothing(odd, empty):
     assert drop_repeated_windows(odd).count() == odd.count()
     assert drop_repeated_windows(empty).count() == 0
