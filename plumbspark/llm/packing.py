@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
-from math import lcm
+from functools import cached_property, lru_cache
+from math import ceil, lcm
 
 import numpy as np
 import pandas as pd
@@ -37,43 +39,52 @@ class Schedule:
     """
 
     def __init__(self, totals: list[int], shares: list[Fraction], window: int) -> None:
-        self.window, self.total = window, sum(totals)
+        self.window, self.total, self.totals = window, sum(totals), totals
         self.sequences = -(-self.total // window)
-        #: First position and, for each number of queues, the integers of ``(a * v + b) // c``.
-        self.phases: list[tuple[Fraction, list[tuple[int, int, int]]]] = []
-        used = [Fraction(0)] * len(totals)
-        at = Fraction(0)
-        while at < self.total:
-            left = [q for q in range(len(totals)) if used[q] < totals[q]]
-            weight = {q: shares[q] for q in left}
-            if not sum(weight.values()):
-                weight = {q: Fraction(totals[q]) for q in left}
-            scale = sum(weight.values())
-            slope = [weight.get(q, Fraction(0)) / scale for q in range(len(totals))]
-            step = min((totals[q] - used[q]) / slope[q] for q in left if slope[q])
-            lines, sum_slope, sum_used = [(0, 0, 1)], Fraction(0), Fraction(0)
-            for q in range(len(totals)):
-                sum_slope += slope[q]
-                sum_used += used[q]
-                rest = sum_used - sum_slope * at
-                c = lcm(sum_slope.denominator, rest.denominator)
-                lines.append((int(sum_slope * c), int(rest * c), c))
-            self.phases.append((at, lines))
-            for q in left:
-                used[q] += slope[q] * step
-            at += step
+        scale = lcm(1, *(x.denominator for x in shares))
+        #: Shares as whole numbers, and the queues in the order in which they run out.
+        self.weights = [int(x * scale) for x in shares]
+        self.order = sorted((q for q, n in enumerate(totals) if n and self.weights[q]), key=lambda q: Fraction(totals[q], self.weights[q]))
+        self.last = [q for q, n in enumerate(totals) if n and not self.weights[q]]
+        # until the next queue runs out, those left share what comes by weight
+        gone, weight, at = 0, sum(self.weights[q] for q in self.order), Fraction(0)
+        #: Of each phase the first position, the tokens of queues that ran out before, and the weight of those left.
+        self.phases: list[tuple[int, int, int]] = []
+        for q in self.order:
+            self.phases.append((ceil(at), gone, weight))
+            at = gone + weight * Fraction(totals[q], self.weights[q])
+            gone += totals[q]
+            weight -= self.weights[q]
+        if self.last:
+            # queues without a share come after all others, in proportion to their tokens
+            self.phases.append((gone, gone, sum(totals[q] for q in self.last)))
+
+    @cached_property
+    def _begins(self) -> list[int]:
+        return [at for at, _, _ in self.phases]
+
+    @lru_cache(maxsize=64)  # noqa: B019
+    def _lines(self, queues: int) -> list[tuple[int, int]]:
+        """For each phase the tokens of those of the first ``queues`` that ran out, and the weight of the others."""
+        gone, weight, lines = 0, sum(self.weights[q] for q in self.order if q < queues), []
+        for q in self.order:
+            lines.append((gone, weight))
+            if q < queues:
+                gone += self.totals[q]
+                weight -= self.weights[q]
+        if self.last:
+            lines.append((gone, sum(self.totals[q] for q in self.last if q < queues)))
+        return lines
 
     def served(self, queues: int, sequence: int) -> int:
         """Tokens that the first ``queues`` queues have got before ``sequence`` begins."""
-        v = min(sequence * self.window, self.total)
-        low, high = 0, len(self.phases)
-        while high - low > 1:
-            middle = (low + high) // 2
-            low, high = (middle, high) if self.phases[middle][0] <= v else (low, middle)
         if not self.phases:
             return 0
-        a, b, c = self.phases[low][1][queues]
-        return (a * v + b) // c
+        v = min(sequence * self.window, self.total)
+        k = bisect_right(self._begins, v) - 1
+        _, before, weight = self.phases[k]
+        gone, own = self._lines(queues)[k]
+        return gone + own * (v - before) // weight
 
     def cuts(self, queue: int, begin: int, end: int) -> tuple[int, list[int], list[int]]:
         """For the queue's tokens ``begin..end``: the first sequence that takes some, then for

@@ -1,4 +1,6 @@
+import pickle
 import random
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -105,3 +107,20 @@ def test_other_tokenizers_are_refused(llm, small):
         count_tokens(small, other)
     with pytest.raises(ValueError, match="another way"):
         pack_documents(small, other)
+
+
+def test_schedule_of_many_queues():
+    rng = random.Random(4)
+    totals = [rng.randint(1, 10**9) for _ in range(4096)]
+    shares = [Fraction(rng.randint(1, 999), 4096 * 1000) for _ in totals]
+    began = time.perf_counter()
+    schedule = Schedule(totals, shares, 4096)
+    queue = 2000
+    first, before, within = schedule.cuts(queue, 10**6, 10**6 + 1000)
+    assert time.perf_counter() - began < 5
+    assert len(pickle.dumps(schedule)) < 1 << 20
+    assert schedule.served(4096, schedule.sequences) == sum(totals)
+    assert before[0] <= 10**6 < before[1] and before[-1] >= 10**6 + 1000
+    for sequence in (0, 1, 1000, schedule.sequences // 2):
+        taken = [schedule.served(q, sequence) for q in range(0, 4097, 512)]
+        assert taken == sorted(taken) and taken[-1] == sequence * 4096
