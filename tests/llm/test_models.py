@@ -263,3 +263,59 @@ def test_pseudonyms_of_a_table(llm, odd, empty):
     same = pseudonymize(odd, b"key")
     assert same.count() == odd.count() and same.columns == [*odd.columns, "pii"]
     assert pseudonymize(empty, b"key").count() == 0
+
+
+def slow_features(text, lexicon, spelled):
+    """The features of one text, word by word on strings; ``spelled`` keeps what brute distances found."""
+    from plumbspark.llm import toxicity as t
+
+    inside = {chr(i) for i in range(0x80) if t._INSIDE[i]}
+    words, at = [], 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end] in inside or ord(text[end]) >= 0x80 and t._INSIDE[text[end].encode()[0]]):
+            end += 1
+        if end > at:
+            words.append((at, end))
+        at = max(end, at + 1)
+    names = ["".join(c.lower() if c.isascii() else c for c in text[a:b]) for a, b in words]
+    sums = dict.fromkeys(t.FEATURES, 0.0)
+    for k, name in enumerate(names):
+        word = t.normal(name)
+        value, misspelled = lexicon.weights.get(word, 0.0), False
+        if value == 0 and len(word) > 3 and word not in lexicon.known:
+            if word not in spelled:
+                spelled[word] = max([lexicon.weights[x] for x in lexicon.fuzzy if abs(len(x) - len(word)) <= lexicon.distance and distance(x, word) <= lexicon.distance], default=0.0)
+            value, misspelled = spelled[word], spelled[word] > 0
+        if value <= 0:
+            continue
+        low, high = max(0, k - t.CONTEXT_WORDS), min(len(words), k + t.CONTEXT_WORDS + 1)
+        around = names[low:high]
+        before = text[max(0, words[low][0] - 1) : words[k][0]]
+        after = text[words[k][1] : words[high - 1][1] + 1]
+        quoted = all(any(x in t._QUOTES for x in re.sub(r"\w['’]\w", "", side)) for side in (before, after))
+        if quoted or any(x in t._REPORTS for x in around[max(0, k - low - 3) : k - low]):
+            sums["quoted"] += value
+            continue
+        sums["misspelled" if misspelled else "abuse"] += value
+        if any(x in t._ADDRESS for x in around):
+            sums["addressed"] += value
+    sums["density"] = (sums["abuse"] + sums["misspelled"]) / max(len(words), 1)
+    return [np.log1p(sums[x]) for x in t.FEATURES]
+
+
+def test_features_as_word_by_word(llm, small, toxic):
+    _, _, model = toxic
+    terms = sorted(model.lexicon.fuzzy)[:6]
+    made = [f'{a} you {t}' for t in terms for a in ("", "They said", "He's a 'fine' one,")]
+    made += [f'the "{t[:-1]}x" and {t.upper()}!! x{t} {t[1:]} {t}{t[-1]}' for t in terms] + [f"«{t}» is what they called it, {t}s" for t in terms]
+    rows = [(i, t) for i, t in enumerate(made)] + [(1000 + r.doc_id, r.text) for r in small.limit(80).collect()] + [(-1, ""), (-2, None)]
+    got = {r.doc_id: r for r in score_toxicity(llm.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    spelled = {}
+    seen = np.zeros(5)
+    for i, text in rows:
+        expected = np.array(slow_features(text or "", model.lexicon, spelled))
+        assert np.allclose(got[i].hits, expected), (text, got[i].hits, expected)
+        assert np.isclose(got[i].score, 1 / (1 + np.exp(-(model.weights[0] + expected @ model.weights[1:]))))
+        seen += expected > 0
+    assert (seen > 3).all()
