@@ -41,11 +41,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens that hold the corpus' mixture of sources; a row per piece."""
     done = pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), window=4096, end_id=2)
     return done.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text: base kinds, and what the network adds to them."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     done = scan_secrets(documents, fit_network(documents))
 
@@ -61,20 +63,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole text, and whether they are more than 2048."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), limit=2048)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every whole text, whether a base rule fails it, and whether all rules keep it."""
     done = quality_cascade(_table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text with its personal data as pseudonyms, and where they are."""
     done = pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
     return done.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"), "pii")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction for every whole text, learned from labels outside the held-out fold."""
     documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(documents, _table(spark, sf_dir, "labels"))
     done = score_toxicity(documents, model)
@@ -82,20 +88,24 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every page."""
     return judge_urls(_table(spark, sf_dir, "pages"), url_rules(spark, URL_RULES))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and the smallest id that it reaches over links of four bits."""
     return simhash_components(_table(spark, sf_dir, "documents"), width=4, limit=4)
 
 
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside benchmark windows, and the items that these come from."""
     done = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), width=10)
     digest = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
     return done.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 13 words of an earlier one cover, and what is kept."""
     done = drop_repeated_windows(_table(spark, sf_dir, "documents"), width=13)
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
