@@ -1,10 +1,13 @@
 """Text files as rows, in batch and as a stream."""
 
+from types import SimpleNamespace
+
 import pytest
 from pyspark.sql import functions as F
 
 from plumbspark.operators import Rewrite, append_if_absent, classify, manifest_items, rewrite_lines
 from plumbspark.sources import number_lines, read_documents, read_lines, small_table
+from plumbspark.sources.storage import checkpoint_dir
 
 TEXTS = {"empty.txt": b"", "open.txt": b"a\r\nb", "closed.txt": b"a\n\nb\n", "long.txt": b"".join(b"line %d\n" % i for i in range(20_000))}
 
@@ -70,3 +73,13 @@ def test_small_tables_have_a_size(spark):
     assert "LocalRelation" in table._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in table.collect()] == [("a", 1, None), ("b", None, True)]
     assert small_table(spark, [], "x string").count() == 0
+
+
+def test_a_cluster_needs_a_shared_folder():
+    def session(master, folder=None):
+        context = SimpleNamespace(getConf=lambda: {"spark.checkpoint.dir": folder} if folder else {}, getCheckpointDir=lambda: folder, master=master)
+        return SimpleNamespace(sparkContext=context)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(session("spark://host:7077"))
+    assert checkpoint_dir(session("spark://host:7077", "/shared")) == "/shared"
