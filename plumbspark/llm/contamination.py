@@ -145,8 +145,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, *, id_column:
         picked = picked.withColumn(at, F.col(at).cast("string"))
     schema = T.StructType([*picked.schema.fields, *results])
 
-    strings = cut(_test_strings(benchmark, width, item_column, item_text_column))
+    strings = _test_strings(benchmark, width, item_column, item_text_column)
     n_blocks = strings.count() // block_windows + 1
+    if n_blocks > 1:
+        # read once for each block
+        strings = cut(strings)
     tables = []
     for k in range(n_blocks):
         block = strings.where(F.pmod(F.xxhash64("string"), F.lit(n_blocks)) == k).toArrow()
