@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_, or_
@@ -18,6 +18,10 @@ ANY = "*"
 EFFECTS = ("include", "exclude")
 STATUSES = ("fail", "pass", "skip")
 
+#: Probes, or pairs of prerequisites, up to which they are sent to every task instead of being shuffled.
+SENT_RULES = 100_000
+
+
 @dataclass(frozen=True)
 class Rule:
     """One check, as an expression over a row of facts.
@@ -136,10 +140,12 @@ def check_rules(
     that the entity has, and is a skip if none of those that it has applies.
 
     A document meets all probes of its path as one array, and is split once; each probe
-    that is found becomes one small row. What was asked and what was found meet in one
-    aggregation by entity and rule; messages are added to its result. All joins are plain
-    equi-joins: rules are broadcast if Catalyst knows them to be small, and a hot key's rows
-    can be split.
+    that is found becomes one small row. Pairs and what was found are dealt by entity, before
+    pairs unfold into their rules, to as many tasks as ``spark.sql.shuffle.partitions``, and
+    meet in one aggregation by entity and rule; messages are added to its result. Rules are
+    counted first: up to ``SENT_RULES`` are broadcast, whatever table they come from, so that
+    pairs, inventory and documents never are, nothing else is shuffled and no task holds all
+    rows of a section or a rule. More of them meet the rows in shuffled equi-joins.
     """
     if "applies" not in pairs.columns:
         pairs = pairs.withColumn("applies", F.lit(True))
@@ -156,21 +162,23 @@ def check_rules(
     described = F.struct("kind", "target", "pattern", "mode", "ignore_case", "max_count", "message")
     sections = F.sort_array(F.collect_set("section"))
     rule_table = probes.groupBy("rule_id").agg(F.count("probe").alias("n_bounded"), F.min(described)["message"].alias("message"), sections.alias("sections"))
+    sent = _sent(rules.count())
 
     # A probe is found if it has a match; one with max_count if it has too many.
-    places = rule_table.select("rule_id", F.posexplode("sections").alias("place", "section"))
-    asked = pairs.join(places, "section")
-    facts = asked.select(entity, "rule_id", "place", "applies", F.lit(False).alias("found"), F.lit(None).cast("int").alias("probe"))
+    places = rule_table.select(F.col("rule_id").alias("asked"), F.posexplode("sections").alias("place", "section"))
+    unfound = [F.lit(None).cast(probes.schema["rule_id"].dataType).alias("rule_id"), F.lit(False).alias("found"), F.lit(None).cast("int").alias("probe")]
+    facts = pairs.select(entity, "section", "applies", *unfound)
     least = F.coalesce("max_count", F.lit(0))
-    unasked = [F.lit(None).cast("int").alias("place"), F.lit(None).cast("boolean").alias("applies")]
-    evidence = [entity, "rule_id", *unasked, F.lit(True).alias("found"), "probe"]
+    unasked = [F.lit(None).cast(pairs.schema["section"].dataType).alias("section"), F.lit(None).cast("boolean").alias("applies")]
+    evidence = [entity, *unasked, "rule_id", F.lit(True).alias("found"), "probe"]
     if inventory is not None:
         wanted = probes.filter(F.col("pattern").isNull()).select("rule_id", "probe", least.alias("least"), "kind", F.col("target").alias("name"))
         # An entry is there or not: one is its greatest count.
-        present = inventory.select(entity, "kind", "name").join(wanted.filter("least < 1"), ["kind", "name"])
+        present = inventory.select(entity, "kind", "name").join(sent(wanted.filter("least < 1")), ["kind", "name"])
         facts = facts.unionByName(present.select(*evidence))
     if docs is not None:
-        facts = facts.unionByName(_found_in_docs(docs, probes.withColumn("least", least), entity).select(*evidence))
+        facts = facts.unionByName(_found_in_docs(docs, probes.withColumn("least", least), entity, sent).select(*evidence))
+    facts = _dealt(facts, entity).join(sent(places), "section", "left").withColumn("rule_id", F.coalesce("asked", "rule_id")).filter(F.col("rule_id").isNotNull())
 
     # Numbers and flags, which aggregate in place; only a max_count needs the set of probes.
     holds = F.col("plain")
@@ -183,18 +191,28 @@ def check_rules(
     )
     results = results.filter(F.col("applies").isNotNull())
     if bounded:
-        results = results.join(rule_table.select("rule_id", "n_bounded"), "rule_id")
+        results = results.join(sent(rule_table.select("rule_id", "n_bounded")), "rule_id")
     status = F.when(~F.col("applies"), STATUSES.index("skip")).when(holds, STATUSES.index("pass")).otherwise(STATUSES.index("fail"))
     results = results.select(entity, "rule_id", "place", status.alias("status"))
     if prerequisites is not None:
         results = _drop_blocked(results, _hops(results.sparkSession, prerequisites), entity)
     named = F.element_at(F.array(*[F.lit(s) for s in STATUSES]), F.col("status") + 1)
-    return results.join(rule_table.select("rule_id", "sections", "message"), "rule_id").select(
+    return results.join(sent(rule_table.select("rule_id", "sections", "message")), "rule_id").select(
         entity, F.get("sections", "place").alias("section"), "rule_id", named.alias("status"), "message"
     )
 
 
-def _found_in_docs(docs: DataFrame, probes: DataFrame, entity: str) -> DataFrame:
+def _sent(n: int) -> Callable[[DataFrame], DataFrame]:
+    """What to do to a table of ``n`` rules before a join: broadcast it, or leave it as it is."""
+    return F.broadcast if n <= SENT_RULES else lambda table: table
+
+
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in a given number of tasks, which would else be merged by the bytes of rows that have yet to unfold."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def _found_in_docs(docs: DataFrame, probes: DataFrame, entity: str, sent: Callable[[DataFrame], DataFrame] = F.broadcast) -> DataFrame:
     """``(entity, rule_id, probe)`` of each probe of lines that a document of its path has a match for, or too many."""
     regex = line_regex_column("pattern", "mode", "ignore_case").alias("regex")
     by_path = (
@@ -212,7 +230,7 @@ def _found_in_docs(docs: DataFrame, probes: DataFrame, entity: str) -> DataFrame
     # An array of one, so that a text is split once for all its probes.
     lines = F.array(text_lines("text"))
     hits = F.flatten(F.transform(lines, lambda x: F.filter("probes", lambda probe: found(x, probe))))
-    present = docs.select(entity, "path", "text").join(by_path, "path").filter(F.col("text").isNotNull())
+    present = docs.select(entity, "path", "text").join(sent(by_path), "path").filter(F.col("text").isNotNull())
     return present.select(entity, F.inline(hits)).select(entity, "rule_id", "probe")
 
 
@@ -344,7 +362,7 @@ def _hops(spark: SparkSession, prerequisites: DataFrame | Sequence[tuple[str, st
     while not hop.isEmpty():
         if 2 ** len(hops) > n_rules:
             raise ValueError(f"rule {hop.agg(F.min(names[0])).first()[0]!r} requires itself, directly or through others")
-        hops.append(hop)
+        hops.append(_sent(hop.count())(hop))
         after = hop.toDF("__requires", "__further")
         hop = cut(hop.join(after, "__requires").select("__dependent", F.col("__further").alias("__requires")).distinct())
     return hops
@@ -354,7 +372,8 @@ def _drop_blocked(results: DataFrame, hops: Sequence[DataFrame], entity: str) ->
     """``results`` without rules that a failed one stands behind.
 
     A failed or blocked rule blocks those that require it, ``2**k`` steps on in the ``k``-th
-    pass. A pass is one aggregation; results are computed once.
+    pass. A pass is one aggregation; results are computed once. Each pass deals its rows anew,
+    so that no task holds the tables of more than one aggregation.
     """
     fails = F.col("status") == STATUSES.index("fail")
     marked = results.select(entity, "rule_id", "place", "status", F.lit(False).alias("blocked"))
@@ -363,9 +382,9 @@ def _drop_blocked(results: DataFrame, hops: Sequence[DataFrame], entity: str) ->
         said = F.struct("rule_id", "place", "status", "blocked")
         unsaid = F.lit(None).cast("int")
         further = F.struct(F.col("__dependent").alias("rule_id"), unsaid.alias("place"), unsaid.alias("status"), F.lit(True).alias("blocked"))
+        unfolded = behind.select(entity, F.inline(F.array(said, further))).filter(F.col("rule_id").isNotNull())
         marked = (
-            behind.select(entity, F.inline(F.array(said, further)))
-            .filter(F.col("rule_id").isNotNull())
+            _dealt(unfolded, entity, "rule_id")
             .groupBy(entity, "rule_id")
             .agg(F.max("place").alias("place"), F.max("status").alias("status"), F.bool_or("blocked").alias("blocked"))
         )

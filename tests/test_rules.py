@@ -341,3 +341,31 @@ def test_texts_stay_where_they_are(spark):
     plan = check_rules(docs.select("host", F.lit("s").alias("section")), rules, docs=docs)._jdf.queryExecution().executedPlan().toString()
     exchanged = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x]
     assert exchanged and not any("text" in x for x in exchanged)
+
+
+def test_pairs_are_never_broadcast(spark):
+    # rules from a table that Catalyst takes for larger than the pairs, all of one section
+    pairs = spark.range(300).select(F.col("id").alias("host"), F.lit("all").alias("section"))
+    kinds = spark.range(20_000).select((F.col("id") % 5).cast("string").alias("target")).distinct()
+    rules = kinds.select(
+        F.concat(F.lit("rule "), "target").alias("rule_id"), F.lit("all").alias("section"), F.lit("kind").alias("kind"),
+        "target", F.lit(None).cast("string").alias("pattern"), F.lit("").alias("message"),
+    )
+    inventory = spark.range(3000).select((F.col("id") % 300).alias("host"), F.lit("kind").alias("kind"), (F.col("id") % 7).cast("string").alias("name"))
+    needs = kinds.filter("target > '0'").select(F.concat(F.lit("rule "), "target").alias("rule_id"), F.concat(F.lit("rule "), (F.col("target").cast("int") - 1).cast("string")).alias("requires"))
+    for sent in (100_000, 0):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr("plumbspark.operators.rules.SENT_RULES", sent, raising=False)
+            results = check_rules(pairs, rules, inventory, prerequisites=needs)
+            if sent:
+                plan = results._jdf.queryExecution().executedPlan().toString()
+                assert "BuildRight" in plan and "BuildLeft" not in plan
+            got = {(r.host, r.rule_id): r.status for r in results.collect()}
+        expected = {}
+        for host in range(300):
+            names = {str(i % 7) for i in range(host, 3000, 300)}
+            for k in range(5):
+                expected[host, f"rule {k}"] = "pass" if str(k) in names else "fail"
+                if str(k) not in names:
+                    break
+        assert got == expected
