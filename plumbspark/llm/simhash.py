@@ -134,6 +134,17 @@ def near_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS) ->
     return _key_links(keyed.select("node", "fp", "key.choice", "key.bits"), limit=limit)
 
 
+def fingerprint_links(marked: DataFrame, *, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
+    """Edges ``a, b`` that connect all nodes with equal fingerprints, or such within ``limit`` bits.
+
+    ``marked``: one ``node, fp`` each.  Nodes of one fingerprint are linked to the smallest of them, and
+    only that meets other fingerprints.
+    """
+    first = cut(marked.groupBy("fp").agg(F.min("node").alias("first")))
+    same = marked.join(first, "fp").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    return same.union(near_links(first.select(F.col("first").alias("node"), "fp"), limit=limit, blocks_of=blocks_of))
+
+
 def _key_links(keyed: DataFrame, *, limit: int = 0, sketches: DataFrame | None = None, least_same: int = 0) -> DataFrame:
     """Edges ``a, b`` that connect the nodes of every key ``choice, bits`` that are near.
 
@@ -255,8 +266,10 @@ def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame
 
     Components of candidates only say which texts are compared; their whole sets of shingles
     decide.  These sets are read again from ``texts`` (``id, text``), and only those of nodes
-    with a candidate; ``distinct`` has each ``node, first_id, size``.  A component of more
-    than ``TILE_SHINGLES`` is dealt out as tiles, and every two tiles meet in a group of their own.
+    with a candidate; ``distinct`` has each ``node, first_id, size`` and the group ``settled`` that is
+    known of it, if any: a component all of one group needs no more links, and is not read.  A
+    component of more than ``TILE_SHINGLES`` is dealt out as tiles, and every two tiles meet in a
+    group of their own.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,9 +278,9 @@ def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame
             sets = [value[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(text_nodes(found)), pa.array(sets, type=pa.binary())], names=["member", "shingles"])
 
-    members = component_roots(candidates).join(distinct.select("node", "first_id", "size"), "node")
-    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("tiles"))
-    members = cut(members.join(totals, "root").where("tiles > 0"))
+    members = component_roots(candidates).join(distinct.select("node", "first_id", "size", "settled"), "node")
+    totals = members.groupBy("root").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("tiles"), (F.min("settled") < F.max("settled")).alias("open"))
+    members = cut(members.join(totals.where("tiles > 0 and open"), "root"))
     wanted = members.select("first_id").distinct()
     read = texts.join(wanted, texts.id.eqNullSafe(wanted.first_id), "left_semi")
     # of rows with one id several texts may come; nodes tell them apart
@@ -342,7 +355,12 @@ def common_shingles(texts: DataFrame, width: int) -> np.ndarray:
 
 
 def _near_classes(picked: DataFrame, *, width: int, similarity: float, left_out: float) -> DataFrame:
-    """``id, row, root`` of every row of ``picked`` (``id, row, text``): the class of its near copies."""
+    """``id, row, root`` of every row of ``picked`` (``id, row, text``): the class of its near copies.
+
+    SimHash finds the first groups: texts with fingerprints within a few bits, found over shared blocks
+    of bits and confirmed by whole sets of shingles.  Texts that are alike but further apart in
+    bits share a key of prefixes; whole sets decide on those of different groups.
+    """
     common = common_shingles(picked, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +369,22 @@ def _near_classes(picked: DataFrame, *, width: int, similarity: float, left_out:
             keys, edge = prefixes(value, first, similarity, common)
             keys = pa.ListArray.from_arrays(pa.array(edge, type=pa.int32()), pa.array(keys.view(np.int64)))
             sketch = pa.array([x.tobytes() for x in sketches(value, first)], type=pa.binary())
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(text_nodes(texts)), pa.array(np.diff(first)), keys, sketch], names=["id", "row", "node", "size", "keys", "sketch"])
-
-    marked = cut(picked.mapInArrow(scan, "id bigint, row bigint, node bigint, size bigint, keys array<bigint>, sketch binary"))
-    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), F.min("size").alias("size"), F.min("keys").alias("keys"), F.min("sketch").alias("sketch")))
+            marks = [pa.array(text_nodes(texts)), pa.array(fingerprints(texts, width).view(np.int64)), pa.array(np.diff(first)), keys, sketch]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *marks], names=["id", "row", "node", "fp", "size", "keys", "sketch"])
+
+    marked = cut(picked.mapInArrow(scan, "id bigint, row bigint, node bigint, fp bigint, size bigint, keys array<bigint>, sketch binary"))
+    least = [F.min(x).alias(x) for x in ("fp", "size", "keys", "sketch")]
+    distinct = cut(marked.groupBy("node").agg(F.min("id").alias("first_id"), *least))
+    texts = picked.select("id", "text")
+    # texts of fewer words than a shingle are like none but their own copies
+    close = fingerprint_links(distinct.where("size > 0").select("node", "fp"))
+    simhash_links = confirmed_links(texts, close, distinct.withColumn("settled", F.col("node")), width=width, similarity=similarity)
+    groups = component_roots(simhash_links).select(F.col("node").alias("a"), F.col("root").alias("b"))
+    settled = distinct.join(groups, distinct.node == groups.a, "left").select("node", "first_id", "size", F.coalesce("b", "node").alias("settled"))
     keyed = distinct.select("node", F.lit(0).alias("choice"), F.explode("keys").alias("bits"))
     candidates = _key_links(keyed, sketches=distinct.select("node", "sketch"), least_same=least_equal(similarity, left_out))
-    links = confirmed_links(picked.select("id", "text"), candidates, distinct, width=width, similarity=similarity)
-    roots = component_roots(links).withColumnRenamed("node", "member")
+    further = confirmed_links(texts, candidates, settled, width=width, similarity=similarity)
+    roots = component_roots(groups.union(further)).withColumnRenamed("node", "member")
     classes = distinct.join(roots, distinct.node == roots.member, "left").select("node", F.coalesce("root", "node").alias("root"))
     return marked.select("id", "row", "node").join(classes, "node").select("id", "row", "root")
 
@@ -367,7 +393,9 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     """The smallest id among each document's near copies: texts whose ``width``-word shingles are ``similarity`` alike.
 
     Alike by the Jaccard similarity of the sets of lower-case shingles; near copies of near
-    copies are in one group.  Each text goes to one key for each of its first shingles in one
+    copies are in one group.  SimHash fingerprints of the shingles within 4 bits, found over shared
+    blocks of bits, are compared first; whole sets of shingles confirm them.  As texts alike may
+    be more bits apart, each text also goes to one key for each of its first shingles in one
     order of all shingles, so that no two texts alike miss each other.  Within a key, sketches
     of 64 bytes leave out pairs clearly less alike (of those alike one in ``left_out`` at most a
     key; with 0 none is left out, and every two texts of a key are compared as whole sets), and the
@@ -389,6 +417,8 @@ def near_copies(documents: DataFrame, *, id_column: str = "doc_id", text_column:
 def keep_first_of_group(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 5, similarity: float = 0.8, left_out: float = LEFT_OUT) -> DataFrame:
     """``documents`` with one row of each group of near copies: that of the smallest id.
 
+    Groups are those of :func:`near_copies`: of SimHash fingerprints within 4 bits first, then of texts
+    alike that are further apart in bits, all confirmed by whole sets of shingles.
     Rows are told apart by id and a hash of their columns, so that different texts under one id are
     decided each for itself; of several rows with the smallest id the one with the smallest
     hash stays, and of equal rows one.  Rows without an id take no part and all stay.  Ids are

@@ -253,3 +253,26 @@ def test_without_sketches_the_copies_are_the_same(llm):
     rows = texts_of_similarity()
     docs = llm.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_copies(docs, left_out=0).collect())) == brute_copies(rows)
+
+
+def test_simhash_links_near_copies(llm, monkeypatch):
+    from plumbspark.llm import simhash
+
+    rng = np.random.default_rng(12)
+    text = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 8)) for _ in range(n))
+    rows = [(i, text(400)) for i in range(12)]
+    rows += [(100 + i, f"{t} and more") for i, t in rows]
+    # one line repeated makes their fingerprints equal or nearly so, but not their sets of shingles
+    lines = "one two three four five " * 300
+    rows += [(200 + i, lines + text(30)) for i in range(4)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string")
+    bits = {r.doc_id: int(r.fingerprint, 16) for r in simhash_components(docs, width=5).collect()}
+    close = [i for i in range(12) if (bits[i] ^ bits[100 + i]).bit_count() <= 4]
+    assert len(close) > 9 and all((bits[200] ^ bits[200 + i]).bit_count() <= 4 for i in range(4))
+    real = simhash._key_links
+    # without the keys of prefixes SimHash is left to find copies
+    monkeypatch.setattr(simhash, "_key_links", lambda keyed, **given: real(keyed, **given).where(F.lit("sketches" not in given)))
+    kept = {r.doc_id for r in keep_first_of_group(docs).collect()}
+    assert kept == {i for i, _ in rows} - {100 + i for i in close}
+    monkeypatch.undo()
+    assert {r.doc_id for r in keep_first_of_group(docs).collect()} == {i for i, _ in rows if not 100 <= i < 200}
