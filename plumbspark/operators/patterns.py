@@ -14,6 +14,9 @@ from plumbspark.functions.paths import basename
 #: Characters of a literal by which a pattern without a literal beginning or end is looked up.
 GRAM = 3
 
+#: Ids of one glob that meet its paths in one group; more are dealt out in tiles.
+TILE_IDS = 1024
+
 #: Line patterns that one pass over the documents searches for.
 BLOCK_PATTERNS = 10_000
 
@@ -43,14 +46,36 @@ def glob_regex(glob: Column) -> Column:
 
 
 def _anchors(globs: DataFrame) -> DataFrame:
-    """``(glob_id, __regex, __side, __literal)``: by which end, or piece, of a path a glob is looked up."""
+    """Each glob with what a path that fits it needs, and the key that it is looked up by.
+
+    ``__begin``, ``__end``, ``__piece`` are literals, ``__least`` the characters at least, ``__size`` their
+    number if there is no ``*``, else -1. ``__regex`` is NULL where these say all. The key is
+    a hash of ``__side``, ``__literal`` and ``__size``.
+    """
     plain = F.regexp_replace("glob", _CLASS, "*")
     begin, end = F.regexp_extract(plain, r"^[^*?]*", 0), F.regexp_extract(plain, r"[^*?]*$", 0)
     pieces = F.regexp_extract_all(plain, F.lit(r"[^*?]+"), F.lit(0))
     piece = F.array_max(F.transform(pieces, lambda x: F.struct(F.length(x).alias("size"), x.alias("text"))))["text"]
     side = F.when(F.length(begin) >= F.greatest(F.length(end), F.lit(1)), "begin").when(F.length(end) > 0, "end").when(piece.isNotNull(), "piece")
-    literal = F.when(side == "begin", begin).when(side == "end", end).otherwise(F.left(piece, F.lit(GRAM)))
-    return globs.select("glob_id", glob_regex(F.col("glob")).alias("__regex"), side.alias("__side"), literal.alias("__literal"))
+    # a class is one character, as "?" is
+    tokens = F.regexp_replace("glob", _CLASS, "?")
+    stars = F.length(tokens) - F.length(F.replace(tokens, F.lit("*"), F.lit("")))
+    around = (stars == 2) & tokens.startswith("*") & tokens.endswith("*") & (F.length(tokens) > 2)
+    simple = ~tokens.contains("?") & ((stars < 2) | around)
+    # of the powers of two the largest that is no longer than the piece
+    size = F.pow(F.lit(2), F.floor(F.log2(F.length(piece)))).cast("int")
+    literal = F.when(side == "begin", begin).when(side == "end", end).otherwise(F.left(piece, size))
+    needs = [begin.alias("__begin"), end.alias("__end"), piece.alias("__piece"), (F.length(tokens) - stars).alias("__least")]
+    found = globs.select("glob", *needs, F.when(~simple, glob_regex(F.col("glob"))).alias("__regex"), side.alias("__side"), literal.alias("__literal"), F.when(stars == 0, F.length(tokens)).otherwise(-1).alias("__size"))
+    return found.withColumn("__key", F.xxhash64("__side", "__literal", "__size"))
+
+
+def _fits(subject: Column) -> Column:
+    """Whether a path fits the glob beside it; the regex comes last, for what is left."""
+    length = F.length(subject)
+    literals = subject.startswith(F.col("__begin")) & subject.endswith(F.col("__end")) & F.coalesce(subject.contains(F.col("__piece")), F.lit(True))
+    sized = (length >= F.col("__least")) & ((F.col("__size") < 0) | (length == F.col("__size")))
+    return F.when(literals & sized, F.coalesce(F.regexp_like(subject, F.col("__regex")), F.lit(True))).otherwise(False)
 
 
 def _pieces(text: Column, size: Column) -> Column:
@@ -65,34 +90,50 @@ def match_globs(files: DataFrame, globs: DataFrame, path: str = "path", mode: st
     those of :func:`plumbspark.operators.select_paths`, and a file gives a row for each that fits.
     NULL paths and globs fit nothing.
 
-    A glob is looked up by its literal beginning or end, whichever is longer, else by the first
-    three characters of its longest literal piece. A path is unfolded into its beginnings and
-    ends of the lengths that occur among the globs, and into its pieces if any glob needs
-    them, and meets the globs in one equi-join; their regex confirms. Globs without any literal are
-    tested against each path as an array, as they fit most of them.
+    Equal globs are one until the end. Each is looked up by its literal beginning or end, whichever is
+    longer, else by the beginning of its longest literal piece, as many characters of it as a
+    power of two; a glob without ``*`` also by the length that it asks for. A path is
+    unfolded into hashes of its beginnings, ends and pieces of the lengths that occur among
+    the globs, and meets the globs in one equi-join. Literals and lengths confirm, and a regex only
+    where these don't say all. Globs without any literal are tested against each path as an
+    array, as they fit most of them. Rows of a glob with many ids are dealt out in tiles of
+    ``TILE_IDS`` ids, so that many ids on many paths are many tasks; the rows that come out
+    are all pairs, however many these are.
     """
     if mode not in ("name", "path"):
         raise ValueError(f"mode must be 'name' or 'path', got {mode!r}")
-    anchors = _anchors(globs.filter(F.col("glob").isNotNull()))
+    given = globs.select("glob_id", "glob").filter(F.col("glob").isNotNull())
+    tiles = given.groupBy("glob").agg(F.ceil(F.count("*") / TILE_IDS).cast("int").alias("__tiles"))
+    anchors = _anchors(tiles)
     subject = basename(path) if mode == "name" else F.col(path)
-    sizes = anchors.filter(F.col("__side").isNotNull()).select(F.col("__side").alias("side"), F.length("__literal").alias("size"))
-    known = sizes.agg(F.collect_set(F.struct("side", "size"))).scalar().alias("__known")
+    keyed = anchors.filter(F.col("__side").isNotNull())
+    sizes = keyed.select(F.col("__side").alias("side"), F.length("__literal").alias("size"), (F.col("__size") >= 0).alias("whole"))
+    known = sizes.agg(F.collect_set(F.struct("side", "size", "whole"))).scalar().alias("__known")
     nothing = F.array().cast("array<string>")
 
     def keys(x: Column) -> Column:
         size = x["size"]
         cut = F.when(x["side"] == "begin", F.array(F.left("__subject", size))).when(x["side"] == "end", F.array(F.right("__subject", size)))
         cut = F.when(F.length("__subject") < size, nothing).otherwise(cut.otherwise(_pieces(F.col("__subject"), size)))
-        return F.transform(cut, lambda literal: F.struct(x["side"].alias("__side"), literal.alias("__literal")))
+        return F.transform(cut, lambda literal: F.xxhash64(x["side"], literal, F.when(x["whole"], F.length("__subject")).otherwise(-1)))
 
     named = files.withColumn("__subject", subject).filter(F.col("__subject").isNotNull())
     # a constant of the plan has to be a column before a function of arrays can take it
-    looked_up = named.select("*", known).select(*named.columns, F.inline(F.flatten(F.transform("__known", keys))))
-    found = looked_up.join(anchors.filter(F.col("__side").isNotNull()), ["__side", "__literal"]).filter(F.regexp_like("__subject", F.col("__regex")))
-    bare = anchors.filter(F.col("__side").isNull()).agg(F.collect_list(F.struct("glob_id", "__regex"))).scalar().alias("__bare")
-    fitting = F.filter("__bare", lambda g: F.regexp_like("__subject", g["__regex"]))
-    rest = named.select("*", bare).select(*files.columns, F.explode(F.transform(fitting, lambda g: g["glob_id"])).alias("glob_id"))
-    return found.select(*files.columns, "glob_id").unionByName(rest)
+    looked_up = named.select("*", known).select(*named.columns, F.explode(F.array_distinct(F.flatten(F.transform("__known", keys)))).alias("__key"))
+    found = looked_up.join(keyed, "__key").filter(_fits(F.col("__subject"))).select(*files.columns, "glob")
+    bare = anchors.filter(F.col("__side").isNull()).agg(F.collect_list(F.struct("glob", glob_regex(F.col("glob")).alias("regex")))).scalar().alias("__bare")
+    fitting = F.filter("__bare", lambda g: F.regexp_like("__subject", g["regex"]))
+    rest = named.select("*", bare).select(*files.columns, F.explode(F.transform(fitting, lambda g: g["glob"])).alias("glob"))
+    return _with_ids(found.unionByName(rest).withColumnRenamed("glob", "__glob"), given.withColumnRenamed("glob", "__glob"), tiles.withColumnRenamed("glob", "__glob"), files.columns)
+
+
+def _with_ids(found: DataFrame, given: DataFrame, tiles: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``found`` (``columns, __glob``) with each ``glob_id`` of its glob."""
+    dealt = given.join(tiles, "__glob").select("__glob", "glob_id", F.pmod(F.xxhash64("glob_id"), "__tiles").cast("int").alias("__tile"))
+    met = found.join(tiles, "__glob").select(*columns, "__glob", F.explode(F.sequence(F.lit(0), F.col("__tiles") - 1)).alias("__tile"))
+    # a number, as tasks would be merged by the bytes of rows that have yet to multiply
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return met.repartition(tasks, "__glob", "__tile").join(dealt, ["__glob", "__tile"]).select(*columns, "glob_id")
 
 
 def required_literal(pattern: Column, mode: Column, ignore_case: Column) -> Column:

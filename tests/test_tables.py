@@ -41,6 +41,21 @@ def test_globs_as_one_by_one(spark, mode):
     assert got == sorted(expected, key=repr)
 
 
+def test_equal_globs_meet_paths_in_tiles(spark, monkeypatch):
+    monkeypatch.setattr("plumbspark.operators.patterns.TILE_IDS", 2, raising=False)
+    paths = [f"/d/{i % 7}/page.html" for i in range(40)] + ["page.html", "html", ""]
+    files = spark.createDataFrame([(x, i) for i, x in enumerate(paths)], "path string, __n int")
+    texts = ["*page.html", "*page.html", "/d/?/page.html", "*/3/p*", "*", "*l", "page.html", "*page*html", "*page.htmlx*", "?"] * 3
+    ids = [None if i % 5 == 0 else i % 11 for i in range(len(texts))]
+    globs = spark.createDataFrame(list(zip(ids, texts, strict=True)), "glob_id int, glob string")
+    found = match_globs(files, globs, mode="path")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # a path meets an equal glob once, and all its ids only in tasks dealt by glob and tile
+    assert "__tile" in plan and "REPARTITION_BY_NUM" in plan
+    expected = [(r.path, r["__n"], i) for i, glob in zip(ids, texts, strict=True) for r in files.filter(glob_match(F.col("path"), glob)).collect()]
+    assert rows(found) == sorted(expected, key=repr)
+
+
 def test_thousands_of_globs_without_a_nested_loop(spark):
     globs = spark.range(6000).selectExpr("id AS glob_id", "CASE id % 3 WHEN 0 THEN concat('f', id, '.*') WHEN 1 THEN concat('*_', id, '.txt') ELSE concat('*[x-z]q', id, 'q*') END AS glob")
     files = spark.range(9000).selectExpr("CASE id % 3 WHEN 0 THEN concat('f', id, '.md') WHEN 1 THEN concat('n_', id, '.txt') ELSE concat('ayq', id, 'q.c') END AS path")
