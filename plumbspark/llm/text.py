@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,9 @@ import pyarrow.compute as pc
 
 BLOCK_BYTES = 4 << 20
 
+#: Bytes of runs that are hashed at a time: they take eight 64-bit numbers each, and the powers are kept.
+HASH_BYTES = 256 << 10
+
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -94,7 +96,7 @@ def powers(base: np.uint64, count: int) -> np.ndarray:
         kept = np.full(count + 1, base, dtype=np.uint64)
         kept[0] = 1
         np.multiply.accumulate(kept, out=kept)
-        if count <= 2 * BLOCK_BYTES:
+        if count <= 2 * HASH_BYTES:
             _powers[int(base)] = kept
     return kept
 
@@ -112,7 +114,7 @@ def run_hashes(data: np.ndarray, found: Runs) -> np.ndarray:
     low = 0
     while low < len(out):
         base = found.start[low]
-        high = max(low + 1, int(np.searchsorted(found.end, base + BLOCK_BYTES, side="right")))
+        high = max(low + 1, int(np.searchsorted(found.end, base + HASH_BYTES, side="right")))
         part = data[base : found.end[high - 1]]
         sums = np.zeros(len(part) + 1, dtype=np.uint64)
         np.cumsum(_BYTE_VALUES[part] * powers(_BASE, len(part))[: len(part)], out=sums[1:])
@@ -139,11 +141,12 @@ def per_text(found: Runs, values: np.ndarray) -> np.ndarray:
     return total[found.first[1:]] - total[found.first[:-1]]
 
 
-def gather(lists: list, picked: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
-    """The lists numbered ``picked``, one after the other, and the length of each."""
-    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-    flat = np.fromiter(chain.from_iterable(lists), dtype=kind, count=int(sizes.sum()))
+def gather(lists: list[bytes], picked: np.ndarray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the lists numbered ``picked``, one list after the other, and the length of each."""
+    sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists)) // np.dtype(kind).itemsize
+    flat = np.frombuffer(b"".join(lists), dtype=kind)
     begins = np.cumsum(sizes) - sizes
     lengths = sizes[picked]
     where = np.repeat(begins[picked] - (np.cumsum(lengths) - lengths), lengths)
-    return flat[where + np.arange(len(where))], lengths
+    where += np.arange(len(where))
+    return flat[where], lengths

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,20 +84,21 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [x.content.encode() for x in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[bytes, list[int]] = {}
+        #: The ids of pre-tokens, as bytes: lists of numbers take three times the memory.
+        self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[bytes]) -> list[list[int]]:
         encoded = self.library.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
         return [x.ids for x in encoded]
 
-    def pieces(self, distinct: list[bytes]) -> list[list[int]]:
-        """The ids of each distinct pre-token, looked up or encoded once."""
+    def pieces(self, distinct: list[bytes]) -> list[bytes]:
+        """The ids of each distinct pre-token as 32-bit numbers, looked up or encoded once."""
         if len(self.known) > MEMORY:
             self.known.clear()
         out = list(map(self.known.get, distinct))
         new = [i for i, ids in enumerate(out) if ids is None]
         for i, ids in zip(new, self.encode_pieces([distinct[i] for i in new]), strict=True):
-            out[i] = self.known[distinct[i]] = ids
+            out[i] = self.known[distinct[i]] = array("I", ids).tobytes()
         return out
 
     def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:

@@ -1,6 +1,8 @@
 import pickle
 import random
+import sys
 import time
+import tracemalloc
 from collections import defaultdict
 from fractions import Fraction
 
@@ -10,8 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from plumbspark.llm import text
 from plumbspark.llm.packing import Schedule, pack_documents
-from plumbspark.llm.tokens import count_tokens
+from plumbspark.llm.tokens import WordTokenizer, count_tokens
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -124,3 +127,46 @@ def test_schedule_of_many_queues():
     for sequence in (0, 1, 1000, schedule.sequences // 2):
         taken = [schedule.served(q, sequence) for q in range(0, 4097, 512)]
         assert taken == sorted(taken) and taken[-1] == sequence * 4096
+
+
+def _traced_peak(work):
+    tracemalloc.start()
+    try:
+        out = work()
+        return out, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_hashing_runs_takes_memory_by_the_piece():
+    rng = np.random.default_rng(4)
+    data = np.where(rng.random(4 << 20) < 0.1, 0x20, rng.integers(0x61, 0x7B, 4 << 20)).astype(np.uint8)
+    data[1 << 20 : (1 << 20) + 700_000] = 0x78  # longer than a piece
+    texts = text.Texts(data, np.array([0, 1000, 1000, 3 << 20, 4 << 20]))
+    found = text.words(texts)
+    text._powers.clear()
+    hashes, peak = _traced_peak(lambda: text.run_hashes(data, found))
+    # eight bytes a run, and those of the long word; 32 MB an array before
+    assert peak < 8 * len(found.start) + 48 * 700_000
+    # the powers that stay
+    assert sum(x.nbytes for x in text._powers.values()) < 8 << 20
+    # a run's hash is that of its bytes alone, wherever pieces begin
+    for i in [0, 1, len(found.start) // 2, len(found.start) - 1, int(np.argmax(found.end - found.start))]:
+        word = data[found.start[i] : found.end[i]]
+        alone = text.run_hashes(word, text.words(text.Texts(word, np.array([0, len(word)]))))
+        assert alone.tolist() == [hashes[i]]
+
+
+def test_remembered_ids_take_little_memory(library):
+    tokenizer = WordTokenizer(PATH)
+    words = [f"q{x:x}z".translate(str.maketrans("0123456789", "ghijklmnop")).encode() for x in range(10_000, 30_000)]
+    ids = tokenizer.pieces(words)
+    assert [np.frombuffer(x, dtype=np.uint32).tolist() for x in ids[:50]] == [library.encode(x.decode(), add_special_tokens=False).ids for x in words[:50]]
+    assert tokenizer.pieces(words[:50]) == ids[:50]
+    assert max(map(sys.getsizeof, ids)) < 80
+    assert all(isinstance(x, bytes) for x in tokenizer.known.values())
+    flat, lengths = text.gather(ids[:3], np.array([2, 0, 2]), np.uint32)
+    assert flat.tolist() == [x for i in (2, 0, 2) for x in np.frombuffer(ids[i], dtype=np.uint32).tolist()]
+    assert lengths.tolist() == [len(ids[i]) // 4 for i in (2, 0, 2)]
+    flat, lengths = text.gather([], np.zeros(0, dtype=np.int64), np.uint32)
+    assert len(flat) == len(lengths) == 0
