@@ -13,34 +13,33 @@ def component_roots(edges: DataFrame) -> DataFrame:
 
     Alternates the two star operations: every node hands its larger neighbours, then itself
     and its smaller ones, to its smallest neighbour, until each component is one star.
-    Rounds grow with the logarithm of the nodes.  Every round is two aggregations and two
-    joins on rows, of which a hub's rows can be split, and its edges are written to the
-    checkpoint folder.  Nodes without an edge are not returned.
+    Rounds grow with the logarithm of the nodes; edges that are stars of their smallest nodes
+    need none.  Every round is two aggregations and two joins on rows, of which a hub's rows can
+    be split, and its edges are written to the checkpoint folder.  Each of its exchanges deals out
+    every edge once, as the files of an exchange stay until the driver collects its garbage.
+    Nodes without an edge are not returned.
     """
 
-    def smallest(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    def both(pairs: DataFrame, a: tuple[str, ...], b: tuple[str, ...], names: tuple[str, ...]) -> DataFrame:
+        """Two rows for each pair: the columns ``a``, and ``b``."""
+        row = lambda values: F.struct(*[F.expr(x).alias(name) for x, name in zip(values, names, strict=True)])
+        return pairs.select(F.inline(F.array(row(a), row(b))))
 
-    def state(pairs: DataFrame) -> tuple:
-        return pairs.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint")), F.expr("bit_xor(xxhash64(a, b))")).first()
+    def stars(pairs: DataFrame) -> bool:
+        """Whether no node with a smaller neighbour has another one."""
+        ends = both(pairs, ("a", "1"), ("b", "0"), ("node", "up"))
+        return ends.groupBy("node").agg(F.max("up").alias("up"), F.count("*").alias("n")).where("up = 1 and n > 1").isEmpty()
 
     def large_star(pairs: DataFrame) -> DataFrame:
-        both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).union(pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        return both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        least = both(pairs, ("a", "b"), ("b", "b"), ("u", "v")).groupBy("u").agg(F.min("v").alias("m"))
+        return pairs.join(least, pairs.b == least.u).select("a", F.col("m").alias("b"))
 
     def small_star(pairs: DataFrame) -> DataFrame:
-        down = pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = smallest(down)
-        others = down.join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        return others.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
+        least = pairs.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
+        joined = pairs.join(least, pairs.a == least.u)
+        return both(joined, ("a", "m"), ("b", "m"), ("a", "b")).where("a <> b").distinct()
 
     pairs = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = state(pairs)
-    while before[0]:
+    while not stars(pairs):
         pairs = cut(small_star(large_star(pairs)))
-        after = state(pairs)
-        if after == before:
-            break
-        before = after
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select("b", "b").distinct())
+    return both(pairs, ("a", "b"), ("b", "b"), ("node", "root")).groupBy("node").agg(F.min("root").alias("root"))

@@ -75,7 +75,7 @@ def _block_keys(fingerprint: Column, shared: int, blocks_of: int) -> Column:
 
 
 def _links(groups: Iterator[pd.DataFrame], limit: int, least_same: int) -> Iterator[pd.DataFrame]:
-    """Edges that connect what is linked within each key, at most one a node and tile.
+    """Edges that connect what is linked within each key with the smallest of it, at most one a node and tile.
 
     The rows come sorted by key and tile; a group may go on in the next batch.
     """
@@ -102,11 +102,11 @@ def _links(groups: Iterator[pd.DataFrame], limit: int, least_same: int) -> Itera
         for a, b in zip(begin[size > 2].tolist(), end[size > 2].tolist(), strict=True):
             open_ = a + np.unique(node[a:b], return_index=True)[1]
             while len(open_) > 1:
-                frontier, open_ = open_[:1], open_[1:]
+                first, frontier, open_ = open_[0], open_[:1], open_[1:]
                 while len(frontier) and len(open_):
                     close = near(frontier[0], open_)
                     new = open_[close]
-                    left.append(np.full(len(new), node[frontier[0]]))
+                    left.append(np.full(len(new), node[first]))
                     right.append(node[new])
                     frontier, open_ = np.concatenate([frontier[1:], new]), open_[~close]
         return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
@@ -150,7 +150,7 @@ def _key_links(keyed: DataFrame, *, limit: int = 0, sketches: DataFrame | None =
 
     Near are fingerprints ``fp`` within ``limit`` bits, or, with ``sketches`` (one ``node,
     sketch`` each), sketches with at least ``least_same`` equal bytes.  Within a key linked
-    nodes are connected by a spanning forest, not by all their pairs.  A key of more than
+    nodes are connected with the smallest of them, not by all their pairs.  A key of more than
     ``TILE`` nodes is dealt out as tiles of ``TILE``, and every two tiles meet in a group of
     their own.
     """
@@ -167,7 +167,7 @@ def _key_links(keyed: DataFrame, *, limit: int = 0, sketches: DataFrame | None =
     met = met.select(*kept, "choice", "bits", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile"))
     keys = ["choice", "bits", "row_tile", "column_tile"]
     grouped = met.repartition(*keys).sortWithinPartitions(*keys)
-    return grouped.mapInPandas(lambda groups: _links(groups, limit, least_same), "a bigint, b bigint").distinct()
+    return grouped.mapInPandas(lambda groups: _links(groups, limit, least_same), "a bigint, b bigint")
 
 
 def simhash_components(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = 4, limit: int = 4, blocks_of: int = BLOCKS) -> DataFrame:
@@ -227,7 +227,8 @@ def text_nodes(texts: Texts) -> np.ndarray:
 
 
 def alike(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
-    """Edges that connect the texts of one group whose sets of shingles are ``similarity`` alike, by Jaccard."""
+    """Edges that connect the texts of one group whose sets of shingles are ``similarity`` alike, by Jaccard, with the smallest node."""
+    group = group.sort_values("node", ignore_index=True)
     node = group["node"].to_numpy()
     sizes = group["shingles"].map(len).to_numpy() // 8
     code = pd.factorize(np.frombuffer(b"".join(group["shingles"]), dtype=np.uint64))[0]
@@ -243,7 +244,8 @@ def alike(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
         open_ = open_[which]
 
     while len(open_) > 1:
-        frontier = [open_[0]]
+        first = open_[0]
+        frontier = [first]
         keep(np.arange(len(open_)) > 0)
         while frontier and len(open_):
             at = frontier.pop()
@@ -254,7 +256,7 @@ def alike(group: pd.DataFrame, similarity: float) -> pd.DataFrame:
             close = common / (sizes[at] + sizes[open_] - common) >= similarity
             if close.any():
                 new = open_[close]
-                left.append(np.full(len(new), node[at]))
+                left.append(np.full(len(new), node[first]))
                 right.append(node[new])
                 frontier += new.tolist()
                 keep(~close)
@@ -289,7 +291,7 @@ def confirmed_links(texts: DataFrame, candidates: DataFrame, distinct: DataFrame
     own = F.pmod(F.xxhash64("node"), tiles).cast("int")
     met = sets.join(members, sets.member == members.node).select("node", "shingles", "root", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("with"))
     keys = ["root", F.least("tile", "with").alias("row_tile"), F.greatest("tile", "with").alias("column_tile")]
-    return met.groupBy(*keys).applyInPandas(lambda group: alike(group, similarity), "a bigint, b bigint").distinct()
+    return met.groupBy(*keys).applyInPandas(lambda group: alike(group, similarity), "a bigint, b bigint")
 
 
 #: Bytes of a sketch of a text's shingles: one byte of the smallest of so many hashes each.

@@ -112,6 +112,45 @@ def test_components_of_a_long_chain(llm):
     assert roots == {**dict.fromkeys(range(201), 0), 2000: 2000, 2001: 2000}
 
 
+def test_stars_need_no_round_and_rounds_deal_edges_out_once(llm, monkeypatch):
+    from plumbspark.llm import components
+
+    written, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append(real(df)) or written[-1])
+    star = [(0, i) for i in range(1, 30)] + [(100, 101)] * 3
+    got = sorted(map(tuple, component_roots(llm.createDataFrame(star, "a long, b long")).collect()))
+    assert got == [(i, 0) for i in range(30)] + [(100, 100), (101, 100)]
+    assert len(written) == 1
+    # a round's tasks: no exchange is read from two copies of the edges
+    context = llm.sparkContext
+    chain = llm.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long")
+    written.clear()
+    monkeypatch.setattr(components, "cut", lambda df: written.append(real(df.repartition(40))) or written[-1])
+    context.setJobGroup("components", "")
+    try:
+        roots = component_roots(chain).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    tracker = context.statusTracker()
+    stages = {x for job in tracker.getJobIdsForGroup("components") for x in tracker.getJobInfo(job).stageIds}
+    most = max(info.numTasks for info in map(tracker.getStageInfo, stages) if info)
+    assert {tuple(r) for r in roots} == {(i, 0) for i in range(10)} and len(written) > 1 and most == 40
+
+
+def test_links_lead_to_the_smallest_of_a_key():
+    import pandas as pd
+
+    from plumbspark.llm.simhash import _links, alike
+
+    sets = [np.arange(k, k + 30, dtype=np.uint64).tobytes() for k in (9, 0, 3, 6)]
+    chain = alike(pd.DataFrame({"node": [9, 5, 3, 6], "shingles": sets}), 0.8)
+    # one step away each: 5 - 3 - 6 - 9
+    assert sorted(map(tuple, chain.to_numpy().tolist())) == [(3, 5), (3, 6), (3, 9)]
+    rows = pd.DataFrame({"node": [1, 2, 3, 4], "fp": [0b0, 0b1, 0b11, 0b111], "choice": 0, "bits": 0, "row_tile": 0, "column_tile": 0})
+    near = pd.concat(_links(iter([rows]), 1, 0))
+    assert sorted(map(tuple, near.to_numpy().tolist())) == [(1, 2), (1, 3), (1, 4)]
+
+
 def test_tiles_lose_no_link(llm, monkeypatch):
     from plumbspark.llm import simhash
 
