@@ -24,7 +24,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder, so that it is never computed again, also when executors are lost."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder, so that it is never computed again, also when executors are lost.
+
+    Shuffle files that only led to it go when it is written, not when the driver happens to
+    collect its garbage.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        # a query of its own: ``df`` keeps its files, if it has any
+        once = df.select("*")
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return once.checkpoint(eager=True)

@@ -83,3 +83,23 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_dir(session("spark://host:7077"))
     assert checkpoint_dir(session("spark://host:7077", "/shared")) == "/shared"
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    import time
+    from glob import glob
+
+    from plumbspark.sources.storage import CLEANUP, cut
+
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: {x.rsplit("/", 1)[-1] for x in glob(f"{folder}/*/shuffle_*")}
+    counted = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    before = files()
+    done = cut(counted)
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before
+    assert sorted(map(tuple, done.collect())) == sorted(map(tuple, counted.collect()))
+    assert spark.conf.get(CLEANUP) == "false"
